@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import quality, repetition
+from . import bpe, mixing, quality, repetition, sharding, token_orc
 from .runtime import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,13 +18,33 @@ def op1_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition.repetition_coverage(table(spark, sf_dir, "documents"))
 
 
+VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
+
+
+def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.round_trip(table(spark, sf_dir, "documents"), VOCABULARY)
+
+
+def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard_documents(table(spark, sf_dir, "documents"))
+
+
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(table(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), "taken")
+
+
+def op7_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_orc.token_files(table(spark, sf_dir, "documents"), VOCABULARY)
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_repetition, op9_quality)}
+    return {f.__name__: f for f in (op1_repetition, op2_bpe, op4_sharding, op6_mixing, op7_token_orc, op9_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_repetition": repetition.oracle_sql()}
+    return {"op1_repetition": repetition.oracle_sql(), "op6_mixing": mixing.ORACLE_SQL}
