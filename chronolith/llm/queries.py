@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, mixing, quality, repetition, sharding, token_orc
+from . import bpe, mixing, quality, repetition, sharding, spotsigs, token_orc
 from .runtime import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -25,6 +25,10 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), VOCABULARY)
 
 
+def op3_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spotsigs.compare_edited(table(spark, sf_dir, "documents"))
+
+
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"))
 
@@ -43,7 +47,7 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_repetition, op2_bpe, op4_sharding, op6_mixing, op7_token_orc, op9_quality)}
+    return {f.__name__: f for f in (op1_repetition, op2_bpe, op3_spotsigs, op4_sharding, op6_mixing, op7_token_orc, op9_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
