@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, mixing, quality, repetition, sharding, spotsigs, token_orc
+from . import bpe, jaccard_join, mixing, quality, repetition, sharding, spotsigs, token_orc
 from .runtime import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -42,12 +42,16 @@ def op7_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_orc.token_files(table(spark, sf_dir, "documents"), VOCABULARY)
 
 
+def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.link_components(table(spark, sf_dir, "documents"))
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_repetition, op2_bpe, op3_spotsigs, op4_sharding, op6_mixing, op7_token_orc, op9_quality)}
+    return {f.__name__: f for f in (op1_repetition, op2_bpe, op3_spotsigs, op4_sharding, op6_mixing, op7_token_orc, op8_jaccard_join, op9_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
