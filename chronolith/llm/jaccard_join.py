@@ -309,7 +309,9 @@ def link_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def keep_first(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
-    """The rows of df, all columns as they were, that are the first of their component by (id, text)."""
+    """The rows of df, all columns as they were, whose id is the smallest of their component (null ids: if they link with none)."""
     marks = link_components(df, id_col, text_col, width, percent)
-    first = marks.where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("__id")).distinct()
-    return df.join(first, df[id_col].eqNullSafe(F.col("__id")), "left_semi")
+    gone = staged(marks.where(~F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("__id")).distinct(), "gone")
+    if gone.count() <= MOST_IDS:
+        gone = F.broadcast(gone)
+    return df.join(gone, df[id_col].eqNullSafe(F.col("__id")), "left_anti")

@@ -94,7 +94,7 @@ def thresholds(rows: DataFrame, budgets: DataFrame, key: str = "source", size: s
 def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = WEIGHTS, cap: float = CAP, keep: list[str] | None = None) -> DataFrame:
     """The columns ``keep``, id_col, size, source_size, target, copies (how often the row is taken) and taken (copies * size)."""
     keep = [c for c in (keep or []) if c not in (id_col, "size", "source_size", "target", "copies", "taken")]
-    rows = df.select(*[df[c].alias(f"__{c}") for c in keep], df[id_col].alias("id"), df[source_col].cast("string").alias("source"), word_count(df[text_col]).alias("size"), row_hash(df[id_col]).alias("hash"))
+    rows = df.select(*[df[c].alias(f"kept_{c}") for c in keep], df[id_col].alias("id"), df[source_col].cast("string").alias("source"), word_count(df[text_col]).alias("size"), row_hash(df[id_col]).alias("hash"))
     small = staged(rows.select("id", "source", "size", "hash"), "mix")
     rows = rows if keep else small
     sizes = small.groupBy("source").agg(F.sum("size").alias("source_size"))
@@ -102,10 +102,10 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
     goal = goal.withColumn("whole", whole).withColumn("budget", F.round(F.col("target") - F.col("whole") * F.col("source_size")).cast("long"))
     cut = thresholds(small, goal)
-    goal = goal.alias("g").join(cut.alias("c"), F.col("g.source").eqNullSafe(F.col("c.source"))).select(F.col("g.source").alias("__source"), "source_size", "target", "whole", "threshold")
-    out = rows.join(goal, rows["source"].eqNullSafe(F.col("__source")))
+    goal = goal.alias("g").join(cut.alias("c"), F.col("g.source").eqNullSafe(F.col("c.source"))).select(F.col("g.source").alias("goal_key"), "source_size", "target", "whole", "threshold")
+    out = rows.join(goal, rows["source"].eqNullSafe(F.col("goal_key")))
     copies = (F.col("whole") + F.when(F.col("hash") < F.col("threshold"), 1).otherwise(0)).cast("long")
-    return out.select(*[F.col(f"__{c}").alias(c) for c in keep], F.col("id").alias(id_col), "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+    return out.select(*[F.col(f"kept_{c}").alias(c) for c in keep], F.col("id").alias(id_col), "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
 
 
 ORACLE_SQL = f"""WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS size,

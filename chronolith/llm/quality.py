@@ -60,6 +60,8 @@ def features(data: np.ndarray, offsets: np.ndarray, bits: int = BUCKET_BITS, ngr
 
 #: Buckets of a pair of neighbouring words that differ and of one whose words are equal.
 PAIRS = np.array([11, 12])
+#: A pair counts as much as so many n-grams, about those of a word.
+PAIR_WEIGHT = 10
 
 
 def pairs(which: np.ndarray, doc: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -67,7 +69,7 @@ def pairs(which: np.ndarray, doc: np.ndarray, n: int) -> tuple[np.ndarray, np.nd
     near = doc[1:] == doc[:-1]
     equal = near & (which[1:] == which[:-1])
     same = np.bincount(doc[1:][equal], minlength=n)
-    return np.bincount(doc[1:][near], minlength=n) - same, same
+    return PAIR_WEIGHT * (np.bincount(doc[1:][near], minlength=n) - same), PAIR_WEIGHT * same
 
 
 def rows(data: np.ndarray, offsets: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -140,7 +142,7 @@ def train(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         table, bias = fit([texts[i] for i in order], np.array([y[i] for i in order], np.int64))
         yield pa.RecordBatch.from_arrays([pa.array([table.tobytes()], pa.binary()), pa.array([float(bias[0])], pa.float64())], ["table", "bias"])
 
-    got = chosen.coalesce(1).mapInArrow(run, "table binary, bias double").collect()[0]
+    got = chosen.repartition(1).mapInArrow(run, "table binary, bias double").collect()[0]
     return np.frombuffer(got.table, np.float64), got.bias
 
 

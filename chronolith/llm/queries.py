@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, jaccard_join, mixing, quality, repetition, sharding, spotsigs, token_orc
+from . import bpe, jaccard_join, masked_lm, mixing, pii, quality, repetition, sharding, spotsigs, token_orc
 from .runtime import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -33,6 +34,10 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"))
 
 
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find_all(table(spark, sf_dir, "documents"))
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), "taken")
@@ -50,9 +55,15 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op10_masked_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return masked_lm.score(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_repetition, op2_bpe, op3_spotsigs, op4_sharding, op6_mixing, op7_token_orc, op8_jaccard_join, op9_quality)}
+    named = (op1_repetition, op2_bpe, op3_spotsigs, op4_sharding, op5_pii, op6_mixing, op7_token_orc, op8_jaccard_join, op9_quality, op10_masked_lm)
+    return {f.__name__: f for f in named} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_repetition": repetition.oracle_sql(), "op6_mixing": mixing.ORACLE_SQL}
+    known = {"op1_repetition": repetition.oracle_sql(), "op6_mixing": mixing.ORACLE_SQL}
+    return known | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
