@@ -27,9 +27,8 @@ from pyspark.sql import DataFrame
 from tokenizers import Tokenizer
 
 from .runtime import map_text
+from .wordtable import WordTable, joined
 
-#: Words remembered by a worker.
-REMEMBERED = 400_000
 END = ""  # stands for the mark of a word's end inside the automaton
 NONE = -1
 #: From this code point on, words are normalised and split by the library.
@@ -90,7 +89,7 @@ class Vocabulary:
         self.offsets = np.concatenate([[0], np.cumsum(self.lengths)])[:-1]
         self.spelled = np.frombuffer(b"".join(spelled), np.uint8)
         self.fits: dict[tuple[int, int], bool] = {}
-        self.words: dict[bytes, bytes] = {}
+        self.table = WordTable(lambda words: joined([self.word(w) for w in words]))
 
     def compatible(self, a: int, b: int) -> bool:
         """Whether merging leaves the border between tokens a and b: undo merges at the border, the latest first, and see
@@ -161,27 +160,17 @@ class Vocabulary:
             out += self.merge("".join(letters) + END)
         return out
 
-    def word(self, raw: bytes) -> bytes:
-        """Ids of a word as little-endian unsigned 32-bit integers."""
+    def word(self, raw: bytes) -> list[int]:
         text, ids = raw.decode("utf-8", "replace"), []
         if self.special and "<|" in text:
             for part in self.special.split(text):
                 ids += [self.specials[part]] if part in self.specials else self.plain(part)
         else:
             ids = self.plain(text)
-        return np.array(ids, "<u4").tobytes()
-
-    def encode(self, text: bytes) -> bytes:
-        known, words = self.words, text.split()
-        try:
-            return b"".join([known[w] for w in words])
-        except KeyError:
-            if len(known) > REMEMBERED:
-                known.clear()
-            for w in set(words):
-                if w not in known:
-                    known[w] = self.word(w)
-            return b"".join([known[w] for w in words])
+        return ids
+
+    def encode(self, text: bytes) -> np.ndarray:
+        return self.table.ids(np.frombuffer(text, np.uint8), np.array([0, len(text)]))[0]
 
     def decode(self, ids: np.ndarray) -> np.ndarray:
         """Bytes of the tokens, a space after each."""
@@ -217,8 +206,9 @@ def encode_texts(df: DataFrame, vocabulary: str, text_col: str = "text", keep: l
         v = loaded(shared.value)
 
         def kernel(data, offsets):
-            ids = [v.encode(data[a:b].tobytes()) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
-            return [np.array([len(x) // 4 for x in ids], np.int64), pa.array(ids, pa.binary())]
+            ids, at = v.table.ids(data, offsets)
+            raw = ids.astype("<u4").tobytes()
+            return [np.diff(at), pa.array([raw[4 * a : 4 * b] for a, b in zip(at[:-1], at[1:], strict=True)], pa.binary())]
 
         return kernel
 
@@ -248,13 +238,11 @@ def round_trip(df: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col:
         v = loaded(shared.value)
 
         def kernel(data, offsets):
-            ids = [v.encode(data[a:b].tobytes()) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
-            n = np.array([len(x) // 4 for x in ids], np.int64)
-            every = np.frombuffer(b"".join(ids), "<u4")
-            text = v.decode(every)
-            ends = np.concatenate([[0], np.cumsum(v.lengths[every.astype(np.int64)])])[np.concatenate([[0], np.cumsum(n)])]
+            every, at = v.table.ids(data, offsets)
+            raw, text = memoryview(every.astype("<u4").tobytes()), v.decode(every)
+            ends = np.concatenate([[0], np.cumsum(v.lengths[every])])[at]
             decoded = [sha256(text[a : max(a, b - 1)]).hexdigest() for a, b in zip(ends[:-1], ends[1:], strict=True)]
-            return [n, [sha256(x).hexdigest() for x in ids], decoded]
+            return [np.diff(at), [sha256(raw[4 * a : 4 * b]).hexdigest() for a, b in zip(at[:-1], at[1:], strict=True)], decoded]
 
         return kernel
 

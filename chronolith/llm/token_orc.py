@@ -4,7 +4,7 @@ Texts are encoded by the tokenizers library (each distinct word once a worker; t
 are independent), an end id is appended, and Spark's ORC writer lays out rows in ascending id order: files and stripes are
 ranges of ids, so stripes can be read in parallel, and ids, row indexes and Bloom filters let a lookup skip the others.
 
-The one shuffle moves the encoded ids, by ranges of (id, hash of the text), so rows of one id spread as well. Row offsets come
+The one shuffle moves texts, before they are encoded, by ranges of (id, hash of the text), so rows of one id spread as well. Row offsets come
 from one count a file, and a window inside each file. There are as many files as shuffle partitions unless told otherwise.
 
 Nulls and empty texts are the end id alone; null ids come first; rows of one id are ordered by a hash of the text; an empty
@@ -21,77 +21,58 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .bpe import REMEMBERED, broadcast_file
+from .bpe import broadcast_file
 from .runtime import map_text, stage_path
+from .wordtable import WordTable, joined
 
 END_ID = 1
-_encoders: dict[int, 'WordEncoder'] = {}
+_encoders: dict[int, WordTable] = {}
 
 
-class WordEncoder:
-    def __init__(self, text: str):
+def encoder(text: str) -> WordTable:
+    """One table of encoded words a worker."""
+    key = hash(text)
+    if key not in _encoders:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the executors' tasks are the parallelism
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known = Tokenizer.from_str(text), {}
-        self.tokenizer.no_truncation()
-        self.tokenizer.no_padding()
-
-    def encode(self, text: bytes) -> bytes:
-        words, known = text.split(), self.known
-        try:
-            return b"".join([known[w] for w in words])
-        except KeyError:
-            if len(known) > REMEMBERED:
-                known.clear()
-            new = [w for w in {*words} if w not in known]
-            for w, e in zip(new, self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in new], add_special_tokens=False), strict=True):
-                known[w] = np.array(e.ids, "<u4").tobytes()
-            return b"".join([known[w] for w in words])
-
-
-def encoder(text: str) -> WordEncoder:
-    key = hash(text)
-    if key not in _encoders:
+        tokenizer = Tokenizer.from_str(text)
+        tokenizer.no_truncation()
+        tokenizer.no_padding()
         _encoders.clear()
-        _encoders[key] = WordEncoder(text)
+        _encoders[key] = WordTable(lambda words: joined([e.ids for e in tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in words], add_special_tokens=False)]))
     return _encoders[key]
 
 
 def encode(df: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID) -> DataFrame:
-    """id_col and ids (array of int, the end id last)."""
+    """id_col and ids (array of int, the end id last), in the order of df's rows."""
     shared = broadcast_file(df.sparkSession, vocabulary)
-    tail = np.array([end_id], "<u4").tobytes()
 
     def make():
-        coder = encoder(shared.value)
+        table = encoder(shared.value)
 
         def kernel(data, offsets):
-            ids = [coder.encode(data[a:b].tobytes()) + tail for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
-            at = np.concatenate([[0], np.cumsum([len(x) // 4 for x in ids])]).astype(np.int32)
-            return [pa.ListArray.from_arrays(at, pa.array(np.frombuffer(b"".join(ids), "<i4")))]
+            ids, at = table.ids(data, offsets)
+            ids = np.insert(ids, at[1:], end_id)
+            return [pa.ListArray.from_arrays((at + np.arange(len(at))).astype(np.int32), pa.array(ids.astype("<i4")))]
 
         return kernel
 
     return map_text(df, text_col, {"ids": "array<int>"}, make, [id_col])
 
 
-def write_orc(df: DataFrame, path: str, id_col: str = "doc_id", files: int | None = None) -> None:
-    """Rows of id_col and ids as ORC files in ascending id order."""
-    if files is None:
-        files = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    key = F.xxhash64("ids")
-    (
-        df.withColumn("__tie", key)
-        .repartitionByRange(files, F.col(id_col).asc_nulls_first(), "__tie")
-        .sortWithinPartitions(F.col(id_col).asc_nulls_first(), "__tie")
-        .drop("__tie")
-        .write.option("compression", "zstd")
-        .option("orc.bloom.filter.columns", id_col)
-        .option("orc.row.index.stride", "1000")
-        .option("orc.stripe.size", str(16 << 20))
-        .orc(path)
-    )
+def in_order(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", files: int | None = None) -> DataFrame:
+    """id_col and text_col in ascending id order: as many ranges as files, sorted inside. Bounds come from ids and hashes only."""
+    files = files or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    order = [F.col(id_col).asc_nulls_first(), "__tie"]
+    tied = df.select(df[id_col], df[text_col]).withColumn("__tie", F.xxhash64(text_col))
+    return tied.repartitionByRange(files, *order).sortWithinPartitions(*order).drop("__tie")
+
+
+def write_orc(df: DataFrame, path: str, id_col: str = "doc_id") -> None:
+    """Rows of id_col and ids, in their order, a file a partition."""
+    options = {"compression": "zstd", "orc.bloom.filter.columns": id_col, "orc.row.index.stride": "1000", "orc.stripe.size": str(16 << 20)}
+    df.write.options(**options).orc(path)
 
 
 def read_orc(spark, path: str, id_col: str = "doc_id") -> DataFrame:
@@ -114,7 +95,7 @@ def read_orc(spark, path: str, id_col: str = "doc_id") -> DataFrame:
     earlier = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
     totals = each.groupBy("part").agg(F.sum("n_tokens").alias("n"))
     first = totals.select("part", F.coalesce(F.sum("n").over(earlier(Window.orderBy("part"))), F.lit(0)).alias("first"))  # a row a file
-    inside = earlier(Window.partitionBy("part").orderBy(F.col(id_col).asc_nulls_first(), "tie"))
+    inside = earlier(Window.partitionBy("part").orderBy(F.col(id_col).asc_nulls_first(), "tie"))  # rows of one id: in any fixed order
     return (
         each.withColumn("within", F.coalesce(F.sum("n_tokens").over(inside), F.lit(0)))
         .join(F.broadcast(first), "part")
@@ -126,7 +107,7 @@ def token_files(df: DataFrame, vocabulary: str, path: str | None = None, id_col:
     """Encode, write the files to path (by default a new folder beside the checkpoints) and read them back."""
     spark = df.sparkSession
     path = path or stage_path(spark, "tokens")
-    write_orc(encode(df, vocabulary, id_col, text_col, end_id), path, id_col, files)
+    write_orc(encode(in_order(df, id_col, text_col, files), vocabulary, id_col, text_col, end_id), path, id_col)
     return read_orc(spark, path, id_col)
 
 
