@@ -142,8 +142,10 @@ def train(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         table, bias = fit([texts[i] for i in order], np.array([y[i] for i in order], np.int64))
         yield pa.RecordBatch.from_arrays([pa.array([table.tobytes()], pa.binary()), pa.array([float(bias[0])], pa.float64())], ["table", "bias"])
 
-    got = chosen.repartition(1).mapInArrow(run, "table binary, bias double").collect()[0]
-    return np.frombuffer(got.table, np.float64), got.bias
+    got = chosen.repartition(1).mapInArrow(run, "table binary, bias double").collect()
+    if not got:  # no labelled row: every score is 0.5
+        return np.zeros(1 << BUCKET_BITS), 0.0
+    return np.frombuffer(got[0].table, np.float64), got[0].bias
 
 
 def score_fields(spark, weights: tuple[np.ndarray, float]):
