@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
@@ -30,3 +33,22 @@ def shared_dir(spark: SparkSession) -> str:
         spark.conf.set("spark.checkpoint.dir", folder)
     spark.sparkContext.setCheckpointDir(folder)
     return folder
+
+
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Let Python workers import this package: nothing to do where the path already leads there, else a zip, once a context."""
+    root = Path(__file__).resolve().parent.parent
+    paths = {Path(p).resolve() for p in [*os.environ.get("PYTHONPATH", "").split(os.pathsep), "."] if p}
+    context = spark.sparkContext
+    if root in paths or context.applicationId in _shipped:
+        return
+    folder = tempfile.mkdtemp(prefix="chronolith-")
+    package = Path(__file__).resolve().parent
+    with zipfile.ZipFile(f"{folder}/chronolith.zip", "w", zipfile.ZIP_DEFLATED) as z:
+        for p in sorted(package.rglob("*.py")):
+            z.write(p, p.relative_to(root))
+    context.addPyFile(f"{folder}/chronolith.zip")
+    _shipped.add(context.applicationId)
