@@ -61,7 +61,12 @@ def votes(state: DataFrame, members: DataFrame, shards: int) -> DataFrame:
 def round_moves(state: DataFrame, members: DataFrame, shards: int, cap: float) -> DataFrame:
     """node and shard of the rows that move: the best gains that fit the room of each shard."""
     v = votes(state, members, shards).join(state, "node")
-    best = reduce(F.greatest, [F.struct(F.col(f"v{k}").alias("n"), F.pmod(F.lit(k) + F.col("lead"), F.lit(shards)).alias("tie"), F.lit(k).alias("to")) for k in range(shards)])
+    load = loads(state, shards)
+    # a full shard takes nobody in; of shards with equal votes, one with room comes first, then one by a hash of the group
+    best = reduce(F.greatest, [
+        F.struct(F.when((F.col("shard") == k) | F.lit(load[k] < cap), F.col(f"v{k}")).otherwise(-1).alias("n"), F.lit(load[k] < cap).alias("open"), F.pmod(F.lit(k) + F.col("lead"), F.lit(shards)).alias("tie"), F.lit(k).alias("to"))
+        for k in range(shards)
+    ])
     here = reduce(lambda a, k: F.when(F.col("shard") == k, F.col(f"v{k}")).otherwise(a), range(shards), F.lit(0))
     wish = v.withColumn("best", best).withColumn("gain", F.col("best.n") - here).where(F.col("best.to") != F.col("shard"))
     # classes of gain by powers of two, the best first, then a hash
@@ -69,7 +74,7 @@ def round_moves(state: DataFrame, members: DataFrame, shards: int, cap: float) -
     wish = wish.select("node", "size", F.col("best.to").alias("to"), (rank * FINE + F.pmod(F.xxhash64("node", F.lit("round")), F.lit(FINE))).cast("int").alias("bucket"))
     path = stage_path(state.sparkSession, "wishes")
     wish = staged(wish, "wishes", path)
-    room = by_shard([max(0.0, cap - x) for x in loads(state, shards)], F.col("to"))
+    room = by_shard([max(0.0, cap - x) for x in load], F.col("to"))
     sums = wish.groupBy("to", "bucket").agg(F.sum("size").alias("n"))  # at most shards * GAINS * FINE rows
     upto = F.sum("n").over(Window.partitionBy("to").orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0))
     fits = sums.withColumn("upto", upto).where(F.col("upto") <= room).select("to", "bucket")
