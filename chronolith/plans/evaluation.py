@@ -18,7 +18,10 @@ S = SparkSession
 
 @query(f"WITH {SIGNALS} SELECT coalesce(signal, 'ALL') AS signal, count(*) AS n, round(avg(ret), 6) AS mean_ret FROM (SELECT * FROM sig) GROUP BY ROLLUP (signal)")
 def signal_rollup(spark: S, sf: str) -> DataFrame:
-    return signals(spark, sf).rollup("signal").agg(F.count("*").alias("n"), r(F.avg("ret")).alias("mean_ret")).withColumn("signal", F.coalesce("signal", F.lit("ALL")))
+    """By signal and over all; the total is summed from the few rows by signal, and is there without any."""
+    by = signals(spark, sf).groupBy("signal").agg(F.count("*").alias("n"), F.sum("ret").alias("s"), F.count("ret").alias("c"))
+    total = by.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.sum("s").alias("s"), F.sum("c").alias("c")).withColumn("signal", F.lit("ALL"))
+    return by.unionByName(total).select("signal", "n", r(F.when(F.col("c") > 0, F.col("s") / F.col("c"))).alias("mean_ret"))
 
 
 #: Three scores of a candle: distance to its mean, its own move, its volume against the mean before.

@@ -280,11 +280,12 @@ def paired_brier(spark: S, sf: str) -> DataFrame:
     return d.groupBy("key").agg(F.count("*").alias("n"), r(F.avg("gain")).alias("gain"), r(F.stddev_samp("gain") / F.sqrt(F.count("*"))).alias("se"))
 
 
-@query(f"""WITH {RETURNS}, b AS (SELECT key, h, ret FROM fwd WHERE ret IS NOT NULL), k AS (SELECT unnest(range(1, 6))::INT AS k), a AS (SELECT a.key, k, corr(a.ret, b.ret) AS acf FROM b AS a CROSS JOIN k JOIN b ON b.key = a.key AND b.h = a.h - k GROUP BY 1, 2), v AS (SELECT key, 1 + 2 * sum(acf * (1 - k / 6.0::DOUBLE)) AS vif FROM a GROUP BY 1), n AS (SELECT key, count(*) AS n FROM b GROUP BY 1)
+@query(f"""WITH {RETURNS}, b AS (SELECT key, h, ret FROM fwd WHERE ret IS NOT NULL), k AS (SELECT unnest(range(1, 6))::INT AS k), a AS (SELECT a.key, k, corr(a.ret, b.ret) AS acf FROM b AS a CROSS JOIN k JOIN b ON b.key = a.key AND b.h = a.h - k GROUP BY 1, 2 HAVING count(*) >= 10), v AS (SELECT key, 1 + 2 * sum(acf * (1 - k / 6.0::DOUBLE)) AS vif FROM a GROUP BY 1), n AS (SELECT key, count(*) AS n FROM b GROUP BY 1)
 SELECT key, n, round(vif, 6) AS vif, round((1.959964 + 0.841621) / sqrt(n / vif), 6) AS detectable FROM v JOIN n USING (key) WHERE vif > 0""")
 def power(spark: S, sf: str) -> DataFrame:
+    """Lags of fewer than ten pairs don't count."""
     b = forward(spark, sf).where("ret IS NOT NULL").select("key", "h", "ret")
-    v = stats.variance_inflation(stats.autocorrelation(b, "ret", 5), 6).where("vif > 0")
+    v = stats.variance_inflation(stats.autocorrelation(b, "ret", 5).where("n >= 10"), 6).where("vif > 0")
     n = b.groupBy("key").agg(F.count("*").alias("n"))
     return n.join(v, "key").select("key", "n", r(F.col("vif")).alias("vif"), r((1.959964 + 0.841621) / F.sqrt(F.col("n") / F.col("vif"))).alias("detectable"))
 
