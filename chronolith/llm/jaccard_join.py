@@ -6,7 +6,7 @@ Texts become sets of hashed word shingles; equal sets are one class from the sta
    that hold are kept, and connected classes are one group. A group of thousands of near copies thus takes one pair a copy.
 2. Tokens get one order over the table: rare ones by hash, frequent ones after them by frequency, all counted over all classes.
    A class's probe tokens are the first so many in that order that a linked class shares at least min(L) of them, where
-   L(n) = n - ceil(t * n) + 1 and the probe has n - ceil(t * n) + L(n) tokens.
+   L(n) = floor((n - ceil(t * n)) / 2) + 1 and the probe has n - ceil(t * n) + L(n) tokens.
 3. The matrix holds, for each probe token, the groups whose union of probe tokens has it. Counting a class's probe tokens
    in a group's union bounds its overlap with every member; groups that miss the bound are never opened.
 4. The members of qualifying groups that differ little enough in size are compared exactly.
@@ -31,16 +31,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkernel as K
-from .runtime import drop_path, map_text, stage_path, staged
+from .runtime import drop_path, map_text, release, small_batches, stage_path, staged
 
 WIDTH, PERCENT = 4, 85
 BANDS, ROWS = 6, 3
 #: A token of this many classes is frequent; doubled until no more than MOST_FREQUENT are (8 bytes each, broadcast).
 FREQUENT, MOST_FREQUENT = 32, 2_000_000
 #: Tokens that a task packs before it hands them on, and tokens of one range.
-PACK, RANGE = 4_000_000, 2_000_000
+PACK, RANGE = 1_000_000, 1_000_000
 #: Ids broadcast at most (8 bytes each) to pick sets for comparison; more are joined by a shuffle.
 MOST_IDS = 1_000_000
+#: Rows of an Arrow batch; a row holds the tokens of a text or two.
+BATCH_ROWS = 500
 
 
 def ceil_part(n: np.ndarray, percent: int) -> np.ndarray:
@@ -49,7 +51,18 @@ def ceil_part(n: np.ndarray, percent: int) -> np.ndarray:
 
 def slack(n: np.ndarray, percent: int) -> np.ndarray:
     """L(n) of the module's text."""
-    return n - ceil_part(n, percent) + 1
+    return (n - ceil_part(n, percent)) // 2 + 1
+
+
+def packed_set(tokens: np.ndarray) -> bytes:
+    """The leading 48 bits of sorted 64-bit hashes: two chances in a billion that some pair of unequal tokens of two texts of
+    500 words is taken for equal."""
+    return (tokens >> np.uint64(32)).astype("<u4").tobytes() + (tokens >> np.uint64(16)).astype("<u2").tobytes()
+
+
+def unpacked_set(raw) -> np.ndarray:
+    n = len(raw) // 6
+    return (np.frombuffer(raw, "<u4", n).astype(np.uint64) << np.uint64(16)) | np.frombuffer(raw, "<u2", n, 4 * n).astype(np.uint64)
 
 
 def shingle_table(df: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
@@ -68,12 +81,11 @@ def shingle_table(df: DataFrame, id_col: str, text_col: str, width: int) -> Data
                     cids.append(None)
                     tokens.append(None)
                     continue
-                raw = flat[a:b].tobytes()
-                c = int.from_bytes(blake2b(raw, digest_size=8).digest(), "little", signed=True)
+                c = int.from_bytes(blake2b(flat[a:b].tobytes(), digest_size=8).digest(), "little", signed=True)
                 cids.append(c)
                 fresh[i] = c not in seen
-                tokens.append(raw if fresh[i] else None)
-                if len(seen) > 500_000:
+                tokens.append(packed_set(flat[a:b]) if fresh[i] else None)
+                if len(seen) > 200_000:
                     seen.clear()
                 seen.add(c)
             bands = np.zeros((len(n), BANDS), np.uint64)
@@ -110,7 +122,7 @@ def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         for batch in batches:
             keep = []
             for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+                x, y = unpacked_set(x.as_buffer()), unpacked_set(y.as_buffer())
                 both = np.concatenate([x, y])
                 both.sort()
                 inter = int((both[1:] == both[:-1]).sum())
@@ -154,29 +166,32 @@ def star_links(sets: DataFrame, percent: int) -> DataFrame:
     return verify(pairs, sets, percent)
 
 
-def short(tokens: np.ndarray) -> np.ndarray:
-    return (tokens >> np.uint64(32)).astype(np.uint32)
+def keyed(raw, ranges: int) -> np.ndarray:
+    """Tokens of a packed set as (range << 32) | 32 bits of the rest, so that keys of one range rarely collide at any size."""
+    tokens = unpacked_set(raw)
+    where = ((tokens >> np.uint64(16)) * np.uint64(ranges)) >> np.uint64(32)
+    return (where << np.uint64(32)) | (tokens & np.uint64(0xFFFFFFFF))
 
 
-def packed(groups, ranges: int):
-    """(range, blob) rows of token hashes, in ranges of equal width; groups: arrays (tokens uint32, columns of any uint type)."""
+def dealt(groups, ranges: int):
+    """(range, blobs) rows of keyed tokens and the columns beside them; groups: tuples of arrays, keys first."""
     columns = [np.concatenate(c) for c in zip(*groups, strict=True)]
-    order = np.argsort(columns[0], kind="stable")
+    order = np.argsort(columns[0])
     columns = [c[order] for c in columns]
-    where = (columns[0].astype(np.uint64) * np.uint64(ranges)) >> np.uint64(32)
-    cuts = np.concatenate([[0], np.flatnonzero(where[1:] != where[:-1]) + 1, [len(where)]]) if len(where) else [0]
-    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-        yield int(where[a]), [c[a:b].tobytes() for c in columns]
+    cuts = np.searchsorted(columns[0], np.arange(ranges + 1, dtype=np.uint64) << np.uint64(32))
+    columns[0] = columns[0].astype(np.uint32)  # the range is known from the row
+    for k in np.flatnonzero(np.diff(cuts)):
+        yield int(k), [c[cuts[k] : cuts[k + 1]].tobytes() for c in columns]
 
 
 def frequent_tokens(sets: DataFrame, ranges: int) -> tuple[np.ndarray, np.ndarray]:
-    """Frequent token hashes, sorted, and their counts."""
+    """Frequent tokens (keyed), sorted, and their counts."""
 
     def pack(batches):
         held, size = [], 0
         for batch in batches:
             for x in batch.column(0):
-                held.append((short(np.frombuffer(x.as_buffer(), np.uint64)),))
+                held.append((keyed(x.as_buffer(), ranges),))
                 size += len(held[-1][0])
                 if size > PACK:
                     yield from rows(held)
@@ -185,7 +200,7 @@ def frequent_tokens(sets: DataFrame, ranges: int) -> tuple[np.ndarray, np.ndarra
             yield from rows(held)
 
     def rows(held):
-        made = list(packed(held, ranges))
+        made = list(dealt(held, ranges))
         for k in range(0, len(made), 500):
             yield pa.RecordBatch.from_arrays([pa.array([r for r, _ in made[k : k + 500]], pa.int32()), pa.array([c[0] for _, c in made[k : k + 500]], pa.binary())], ["r", "blob"])
 
@@ -195,17 +210,18 @@ def frequent_tokens(sets: DataFrame, ranges: int) -> tuple[np.ndarray, np.ndarra
         first = np.flatnonzero(np.concatenate([[True], tokens[1:] != tokens[:-1]]))
         n = np.diff(np.concatenate([first, [len(tokens)]]))
         often = n >= FREQUENT
-        return pa.table({"token": tokens[first][often].astype(np.int64), "n": n[often].astype(np.int64)})
+        keys = (np.int64(t.column("r")[0].as_py()) << np.int64(32)) | tokens[first][often].astype(np.int64)
+        return pa.table({"token": keys, "n": n[often].astype(np.int64)})
 
     counts = staged(sets.where("tokens IS NOT NULL").select("tokens").mapInArrow(pack, "r int, blob binary").groupBy("r").applyInArrow(count, "token bigint, n bigint"), "frequent")
     level = FREQUENT
     while counts.where(F.col("n") >= level).count() > MOST_FREQUENT:
         level *= 2
     got = counts.where(F.col("n") >= level).toPandas().sort_values("token")
-    return got["token"].to_numpy(np.uint32), got["n"].to_numpy(np.int64)
+    return got["token"].to_numpy(np.uint64), got["n"].to_numpy(np.int64)
 
 
-def probes(sets: DataFrame, frequent: tuple[np.ndarray, np.ndarray], percent: int) -> DataFrame:
+def probes(sets: DataFrame, frequent: tuple[np.ndarray, np.ndarray], percent: int, ranges: int) -> DataFrame:
     """cid, n and probe (packed token hashes), one row a class."""
     shared = sets.sparkSession.sparkContext.broadcast(frequent)
 
@@ -214,7 +230,7 @@ def probes(sets: DataFrame, frequent: tuple[np.ndarray, np.ndarray], percent: in
         for batch in batches:
             out = []
             for x in batch.column(2):
-                tokens = short(np.frombuffer(x.as_buffer(), np.uint64))  # sorted, as the whole hashes are
+                tokens = np.sort(keyed(x.as_buffer(), ranges))
                 n = len(tokens)
                 most = n - int(ceil_part(n, percent)) + int(slack(n, percent))
                 if len(hot):
@@ -237,11 +253,12 @@ def matrix_candidates(rows: DataFrame, ranges: int, percent: int) -> DataFrame:
         held, size = [], 0
         for batch in batches:
             for c, n, g, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3), strict=True):
-                tokens = np.frombuffer(x.as_buffer(), np.uint32)
+                tokens = np.frombuffer(x.as_buffer(), np.uint64)
                 k = len(tokens)
-                held.append((tokens, np.full(k, c, np.int64), np.full(k, g, np.int64), np.full(k, n, np.int32)))
+                # most classes are their own group: the difference of the two is zero then, and zeros compress
+                held.append((tokens, np.full(k, c, np.int64), np.full(k, c ^ g, np.int64), np.full(k, n, np.int32)))
                 size += k
-                if size > PACK // 4:
+                if size > PACK // 2:
                     yield from blobs(held)
                     held, size = [], 0
         if held:
@@ -250,22 +267,28 @@ def matrix_candidates(rows: DataFrame, ranges: int, percent: int) -> DataFrame:
     names = ["r", "token", "cid", "gid", "n"]
 
     def blobs(held):
-        made = list(packed(held, ranges))
+        made = list(dealt(held, ranges))
         for k in range(0, len(made), 500):
             part = made[k : k + 500]
             yield pa.RecordBatch.from_arrays([pa.array([r for r, _ in part], pa.int32()), *[pa.array([c[j] for _, c in part], pa.binary()) for j in range(4)]], names)
 
     def lists(t: pa.Table) -> pa.Table:
         token, cid, gid, n = (np.concatenate([np.frombuffer(x.as_buffer(), kind) for x in t.column(c)]) for c, kind in (("token", np.uint32), ("cid", np.int64), ("gid", np.int64), ("n", np.int32)))
+        gid = cid ^ gid
         order = np.lexsort((gid, token))
         token, cid, gid, n = token[order], cid[order], gid[order], n[order]
         # tokens of one group only can't link two
         start = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]])) if len(token) else np.empty(0, np.int64)
         end = np.concatenate([start[1:], [len(token)]]).astype(np.int64)
         several = gid[start] != gid[end - 1] if len(start) else np.empty(0, bool)
-        found_c, found_g = [], []
+        # lists of two classes, the most by far, at once
+        two = start[several & (end - start == 2)]
+        fits = (100 * n[two].astype(np.int64) >= percent * n[two + 1]) & (100 * n[two + 1].astype(np.int64) >= percent * n[two])
+        two = two[fits]
+        found_c, found_g = [cid[two], cid[two + 1]], [gid[two + 1], gid[two]]
+        several &= end - start > 2
         for a, b in zip(start[several], end[several], strict=True):
-            g, c, sizes = gid[a:b], cid[a:b], n[a:b]
+            g, c, sizes = gid[a:b], cid[a:b], n[a:b].astype(np.int64)
             first = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]]))
             least, most = np.minimum.reduceat(sizes, first), np.maximum.reduceat(sizes, first)
             for i, one in enumerate(g[first]):
@@ -282,25 +305,38 @@ def matrix_candidates(rows: DataFrame, ranges: int, percent: int) -> DataFrame:
     found = rows.select("cid", "n", "gid", "probe").mapInArrow(pack, "r int, token binary, cid binary, gid binary, n binary").groupBy("r").applyInArrow(lists, "cid bigint, gid bigint, k bigint")
     bound = found.groupBy("cid", "gid").agg(F.sum("k").alias("k")).join(rows.select("cid", "n"), "cid")
     least = F.ceil(F.col("n") * percent / 100).cast("long")  # the smallest set that can link
-    need = least - F.ceil(least * percent / 100).cast("long") + 1
+    need = F.floor((least - F.ceil(least * percent / 100)) / 2).cast("long") + 1
     return bound.where(F.col("k") >= need).select("cid", "n", "gid")
 
 
 def link_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """id_col, n_shingles and component_id: the smallest id reachable over links of at least percent Jaccard, itself included."""
+    with small_batches(df.sparkSession, BATCH_ROWS):
+        return _components(df, id_col, text_col, width, percent)
+
+
+def _components(df: DataFrame, id_col: str, text_col: str, width: int, percent: int) -> DataFrame:
     spark = df.sparkSession
     base = staged(shingle_table(df, id_col, text_col, width), "shingles")
     total = base.where("tokens IS NOT NULL").agg(F.sum("n")).first()[0] or 0
     ranges = max(16, int(total // RANGE))
     stars = star_links(base, percent)
     groups = components(stars)
-    probe = probes(base, frequent_tokens(base, ranges), percent).join(groups.select(F.col("node").alias("cid"), "label"), "cid", "left")
+    release(spark)
+    frequent = frequent_tokens(base, ranges)
+    release(spark)
+    probe = probes(base, frequent, percent, ranges).join(groups.select(F.col("node").alias("cid"), "label"), "cid", "left")
     probe = staged(probe.select("cid", "n", F.coalesce("label", "cid").alias("gid"), "probe"), "probes")
+    release(spark)
     opened = matrix_candidates(probe, ranges, percent)
     members = probe.select(F.col("cid").alias("other"), F.col("n").alias("m"), "gid")
     close = (100 * F.col("m") >= percent * F.col("n")) & (100 * F.col("n") >= percent * F.col("m"))
     pairs = opened.join(members, "gid").where(close).select(F.least("cid", "other").alias("a"), F.greatest("cid", "other").alias("b")).distinct()
+    pairs = staged(pairs, "opened")
+    del opened
+    release(spark)
     links = stars.unionByName(verify(pairs, base, percent))
+    release(spark)
     whole = components(links).select(F.col("node").alias("cid"), "label")
     rows = base.select("id", "n", "cid").join(whole, "cid", "left").withColumn("label", F.coalesce("label", "cid"))
     least = rows.where("label IS NOT NULL").groupBy("label").agg(F.min("id").alias("least"))
@@ -315,3 +351,16 @@ def keep_first(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
     if gone.count() <= MOST_IDS:
         gone = F.broadcast(gone)
     return df.join(gone, df[id_col].eqNullSafe(F.col("__id")), "left_anti")
+
+
+def oracle_sql(width: int = WIDTH, percent: int = PERCENT) -> str:
+    """The same rows by brute force over shared shingles, for small tables."""
+    return rf"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(ws[i:i + {width - 1}], ' ') AS g FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - {width - 1}, 1) + 1)) AS i FROM w WHERE len(ws) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM s AS a JOIN s AS b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM c JOIN n AS x ON x.doc_id = a JOIN n AS y ON y.doc_id = b WHERE 100 * k >= {percent} * (x.n + y.n - k)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r AS (SELECT DISTINCT a AS doc_id, a AS root FROM e UNION SELECT r.doc_id, e.b FROM r JOIN e ON e.a = r.root),
+m AS (SELECT doc_id, min(root) AS least FROM r GROUP BY 1)
+SELECT w.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, coalesce(least, w.doc_id) AS component_id FROM w LEFT JOIN n ON n.doc_id = w.doc_id LEFT JOIN m ON m.doc_id = w.doc_id"""

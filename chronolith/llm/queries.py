@@ -65,5 +65,5 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    known = {"op1_repetition": repetition.oracle_sql(), "op6_mixing": mixing.ORACLE_SQL}
+    known = {"op1_repetition": repetition.oracle_sql(), "op6_mixing": mixing.ORACLE_SQL, "op8_jaccard_join": jaccard_join.oracle_sql()}
     return known | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})

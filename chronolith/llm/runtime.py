@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -52,6 +54,24 @@ def drop_path(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of plans that nothing refers to any more; it does so when they are garbage-collected."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+@contextmanager
+def small_batches(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Arrow batches of so many rows at most, for rows of several KB; holds for what runs inside."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def raw_text(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of a string column and the offsets of its rows; a null is an empty text."""
     if column.null_count:
@@ -106,7 +126,3 @@ def map_text(df: DataFrame, text: str, fields: dict[str, str], make: Callable[[]
                     yield pa.RecordBatch.from_arrays([x.filter(columns[at]) for x in piece.columns[:n] + columns[:at] + columns[at + 1 :]], names)
 
     return source.mapInArrow(run, out)
-
-
-def empty_to_null_safe(text) -> F.Column:
-    return F.coalesce(text.cast("string"), F.lit(""))
