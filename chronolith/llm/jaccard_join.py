@@ -2,8 +2,8 @@
 
 Texts become sets of hashed word shingles; equal sets are one class from the start. The join then runs over classes:
 
-1. Similar classes are partitioned into groups: classes that share a band of minimum hashes meet the band's first class, links
-   that hold are kept, and connected classes are one group. A group of thousands of near copies thus takes one pair a copy.
+1. Similar classes are partitioned into groups: classes that share a band of minimum hashes meet the band's first and last class, links
+   that hold are kept, and connected classes are one group. A group of thousands of near copies thus takes a few pairs a copy.
 2. Tokens get one order over the table: rare ones by hash, frequent ones after them by frequency, all counted over all classes.
    A class's probe tokens are the first so many in that order that a linked class shares at least min(L) of them, where
    L(n) = floor((n - ceil(t * n)) / 2) + 1 and the probe has n - ceil(t * n) + L(n) tokens.
@@ -35,8 +35,8 @@ from .runtime import drop_path, map_text, release, small_batches, stage_path, st
 
 WIDTH, PERCENT = 4, 85
 BANDS, ROWS = 6, 3
-#: A token of this many classes is frequent; doubled until no more than MOST_FREQUENT are (8 bytes each, broadcast).
-FREQUENT, MOST_FREQUENT = 32, 2_000_000
+#: A token of this many classes is frequent; doubled until no more than MOST_FREQUENT are (16 bytes each, broadcast).
+FREQUENT, MOST_FREQUENT = 4, 1_000_000
 #: Tokens that a task packs before it hands them on, and tokens of one range.
 PACK, RANGE = 1_000_000, 1_000_000
 #: Ids broadcast at most (8 bytes each) to pick sets for comparison; more are joined by a shuffle.
@@ -159,10 +159,10 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def star_links(sets: DataFrame, percent: int) -> DataFrame:
-    """Links between classes of equal bands and the first class of the band."""
+    """Links between classes of equal bands and the first and last class of the band."""
     band = sets.where("bands IS NOT NULL").select("cid", F.explode("bands").alias("band")).distinct()
-    hubs = band.groupBy("band").agg(F.min("cid").alias("hub"), F.count("*").alias("k")).where("k > 1").select("band", "hub")
-    pairs = band.join(hubs, "band").where("cid <> hub").select(F.col("hub").alias("a"), F.col("cid").alias("b")).distinct()
+    hubs = band.groupBy("band").agg(F.min("cid").alias("a"), F.max("cid").alias("z")).where("a < z").select("band", F.explode(F.array("a", "z")).alias("hub"))
+    pairs = band.join(hubs, "band").where("cid <> hub").select(F.least("hub", "cid").alias("a"), F.greatest("hub", "cid").alias("b")).distinct()
     return verify(pairs, sets, percent)
 
 
@@ -217,8 +217,8 @@ def frequent_tokens(sets: DataFrame, ranges: int) -> tuple[np.ndarray, np.ndarra
     level = FREQUENT
     while counts.where(F.col("n") >= level).count() > MOST_FREQUENT:
         level *= 2
-    got = counts.where(F.col("n") >= level).toPandas().sort_values("token")
-    return got["token"].to_numpy(np.uint64), got["n"].to_numpy(np.int64)
+    got = counts.where(F.col("n") >= level).toArrow().sort_by("token")
+    return got["token"].to_numpy().astype(np.uint64), got["n"].to_numpy().astype(np.int64)
 
 
 def probes(sets: DataFrame, frequent: tuple[np.ndarray, np.ndarray], percent: int, ranges: int) -> DataFrame:
@@ -287,6 +287,7 @@ def matrix_candidates(rows: DataFrame, ranges: int, percent: int) -> DataFrame:
         two = two[fits]
         found_c, found_g = [cid[two], cid[two + 1]], [gid[two + 1], gid[two]]
         several &= end - start > 2
+        held, kept = 0, []
         for a, b in zip(start[several], end[several], strict=True):
             g, c, sizes = gid[a:b], cid[a:b], n[a:b].astype(np.int64)
             first = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]]))
@@ -295,12 +296,25 @@ def matrix_candidates(rows: DataFrame, ranges: int, percent: int) -> DataFrame:
                 # classes of other groups whose size lets them link with some class of this one
                 near = (100 * sizes >= percent * least[i]) & (100 * most[i] >= percent * sizes) & (g != one)
                 found_c.append(c[near])
-                found_g.append(np.full(int(near.sum()), one))
-        c, g = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (found_c, found_g))
+                found_g.append(np.full(len(found_c[-1]), one))
+                held += len(found_c[-1])
+                if held > 1_000_000:
+                    kept = [counted([*kept, tally(found_c, found_g)])]
+                    found_c, found_g, held = [], [], 0
+        c, g, k = counted([*kept, tally(found_c, found_g)])
+        return pa.table({"cid": c, "gid": g, "k": k})
+
+    def tally(found_c, found_g):
+        c, g = np.concatenate(found_c) if found_c else np.empty(0, np.int64), np.concatenate(found_g) if found_g else np.empty(0, np.int64)
+        return c, g, np.ones(len(c), np.int64)
+
+    def counted(parts):
+        """Pairs (class, group), each once, with the sum of its counts."""
+        c, g, k = (np.concatenate(x) for x in zip(*parts, strict=True))
         order = np.lexsort((g, c))
-        c, g = c[order], g[order]
+        c, g, k = c[order], g[order], k[order]
         first = np.flatnonzero(np.concatenate([[True], (c[1:] != c[:-1]) | (g[1:] != g[:-1])])) if len(c) else np.empty(0, np.int64)
-        return pa.table({"cid": c[first], "gid": g[first], "k": np.diff(np.concatenate([first, [len(c)]])).astype(np.int64)})
+        return c[first], g[first], np.add.reduceat(k, first) if len(c) else k
 
     found = rows.select("cid", "n", "gid", "probe").mapInArrow(pack, "r int, token binary, cid binary, gid binary, n binary").groupBy("r").applyInArrow(lists, "cid bigint, gid bigint, k bigint")
     bound = found.groupBy("cid", "gid").agg(F.sum("k").alias("k")).join(rows.select("cid", "n"), "cid")
