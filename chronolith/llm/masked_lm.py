@@ -6,7 +6,7 @@ sum of the log-probabilities of its words, each given its real neighbours.
 
 Symbols are the most frequent words of the corpus, counted exactly over all texts, and buckets by ending and length for the
 others; sorted by frequency and cut into equal classes. Output biases start at the corpus log-frequencies, so an untrained
-network is the corpus unigram model. Every task trains on one in STRIDE places of all its texts from the same start, and the
+network is the corpus unigram model. Every task trains on every place of all its texts from the same start (on one in STRIDE, where that is more than 1), and the
 networks are averaged by their number of places: data, counts and what is gathered grow with the corpus, a task's memory and
 the model (about 2 MB, broadcast) don't. Partial sums are reduced in two levels, so no task takes more than about the square
 root of the number of partitions of models.
@@ -28,7 +28,7 @@ from .runtime import map_text, pieces, raw_text, staged
 
 CLASSES, MEMBERS, BUCKETS = 64, 64, 256
 SYMBOLS = CLASSES * MEMBERS
-DIM, PLACES, STRIDE, BATCH, RATE, SEED = 24, (-2, -1, 1, 2), 16, 512, 0.1, 3
+DIM, PLACES, STRIDE, BATCH, RATE, SEED = 24, (-2, -1, 1, 2), 1, 512, 0.1, 3
 CHUNK = 1 << 15
 
 
@@ -146,31 +146,38 @@ class Network:
         return out
 
     def step(self, symbol: np.ndarray, context: np.ndarray, rate: float) -> None:
-        n = len(symbol)
+        order = np.argsort(symbol // MEMBERS, kind="stable")
+        symbol, context = symbol[order], context[order]
+        n, at = len(symbol), np.arange(len(symbol))
         h, c, m = self.hidden(context), symbol // MEMBERS, symbol % MEMBERS
         z = h @ self.wc + self.bc
         g = np.exp(z - z.max(1, keepdims=True))
         g /= g.sum(1, keepdims=True)
-        g[np.arange(n), c] -= 1
+        g[at, c] -= 1
         gh = g @ self.wc.T
         dwc, dbc = h.T @ g / n, g.mean(0)
-        order = np.argsort(c, kind="stable")
-        cuts = np.searchsorted(c[order], np.arange(CLASSES + 1))
-        for k in np.flatnonzero(np.diff(cuts)):
-            i = order[cuts[k] : cuts[k + 1]]
-            z = h[i] @ self.wm[k] + self.bm[k]
-            g = np.exp(z - z.max(1, keepdims=True))
-            g /= g.sum(1, keepdims=True)
-            g[np.arange(len(i)), m[i]] -= 1
-            gh[i] += g @ self.wm[k].T
-            self.wm[k] -= rate * (h[i].T @ g) / len(i)
-            self.bm[k] -= rate * g.mean(0)
+        first = np.flatnonzero(np.concatenate([[True], c[1:] != c[:-1]]))
+        seen, size = c[first], np.diff(np.append(first, n))
+        runs = list(zip(seen.tolist(), first.tolist(), (first + size).tolist(), strict=True))
+        z = self.bm[c]
+        for k, i, j in runs:
+            z[i:j] += h[i:j] @ self.wm[k]
+        g = np.exp(z - z.max(1, keepdims=True))
+        g /= g.sum(1, keepdims=True)
+        g[at, m] -= 1
+        mean = g * (rate / np.repeat(size, size)).astype(np.float32)[:, None]
+        for k, i, j in runs:
+            gh[i:j] += g[i:j] @ self.wm[k].T
+            self.wm[k] -= h[i:j].T @ mean[i:j]
+        self.bm[seen] -= np.add.reduceat(mean, first)
         self.wc -= rate * 4 * dwc
         self.bc -= rate * dbc
         gz = gh * (1 - h * h)
         self.shift -= rate * gz.mean(0)
+        change = (-rate * gz).astype(np.float32).ravel()
         for k in range(len(PLACES)):
-            np.add.at(self.table[k], context[:, k], (-rate * gz).astype(np.float32))
+            cells = context[:, k, None] * DIM + np.arange(DIM)
+            np.add.at(self.table[k].reshape(-1), cells.ravel(), change)
 
 
 def windows(symbol: np.ndarray, doc: np.ndarray) -> np.ndarray:

@@ -228,3 +228,29 @@ def test_masked_lm_probabilities_sum_to_one():
     context = np.tile(rng.integers(0, masked_lm.SYMBOLS, (1, 4)), (masked_lm.SYMBOLS, 1))
     logs = net.log_probability(np.arange(masked_lm.SYMBOLS), context)
     assert np.exp(logs).sum() == pytest.approx(1, abs=1e-3)
+
+
+def test_masked_lm_trains_on_every_word(spark):
+    docs = frame(spark, [(k, text(random.Random(k), 40), "s") for k in range(60)])
+    assert masked_lm.STRIDE == 1 and masked_lm.train.__defaults__[-1] == 1
+    assert np.array_equal(masked_lm.train(docs.coalesce(1))[1], masked_lm.train(docs.coalesce(1), stride=1)[1])
+
+
+def test_masked_lm_step_is_the_gradient_by_class():
+    rng = np.random.default_rng(2)
+    net, was = (masked_lm.Network(np.ones(masked_lm.SYMBOLS)) for _ in range(2))
+    symbol, context, rate = rng.integers(0, 300, 200), rng.integers(0, 50, (200, 4)), 0.1
+    net.step(symbol, context, rate)
+    h, c, m = was.hidden(context), symbol // masked_lm.MEMBERS, symbol % masked_lm.MEMBERS
+    softmax = lambda z: np.exp(z) / np.exp(z).sum(1, keepdims=True)
+    g = softmax(h @ was.wc + was.bc) - np.eye(masked_lm.CLASSES)[c]
+    gh = g @ was.wc.T
+    for k in np.unique(c):
+        i = np.flatnonzero(c == k)
+        e = softmax(h[i] @ was.wm[k] + was.bm[k]) - np.eye(masked_lm.MEMBERS)[m[i]]
+        gh[i] += e @ was.wm[k].T
+        assert np.allclose(net.wm[k], was.wm[k] - rate * h[i].T @ e / len(i), atol=1e-5) and np.allclose(net.bm[k], was.bm[k] - rate * e.mean(0), atol=1e-5)
+    table = was.table.astype(float)
+    for k in range(4):
+        np.add.at(table[k], context[:, k], -rate * gh * (1 - h * h))
+    assert np.allclose(net.table, table, atol=1e-5) and np.allclose(net.wc, was.wc - rate * 4 * h.T @ g / 200, atol=1e-5)
