@@ -5,7 +5,9 @@ sum goes through tanh into a softmax in two steps, first the word's class, then
 sum of the log-probabilities of its words, each given its real neighbours.
 
 Symbols are the most frequent words of the corpus, counted exactly over all texts, and buckets by ending and length for the
-others; sorted by frequency and cut into equal classes. Output biases start at the corpus log-frequencies, so an untrained
+others; sorted by frequency and cut into equal classes. The network gives a bucket's mass; a word in it gets its share of that by
+the exact counts of all words, joined to the texts' words (a table as long as the vocabulary, never collected). What is left of a
+bucket, as much as one occurrence, is dealt among one more unseen word than it has seen ones. Output biases start at the corpus log-frequencies, so an untrained
 network is the corpus unigram model. Every task trains on every place of all its texts from the same start (on one in STRIDE, where that is more than 1), and the
 networks are averaged by their number of places: data, counts and what is gathered grow with the corpus, a task's memory and
 the model (about 2 MB, broadcast) don't. Partial sums are reduced in two levels, so no task takes more than about the square
@@ -30,6 +32,7 @@ CLASSES, MEMBERS, BUCKETS = 64, 64, 256
 SYMBOLS = CLASSES * MEMBERS
 DIM, PLACES, STRIDE, BATCH, RATE, SEED = 24, (-2, -1, 1, 2), 1, 512, 0.1, 3
 CHUNK = 1 << 15
+NANO = 1_000_000_000  # logarithms are added as integers, so that their sum doesn't depend on the order
 
 
 def hashed(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -45,8 +48,11 @@ def hashed(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 class Symbols:
-    def __init__(self, hashes: np.ndarray, ids: np.ndarray, buckets: np.ndarray):
+    def __init__(self, hashes: np.ndarray, ids: np.ndarray, buckets: np.ndarray, unseen: np.ndarray):
+        """unseen: for each bucket, the logarithm of the share of it that an unseen word gets."""
         self.hashes, self.ids, self.buckets = hashes, ids, buckets
+        self.unseen = np.full(SYMBOLS, np.nan)
+        self.unseen[buckets] = unseen
 
     def of(self, h: np.ndarray, bucket: np.ndarray) -> np.ndarray:
         if not len(self.hashes):
@@ -80,14 +86,16 @@ def count_words(df: DataFrame, text_col: str) -> DataFrame:
     return part.groupBy("word").agg(F.first("bucket").alias("bucket"), F.sum("n").alias("n"))
 
 
-def symbols(df: DataFrame, text_col: str) -> tuple[Symbols, np.ndarray]:
-    """The symbols, and the corpus count of each plus one."""
+def symbols(df: DataFrame, text_col: str) -> tuple[Symbols, np.ndarray, DataFrame]:
+    """The symbols, the corpus count of each plus one, and gains: by how much a word of a bucket is above an unseen one (in NANO)."""
     words = staged(count_words(df, text_col), "words")
     top = words.orderBy(F.desc("n"), "word").limit(SYMBOLS - BUCKETS).toPandas()  # the vocabulary: a fixed number of rows
-    rest = np.zeros(BUCKETS)
-    for r in words.groupBy("bucket").agg(F.sum("n").alias("n")).collect():  # a row a bucket
-        rest[r.bucket] = r.n
-    rest -= np.bincount(top["bucket"].to_numpy(np.int64), top["n"].to_numpy(np.float64), BUCKETS)
+    rest, kinds = np.zeros(BUCKETS), np.zeros(BUCKETS)
+    for r in words.groupBy("bucket").agg(F.sum("n").alias("n"), F.count("*").alias("kinds")).collect():  # a row a bucket
+        rest[r.bucket], kinds[r.bucket] = r.n, r.kinds
+    in_top = top["bucket"].to_numpy(np.int64)
+    rest -= np.bincount(in_top, top["n"].to_numpy(np.float64), BUCKETS)
+    kinds -= np.bincount(in_top, minlength=BUCKETS)
     n = np.concatenate([top["n"].to_numpy(np.float64), rest, np.zeros(SYMBOLS - BUCKETS - len(top))])
     rank = np.empty(SYMBOLS, np.int64)
     rank[np.argsort(-n, kind="stable")] = np.arange(SYMBOLS)
@@ -95,7 +103,11 @@ def symbols(df: DataFrame, text_col: str) -> tuple[Symbols, np.ndarray]:
     counts[rank] = n
     h = top["word"].to_numpy(np.int64)
     order = np.argsort(h)
-    return Symbols(h[order], rank[: len(h)][order], rank[len(h) : len(h) + BUCKETS]), counts + 1
+    more = df.sparkSession.createDataFrame([(b, float(np.log(k + 1))) for b, k in enumerate(kinds)], "bucket int, more double")
+    gain = F.round((F.log("n") + F.col("more")) * NANO).cast("bigint")
+    gains = words.join(F.broadcast(more), "bucket").select("word", gain.alias("gain"))
+    unseen = -np.log(rest + 1) - np.log(kinds + 1)
+    return Symbols(h[order], rank[: len(h)][order], rank[len(h) : len(h) + BUCKETS], unseen), counts + 1, gains
 
 
 class Network:
@@ -191,9 +203,9 @@ def windows(symbol: np.ndarray, doc: np.ndarray) -> np.ndarray:
     return context
 
 
-def train(df: DataFrame, text_col: str = "text", stride: int = STRIDE) -> tuple[Symbols, np.ndarray]:
-    """The symbols and the averaged network."""
-    known, counts = symbols(df, text_col)
+def train(df: DataFrame, text_col: str = "text", stride: int = STRIDE) -> tuple[Symbols, np.ndarray, DataFrame]:
+    """The symbols, the averaged network and the gains of words in buckets."""
+    known, counts, gains = symbols(df, text_col)
     spark = df.sparkSession
     shared = spark.sparkContext.broadcast((known, counts))
 
@@ -227,12 +239,13 @@ def train(df: DataFrame, text_col: str = "text", stride: int = STRIDE) -> tuple[
     some = nets.groupBy(F.pmod("part", F.lit(few)).alias("g")).applyInArrow(total, kind)
     got = some.groupBy(F.lit(0).alias("g")).applyInArrow(total, kind).collect()
     net = Network(counts)
-    return known, (net.load(np.frombuffer(got[0].net, np.float32)) if got else net).flat()
+    return known, (net.load(np.frombuffer(got[0].net, np.float32)) if got else net).flat(), gains
 
 
-def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: tuple[Symbols, np.ndarray] | None = None) -> DataFrame:
+def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: tuple[Symbols, np.ndarray, DataFrame] | None = None) -> DataFrame:
     """id_col, n_words, pseudo_log_likelihood (natural logarithm) and mean_log_probability (by word)."""
-    shared = df.sparkSession.sparkContext.broadcast(model or train(df, text_col))
+    known, flat, gains = model or train(df, text_col)
+    shared = df.sparkSession.sparkContext.broadcast((known, flat))
 
     def make():
         known, flat = shared.value
@@ -242,12 +255,25 @@ def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", model:
             n = len(offsets) - 1
             h, bucket, doc = hashed(data, offsets)
             symbol = known.of(h, bucket)
-            logs = net.log_probability(symbol, windows(symbol, doc))
-            count, total = np.bincount(doc, minlength=n), np.bincount(doc, logs, n)
-            mean = pa.array(np.round(total / np.maximum(count, 1), 6), mask=count == 0)
-            return [count.astype(np.int64), np.round(total, 4), mean]
+            share = known.unseen[symbol]
+            folded = ~np.isnan(share)
+            logs = net.log_probability(symbol, windows(symbol, doc)) + np.where(folded, share, 0)
+            w, d = h[folded], doc[folded]
+            order = np.lexsort((w, d))
+            w, d = w[order], d[order]
+            first = np.flatnonzero(np.concatenate([[True], (w[1:] != w[:-1]) | (d[1:] != d[:-1])])) if len(w) else np.empty(0, np.int64)
+            ends = np.searchsorted(d[first], np.arange(n + 1)).astype(np.int32)
+            lists = [pa.ListArray.from_arrays(ends, pa.array(x)) for x in (w[first], np.diff(np.append(first, len(w))))]
+            return [np.bincount(doc, minlength=n).astype(np.int64), np.bincount(doc, logs, n), *lists]
 
         return kernel
 
-    fields = {"n_words": "bigint", "pseudo_log_likelihood": "double", "mean_log_probability": "double"}
-    return map_text(df, text_col, fields, make, [id_col])
+    fields = {"n_words": "bigint", "pseudo_log_likelihood": "double", "mean_log_probability": "array<bigint>", "__times": "array<bigint>"}
+    rows = map_text(df, text_col, fields, make, [id_col]).withColumnRenamed("mean_log_probability", "__words")
+    rows = staged(rows.withColumn("__row", F.monotonically_increasing_id()), "scored")
+    each = rows.select("__row", F.explode(F.arrays_zip("__words", "__times")).alias("w")).select("__row", F.col("w.__words").alias("word"), F.col("w.__times").alias("times"))
+    gained = each.join(gains, "word").groupBy("__row").agg((F.sum(F.col("times") * F.col("gain")) / NANO).alias("__gain"))
+    total = F.col("pseudo_log_likelihood") + F.coalesce("__gain", F.lit(0.0))
+    mean = F.when(F.col("n_words") > 0, F.round(total / F.col("n_words"), 6))
+    kept = [c for c in rows.columns if not c.startswith("__") and c not in ("n_words", "pseudo_log_likelihood")]
+    return rows.join(gained, "__row", "left").select(*kept, "n_words", F.round(total, 4).alias("pseudo_log_likelihood"), mean.alias("mean_log_probability"))

@@ -254,3 +254,19 @@ def test_masked_lm_step_is_the_gradient_by_class():
     for k in range(4):
         np.add.at(table[k], context[:, k], -rate * gh * (1 - h * h))
     assert np.allclose(net.table, table, atol=1e-5) and np.allclose(net.wc, was.wc - rate * 4 * h.T @ g / 200, atol=1e-5)
+
+
+def test_masked_lm_divides_a_bucket_among_its_words(spark):
+    rng = random.Random(5)
+    often = ["w%dzz" % k for k in range(masked_lm.SYMBOLS - masked_lm.BUCKETS)]
+    rare = ["aaaqqend", "bbbqqend", "cccqqend"]  # one ending and length, so one bucket; with 3, 2 and 1 occurrences
+    words = often * 4 + [rare[0]] * 3 + [rare[1]] * 2 + [rare[2]]
+    rng.shuffle(words)
+    rows = [(k, " ".join(words[a : a + 500]), "s") for k, a in enumerate(range(0, len(words), 500))]
+    model = masked_lm.train(frame(spark, rows))
+    asked = [(k, w, "s") for k, w in enumerate([*rare, "dddqqend", "eeeqqend", often[0]])] + [(None, rare[0], "s"), (0, rare[0] + " " + rare[0], "s")]
+    rows = masked_lm.score(frame(spark, asked), model=model).collect()
+    got = {(r.doc_id, r.n_words): r.pseudo_log_likelihood for r in rows}
+    assert len(rows) == len(asked) and got[None, 1] == got[0, 1]
+    assert got[0, 1] - got[1, 1] == pytest.approx(np.log(3 / 2), abs=1e-3) and got[1, 1] - got[2, 1] == pytest.approx(np.log(2), abs=1e-3)
+    assert got[2, 1] - got[3, 1] == pytest.approx(np.log(4), abs=1e-3) and got[3, 1] == got[4, 1]
