@@ -1,8 +1,8 @@
 """Personal data by a semi-Markov conditional random field over candidate runs of tokens.
 
 Base rules find e-mail addresses, IPv4 addresses, payment cards and international phone numbers. The model adds what they
-miss: runs of tokens with digits or an at-sign are segmented by dynamic programming over all segments of up to MAX_TOKENS
-tokens and all kinds at once; a token outside any segment scores 0, a segment scores its kind's weights on features of the
+miss: runs of tokens with digits or an at-sign, with their neighbours, are segmented by dynamic programming over all segments of
+up to MAX_TOKENS tokens and all kinds at once, one token of any length or several of MAX_CHARS together; a token outside any segment scores 0, a segment scores its kind's weights on features of the
 whole span (shape, digit counts, checksums, the word before). Base spans stay as they are, and no segment crosses one.
 
 The weights are trained here, on the driver, by gradient ascent on the model's conditional likelihood over generated
@@ -15,6 +15,7 @@ the results are not read.
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from hashlib import sha256
 from math import inf
 
@@ -27,7 +28,7 @@ from .runtime import map_text
 
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "iban", "secret", "ssn")
-MAX_TOKENS, MAX_CHARS, TRAINING, EPOCHS, RATE, SEED = 6, 120, 1500, 12, 0.3, 5
+MAX_TOKENS, MAX_CHARS, TRAINING, EPOCHS, RATE, SEED = 12, 320, 1500, 12, 0.3, 5
 #: What a segment's kind must score above staying outside.
 MARGIN = 0.3
 
@@ -37,6 +38,10 @@ CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 MARK = re.compile(r"[0-9@]")
 SPACE = " \t\n\x0b\x0c\r"
+#: Tokens end at white space and at the marks that stand between a name and its value or in a list.
+TOKEN = re.compile(r"[^\x20\t\n\x0b\x0c\r:=\"',;]+")
+GAP = re.compile(r"[\x20\t\n\x0b\x0c\r]{0,2}[:=\"',;]{0,3}[\x20\t\n\x0b\x0c\r]{0,2}[\"']?")
+GROUP = re.compile(r"[A-Z0-9]{1,4}")
 HIDDEN = re.compile(r"[A-Za-z0-9._%+-]+ ?(?:\(at\)|\[at\]|\bat\b) ?[A-Za-z0-9-]+(?: ?(?:\(dot\)|\[dot\]|\bdot\b) ?[A-Za-z0-9-]+)+", re.IGNORECASE)
 TRIM_LEFT, TRIM_RIGHT = "\"'`.,;:!?<>[]{}*#$%&|=/-", "\"'`.,;:!?<>[]{}*#$%&|=/-"
 
@@ -66,26 +71,35 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def runs(text: str) -> list[list[tuple[int, int]]]:
-    """Tokens with a digit or an at-sign, in runs of neighbours with one or two spaces between them."""
-    out: list[list[tuple[int, int]]] = []
-    end, n = 0, len(text)
-    for m in MARK.finditer(text):
-        s = m.start()
-        if s < end:
-            continue
-        while s > end and text[s - 1] not in SPACE:
-            s -= 1
-        e = m.end()
-        while e < n and text[e] not in SPACE:
-            e += 1
-        if out and s - out[-1][-1][1] <= 2 and not text[out[-1][-1][1] : s].strip(SPACE):
-            out[-1].append((s, e))
-        else:
-            out.append([(s, e)])
-        end = e
+    """Tokens with a digit or an at-sign, the token on each side of them, groups of capitals beside them and written-out addresses, in
+    runs of neighbours with at most two spaces or a few marks between them."""
+    tokens = [m.span() for m in TOKEN.finditer(text)]
+    n = len(tokens)
+    near = [GAP.fullmatch(text, a[1], b[0]) is not None if b[0] - a[1] <= 8 else False for a, b in zip(tokens, tokens[1:], strict=False)]
+    keep = bytearray(n)
+    starts = [s for s, _ in tokens]
+    marked = sorted({bisect_right(starts, m.start()) - 1 for m in MARK.finditer(text)})
+    for i in marked:
+        keep[i] = 1
+        for step in (-1, 1):
+            k = i
+            while 0 <= k + step < n and near[min(k, k + step)] and not keep[k + step]:
+                k += step
+                keep[k] = 1
+                if not GROUP.fullmatch(text, *tokens[k]):
+                    break
     for m in HIDDEN.finditer(text) if "dot" in text or "DOT" in text or "Dot" in text else ():
-        if not MARK.search(m[0]):
-            out.append([m.span()])
+        for i in range(bisect_right(starts, m.start()) - 1, n):
+            if tokens[i][0] >= m.end():
+                break
+            keep[i] = 1
+    out: list[list[tuple[int, int]]] = []
+    for i in range(n):
+        if keep[i]:
+            if i and keep[i - 1] and near[i - 1]:
+                out[-1].append(tokens[i])
+            else:
+                out.append([tokens[i]])
     return out
 
 
@@ -159,7 +173,7 @@ def span_features(text: str, start: int, end: int, before: str, tokens: int) ->
     digits = only_digits(span)
     x[at + int(np.searchsorted(DIGITS, len(digits), "right")) - 1] = 1 if digits else 0
     at += len(DIGITS)
-    for w in before.split()[-2:]:
+    for w in TOKEN.findall(before)[-2:]:
         k = CUE_OF.get(w.strip(TRIM_LEFT + "()").lower())
         if k is not None:
             x[at + k] = 1
@@ -174,17 +188,20 @@ def span_features(text: str, start: int, end: int, before: str, tokens: int) ->
 def lattice(text: str, run: list[tuple[int, int]], base: list[tuple[int, int, int]]) -> tuple[list[tuple[int, int, int, int]], np.ndarray]:
     """Segments (first token, token after the last, start, end) of a run that touch no base span, and their features."""
     segments, rows = [], []
-    first = run[0][0]
+    edges = [trimmed(text, s, e) for s, e in run]
     for i in range(len(run)):
-        before = text[max(first if i else 0, run[i][0] - 40) : run[i][0]] if i == 0 else text[run[i - 1][0] : run[i][0]]
+        before = text[max(0, run[i][0] - 40) : run[i][0]]
         for j in range(i + 1, min(len(run), i + MAX_TOKENS) + 1):
+            if edges[i][0] == edges[i][1]:
+                break
             s, e = trimmed(text, run[i][0], run[j - 1][1])
-            if e - s > MAX_CHARS:
+            if e - s > MAX_CHARS and j > i + 1:
                 break
-            if e - s < 6 or any(a < e and s < b for _, a, b in base):
+            if e - s < 6 or edges[j - 1][0] == edges[j - 1][1] or any(a < e and s < b for _, a, b in base):
                 continue
-            segments.append((i, j, s, e))
-            rows.append(span_features(text, s, e, before, j - i))
+            if MARK.search(text, s, e) or HIDDEN.fullmatch(text, s, e):
+                segments.append((i, j, s, e))
+                rows.append(span_features(text, s, e, before, len(text[s:e].split())))
     return segments, np.array(rows).reshape(len(rows), WIDTH)
 
 
@@ -246,8 +263,8 @@ def sample_text(rng: np.random.Generator) -> tuple[str, list[tuple[int, int, int
         return next(d + c for c in "0123456789" if luhn(d + c))
 
     def iban():
-        tail = digits(int(rng.integers(14, 19)))
-        country = pick("DE", "FR", "ES", "GB", "NL")
+        country = pick("DE", "FR", "ES", "GB", "NL", "IT", "PL", "MT")
+        tail = (letters(4, "ABCDEFGHIJKLMNOPQRSTUVWXYZ") if country in ("GB", "NL", "MT") else "") + digits(int(rng.integers(10, 25)))
         check = 98 - int("".join(str(int(c, 36)) for c in tail + country + "00")) % 97
         whole = f"{country}{check:02d}{tail}"
         return pick(whole, " ".join(whole[k : k + 4] for k in range(0, len(whole), 4)))
@@ -256,17 +273,17 @@ def sample_text(rng: np.random.Generator) -> tuple[str, list[tuple[int, int, int
         kind = int(rng.integers(len(KINDS)))
         c = card()
         made = {
-            "email": lambda: pick(f"{word()} @ {word()}.com", f"{word()} at {word()} dot com", f"{word()}(at){word()}(dot)org", f"{word()}{digits(2)}[at]{word()}[dot]net", f"{word()}.{digits(2)} @{word()}.example.com"),
+            "email": lambda: pick(f"{word()} @ {word()}.com", f"{word()} at {word()} dot com", f"{word()}{digits(2)} at {word()} dot com", f"{word()}(at){word()}(dot)org", f"{word()}{digits(2)}[at]{word()}[dot]net", f"{word()}.{digits(2)} @{word()}.example.com"),
             "ip": lambda: ".".join(str(x) for x in rng.integers(1, 255, 4)),
             "card": lambda: pick(*(sep.join(c[k : k + 4] for k in range(0, 16, 4)) for sep in ("  ", ".", "/"))),
             "phone": lambda: pick(f"({digits(3)}) {digits(3)}-{digits(4)}", f"{digits(3)}-{digits(3)}-{digits(4)}", f"{digits(3)} {digits(3)} {digits(4)}", f"{digits(3)}.{digits(3)}.{digits(4)}", f"0{digits(3)} {digits(7)}", f"0{digits(2)}-{digits(8)}", f"+{digits(2)} ({digits(3)}) {digits(3)}-{digits(4)}"),
             "iban": iban,
-            "secret": lambda: pick(letters(40, "0123456789abcdef"), letters(32, "0123456789abcdef"), letters(64, "0123456789abcdef"), "sk_live_" + letters(24, "abcdefghijkABCDEFG0123456789"), "ghp_" + letters(36, "abcdefghijkABCDEFG0123456789"), "AKIA" + letters(16, "ABCDEFGHIJK0123456789"), letters(30, "abcdefghijkABCDEFGH0123456789_-")),
+            "secret": lambda: pick(letters(40, "0123456789abcdef"), letters(32, "0123456789abcdef"), letters(64, "0123456789abcdef"), "sk_live_" + letters(24, "abcdefghijkABCDEFG0123456789"), "ghp_" + letters(36, "abcdefghijkABCDEFG0123456789"), "AKIA" + letters(16, "ABCDEFGHIJK0123456789"), letters(30, "abcdefghijkABCDEFGH0123456789_-"), "eyJ" + ".".join(letters(int(rng.integers(20, 90)), "abcdefghijkABCDEFGH0123456789_-") for _ in range(3))),
             "ssn": lambda: f"{digits(3)}-{digits(2)}-{digits(4)}",
         }[KINDS[kind]]()
         cue = pick("", *CUES.get(KINDS[kind], "").split()) if KINDS[kind] in CUES else ""
         around = pick(("", ""), ("", ""), ('"', '"'), ("(", ")"), ("", "."), ("", "%%%"), ("", ","))
-        return kind, (f"{cue}{pick(' ', ': ', ' = ')}" if cue else "") + around[0], made, around[1]
+        return kind, (f"{cue}{pick(' ', ': ', ' = ', ':', '=')}" if cue else "") + around[0], made, around[1]
 
     def other():
         return pick(

@@ -150,6 +150,25 @@ def test_segmentation_is_learnt():
     assert hit / (hit + missed) > 0.75 and hit / (hit + wrong) > 0.85
 
 
+def test_spans_of_all_forms_are_candidates():
+    """Each form within plain words: it is a segment of the lattice, and the trained model finds it."""
+    jwt = "eyJhbGciOiJIUzI1NiJ9." + "ab0Cd1" * 25 + "." + "x9Yz_3" * 10
+    forms = {
+        "email": ["harold @ site.com", "john12 at site dot com"],
+        "iban": ["GB82 WEST 1234 5698 7654 32", "NL91 ABNA 0417 1643 00", "FR14 2004 1010 0505 0001 3M02 606", "IT60 X054 2811 1010 0000 0123 456", "PL61 1090 1014 0000 0712 1981 2874"],
+        "secret": [jwt],
+    }
+    cases = [(k, f, "please note that ", " and then go home") for k, of in forms.items() for f in of]
+    cases += [("phone", "555-123-4567", "please note tel:", " and then"), ("ssn", "123-45-6789", "please note ssn=", " and then")]
+    w, missed = pii.weights(), []
+    for kind, form, left, right in cases:
+        t, span = left + form + right, (len(left), len(left) + len(form))
+        assert any(span == s[2:] for run in pii.runs(t) for s in pii.lattice(t, run, pii.base_spans(t))[0]), form
+        if (pii.KINDS.index(kind), *span) not in pii.find(t, w)[1]:
+            missed.append((form, pii.spelled(pii.find(t, w)[1])))
+    assert not missed
+
+
 def test_decoding_takes_the_best_segmentation():
     rng = np.random.default_rng(0)
     for _ in range(50):
