@@ -11,10 +11,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def folds(spark: SparkSession, start: int, end: int, min_train: int, test: int, calib: int, horizon: int, embargo: int = 0, rolling: int | None = None) -> DataFrame:
-    """fold and half-open bounds of train, calib and test, in hours. Purge = horizon + embargo lies before calib and test."""
+    """fold and half-open bounds of train, calib and test, in hours. Purge = horizon + embargo lies before calib and test;
+    the last test block ends with the data, shorter or not."""
     purge = horizon + embargo
     rows, at, k = [], start + min_train + purge + (calib + purge if calib else 0), 0
-    while at + test <= end:
+    while at < end:
         if calib:
             calib_end = at - purge
             calib_start = calib_end - calib
@@ -22,7 +23,7 @@ def folds(spark: SparkSession, start: int, end: int, min_train: int, test: int,
         else:
             train_end = calib_start = calib_end = at - purge
         train_start = start if rolling is None else max(start, train_end - rolling)
-        rows.append((k, train_start, train_end, calib_start, calib_end, at, at + test))
+        rows.append((k, train_start, train_end, calib_start, calib_end, at, min(at + test, end)))
         at, k = at + test, k + 1
     names = "fold int, train_start bigint, train_end bigint, calib_start bigint, calib_end bigint, test_start bigint, test_end bigint"
     return spark.createDataFrame(rows, names)
@@ -84,8 +85,9 @@ def fit_isotonic(p: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.array([b for x in xs for b in x]), np.repeat(means, 2)
 
 
-def walk_forward(rows: DataFrame, features: list[str], label: str, log_features: tuple[str, ...] = (), c: float = 0.1, calibrator: str | None = "platt", time: str = "h") -> DataFrame:
-    """Out-of-sample p_raw and p of each test row. rows: fold, part, time, features and label; rows with nulls are left out."""
+def walk_forward(rows: DataFrame, features: list[str], label: str, log_features: tuple[str, ...] = (), c: float = 0.1, calibrator: str | None = "platt", time: str = "h", by: tuple[str, ...] = ()) -> DataFrame:
+    """Out-of-sample p_raw and p of each test row, one model a fold and series (``by``). rows: by, fold, part, time, features and label;
+    rows with nulls are left out."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.copy()
@@ -93,7 +95,7 @@ def walk_forward(rows: DataFrame, features: list[str], label: str, log_features:
             pdf[f] = np.log(pdf[f].where(pdf[f] > 0))
         pdf = pdf.dropna(subset=[*features, label]).sort_values(time)
         part = {k: g for k, g in pdf.groupby("part")}
-        empty = pd.DataFrame({"fold": [], time: [], "y": [], "p_raw": [], "p": []})
+        empty = pd.DataFrame({k: [] for k in (*by, "fold", time, "y", "p_raw", "p")})
         if "train" not in part or "test" not in part or part["train"][label].nunique() < 2:
             return empty
         mean, scale = part["train"][features].mean().to_numpy(), part["train"][features].std(ddof=0).replace(0, 1).to_numpy()
@@ -108,9 +110,10 @@ def walk_forward(rows: DataFrame, features: list[str], label: str, log_features:
             else:
                 p = np.interp(raw, *fit_isotonic(held, y))
         test = part["test"]
-        return pd.DataFrame({"fold": test["fold"].to_numpy(), time: test[time].to_numpy(), "y": test[label].to_numpy(float), "p_raw": raw, "p": p})
+        return pd.DataFrame({**{k: test[k].to_numpy() for k in by}, "fold": test["fold"].to_numpy(), time: test[time].to_numpy(), "y": test[label].to_numpy(float), "p_raw": raw, "p": p})
 
-    return rows.groupBy("fold").applyInPandas(run, f"fold int, {time} bigint, y double, p_raw double, p double")
+    series = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rows.select(*by).schema) if by else ""
+    return rows.groupBy(*by, "fold").applyInPandas(run, f"{series}fold int, {time} bigint, y double, p_raw double, p double")
 
 
 def export_model(x: pd.DataFrame, y: np.ndarray, log_features: tuple[str, ...] = (), c: float = 0.1, clip: float = 1e-6) -> dict:

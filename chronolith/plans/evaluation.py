@@ -238,16 +238,18 @@ def documents_json(spark: S, sf: str) -> DataFrame:
 FOLDS = [(0, 0, 200, 225, 297, 322, 394), (1, 0, 272, 297, 369, 394, 466), (2, 0, 344, 369, 441, 466, 538), (3, 0, 416, 441, 513, 538, 610)]
 
 
-def fold_rows(spark: S, sf: str) -> tuple[DataFrame, DataFrame]:
+def fold_rows(spark: S, sf: str, end: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """Labelled hours counted from the first, and folds up to ``end``: by default, all of them."""
     c = labelled(spark, sf)
-    start = c.agg(F.min("h")).first()[0] or 0
-    f = models.folds(spark, 0, 620, 200, 72, 72, 24, 1)
+    start, last = c.agg(F.min("h"), F.max("h")).first()
+    start, last = start or 0, -1 if last is None else last
+    f = models.folds(spark, 0, last - start + 1 if end is None else end, 200, 72, 72, 24, 1)
     return c.withColumn("i", F.col("h") - start), f
 
 
 @query(f"WITH {RETURNS}, f(fold, a, b, c, d, e, z) AS (VALUES {', '.join(map(str, FOLDS))}), i AS (SELECT h - (SELECT min(h) FROM candles) AS i FROM g), p AS (SELECT fold, 'train' AS part, a AS lo, b AS hi FROM f UNION ALL SELECT fold, 'calib', c, d FROM f UNION ALL SELECT fold, 'test', e, z FROM f) SELECT fold, part, count(*) AS n FROM i JOIN p ON i >= lo AND i < hi GROUP BY 1, 2")
 def fold_membership(spark: S, sf: str) -> DataFrame:
-    c, f = fold_rows(spark, sf)
+    c, f = fold_rows(spark, sf, FOLDS[-1][-1])  # the folds that the SQL names
     models.check_folds(f.collect(), 24, 1)  # a row a fold
     return J.in_folds(c.select("i"), f, "i").groupBy("fold", "part").agg(F.count("*").alias("n"))
 
@@ -264,8 +266,8 @@ def frozen_scorer(spark: S, sf: str) -> DataFrame:
 
 def out_of_sample(spark: S, sf: str, calibrator: str | None) -> DataFrame:
     c, f = fold_rows(spark, sf)
-    rows = J.in_folds(c.where("key = 'click'").select("i", "volume", ((F.col("high") - F.col("low")) / F.col("close")).alias("range"), F.col("y").cast("double").alias("y")), f, "i")
-    return models.walk_forward(rows, ["volume", "range"], "y", ("volume",), calibrator=calibrator, time="i")
+    rows = J.in_folds(c.select("key", "i", "volume", ((F.col("high") - F.col("low")) / F.col("close")).alias("range"), F.col("y").cast("double").alias("y")), f, "i")
+    return models.walk_forward(rows, ["volume", "range"], "y", ("volume",), calibrator=calibrator, time="i", by=("key",))
 
 
 @query()

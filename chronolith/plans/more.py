@@ -334,13 +334,14 @@ def quintiles(spark: S, sf: str) -> DataFrame:
 
 @query()
 def forward_selection(spark: S, sf: str) -> DataFrame:
-    """Features by how much each lowers the out-of-sample Brier score; each trial is one walk-forward over all folds."""
-    c = hourly(spark, sf).where("key = 'click'")
-    a = c.agg(F.min("h")).first()[0] or 0
+    """Features by how much each lowers the out-of-sample Brier score; each trial is one walk-forward over all folds and keys."""
+    c = hourly(spark, sf)
+    a, z = c.agg(F.min("h"), F.max("h")).first()
+    a, z = a or 0, -1 if z is None else z
     w = Window.partitionBy("key").orderBy("h")
     y = (F.lead("volume").over(w) > F.col("volume")).cast("double")
-    rows = J.in_folds(c.withColumn("y", y).select((F.col("h") - a).alias("i"), "volume", "trades", "close", "y"), models.folds(spark, 0, 620, 200, 140, 72, 1), "i").cache()
-    brier = lambda names: models.walk_forward(rows, list(names), "y", time="i").agg(stats.brier(F.col("p"), F.col("y"))).first()[0]
+    rows = J.in_folds(c.withColumn("y", y).select("key", (F.col("h") - a).alias("i"), "volume", "trades", "close", "y"), models.folds(spark, 0, z - a + 1, 200, 140, 72, 1), "i").cache()
+    brier = lambda names: models.walk_forward(rows, list(names), "y", time="i", by=("key",)).agg(stats.brier(F.col("p"), F.col("y"))).first()[0]
     path = models.forward_selection(lambda names: brier(names) or 1.0, ["volume", "trades", "close"])
     rows.unpersist()
     return spark.createDataFrame([(k, f, float(b)) for k, (f, b) in enumerate(path)], "step int, feature string, brier double")

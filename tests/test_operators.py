@@ -158,6 +158,32 @@ def test_folds_keep_the_purge(spark):
         models.check_folds([rows[0].__class__(**{**rows[0].asDict(), "calib_end": rows[0].test_start - 5})], 24, 2)
 
 
+def test_folds_reach_the_end_of_the_data(spark):
+    rows = models.folds(spark, 0, 720, 200, 72, 72, 24, 1).collect()
+    assert rows[-1].test_end == 720 and rows[-1].test_end - rows[-1].test_start < 72
+    assert all(a.test_end == b.test_start for a, b in zip(rows, rows[1:], strict=False))
+    assert models.folds(spark, 0, 300, 200, 72, 72, 24, 1).count() == 0
+
+
+def test_walk_forward_fits_each_series_and_tests_all_hours(spark):
+    rng = random.Random(4)
+    c = frame(spark, [(k, h, x, float((x > 0) == (k == "a"))) for k in "ab" for h in range(500) for x in [rng.gauss(0, 1)]], "key string, h long, x double, y double")
+    rows = joins.in_folds(c, models.folds(spark, 0, 500, 200, 100, 60, 5), "h")
+    out = models.walk_forward(rows, ["x"], "y", by=("key",)).toPandas()
+    assert sorted(zip(out.key, out.h, strict=True)) == [(k, h) for k in "ab" for h in range(270, 500)]
+    assert ((out.p - out.y) ** 2).mean() < 0.1
+
+
+def test_walk_forward_queries_read_all_keys(spark):
+    from chronolith.plans import evaluation
+
+    sf = "/root/testdata/sf0.001"
+    got = evaluation.logistic_walkforward(spark, sf).toPandas()
+    rows, _ = evaluation.fold_rows(spark, sf)
+    late = rows.where("y IS NOT NULL AND volume > 0 AND close <> 0").groupBy("key").agg(F.max("i").alias("i")).collect()
+    assert len(late) == 5 and {r.key: r.i for r in late} == got.groupby("key").i.max().to_dict()
+
+
 def test_logistic_and_calibration():
     rng = np.random.default_rng(2)
     x = rng.normal(size=(4000, 2))
