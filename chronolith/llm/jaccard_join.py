@@ -359,12 +359,15 @@ def _components(df: DataFrame, id_col: str, text_col: str, width: int, percent:
 
 
 def keep_first(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
-    """The rows of df, all columns as they were, whose id is the smallest of their component (null ids: if they link with none)."""
-    marks = link_components(df, id_col, text_col, width, percent)
-    gone = staged(marks.where(~F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("__id")).distinct(), "gone")
+    """One row of df of each component, all columns as they were: that with the smallest id, null ids last; of rows that share it,
+    any one. Rows are told apart by a key of their own, which is staged with them."""
+    rows = staged(df.withColumn("__key", F.monotonically_increasing_id()), "rows")
+    first = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col("__key").alias("key"))
+    marks = link_components(rows.select(first.alias("__first"), F.col(text_col).alias("text")), "__first", "text", width, percent)
+    gone = staged(marks.where(F.col("__first.key") != F.col("component_id.key")).select(F.col("__first.key").alias("__key")), "gone")
     if gone.count() <= MOST_IDS:
         gone = F.broadcast(gone)
-    return df.join(gone, df[id_col].eqNullSafe(F.col("__id")), "left_anti")
+    return rows.join(gone, "__key", "left_anti").select(*df.columns)
 
 
 def oracle_sql(width: int = WIDTH, percent: int = PERCENT) -> str:

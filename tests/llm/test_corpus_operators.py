@@ -76,6 +76,16 @@ def test_jaccard_join_of_nothing(spark):
     assert sorted((r.doc_id is None, r.doc_id or 0) for r in got.collect()) == [(False, 1), (False, 3), (True, 0)]
 
 
+def test_keep_first_decides_by_row(spark):
+    one, two, three = (text(random.Random(k), 40) for k in (41, 42, 43))
+    rows = [(1, one, "a"), (None, one, "b"), (None, text(random.Random(44), 40), "c"), (None, two, "d"), (None, two, "e")]
+    rows += [(7, three, "f"), (7, three, "g"), (1, text(random.Random(45), 40), "h"), (3, one, "i"), (None, None, "j"), (None, "", "k")]
+    got = jaccard_join.keep_first(frame(spark, rows))
+    assert got.columns == ["doc_id", "text", "source"]
+    kept = sorted(r.source for r in got.collect())
+    assert [x for x in kept if x not in "defg"] == ["a", "c", "h", "j", "k"] and sum(x in "de" for x in kept) == sum(x in "fg" for x in kept) == 1
+
+
 def test_spotsigs(spark, monkeypatch):
     monkeypatch.setattr(spotsigs, "RANGE_ROWS", 5)
     rows = sorted({r[0]: r for r in documents()}.values(), reverse=True)
