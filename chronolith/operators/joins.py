@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from difflib import SequenceMatcher
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -78,6 +79,55 @@ def near_duplicates(df: DataFrame, by: str, order: str, text: str, least: float
     return df.groupBy(by).applyInPandas(keep, df.schema)
 
 
+def near_duplicates_of_all(df: DataFrame, order: str, text: str, least: float = 0.75, block: int = 500) -> DataFrame:
+    """As near_duplicates, with the whole table as one group. Equal texts are one class; all pairs of classes are compared, in pairs of
+    blocks that run in parallel, with the same bounds; only linked pairs then decide, round by round.
+
+    A ratio of 0.75 leaves no bound that spares most pairs, so the work is the square of the number of different texts.
+    """
+    spark = df.sparkSession
+    first = F.min(F.struct(F.col(order).alias("o"), F.col(text).alias("t"), F.struct(*[df[c] for c in df.columns]).alias("row")))
+    classes = df.groupBy(F.coalesce(text, F.lit("")).alias("__text")).agg(first.alias("__first"))
+    classes = classes.withColumn("__key", F.struct("__first.o", "__text")).localCheckpoint()
+    blocks = max(1, -(-classes.count() // block))
+    mine = F.pmod(F.xxhash64("__text"), F.lit(blocks)).cast("int")
+    dealt = classes.select(F.col("__first.o").alias("o"), F.col("__text").alias("t"), mine.alias("mine"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumns({"i": F.least("mine", "other"), "j": F.greatest("mine", "other")})
+    kind = dealt.schema["o"].dataType.simpleString()
+
+    def linked(pdf: pd.DataFrame) -> pd.DataFrame:
+        i, j = int(pdf["i"].iloc[0]), int(pdf["j"].iloc[0])
+        rows = sorted(zip(pdf["o"], pdf["t"], pdf["mine"], strict=True))
+        sizes, found = [len(t) for _, t, _ in rows], []
+        letters = np.zeros((len(rows), 256), np.int32)
+        for x, (_, t, _) in enumerate(rows):
+            np.add.at(letters[x], np.array([ord(c) % 256 for c in t], np.int64), 1)
+        sizes = np.array(sizes)
+        for a in range(len(rows)):
+            o, t, of = rows[a]
+            most = np.minimum(letters[a], letters[a + 1 :]).sum(1)  # no fewer than the letters in common
+            m = SequenceMatcher(None, "", t, autojunk=True)
+            for b in a + 1 + np.flatnonzero(2 * most >= least * (sizes[a] + sizes[a + 1 :])):
+                if i != j and rows[b][2] == of:
+                    continue
+                m.set_seq1(rows[b][1])
+                if m.real_quick_ratio() >= least and m.quick_ratio() >= least and m.ratio() >= least:
+                    found.append((rows[b][0], rows[b][1], o, t))
+        return pd.DataFrame(found, columns=["o", "t", "eo", "et"])
+
+    pairs = dealt.groupBy("i", "j").applyInPandas(linked, f"o {kind}, t string, eo {kind}, et string")
+    left = pairs.select(F.struct("o", F.col("t").alias("__text")).alias("late"), F.struct(F.col("eo").alias("o"), F.col("et").alias("__text")).alias("early")).localCheckpoint()
+    gone = spark.createDataFrame([], left.select("late").schema)
+    while not left.isEmpty():
+        late = left.select("late").distinct()
+        kept = left.select("early").distinct().join(late, F.col("early") == F.col("late"), "left_anti")
+        now = left.join(kept, "early", "left_semi").select("late").distinct().localCheckpoint()
+        gone = gone.unionByName(now).localCheckpoint()
+        left = left.join(now, "late", "left_anti")
+        left = left.join(now.select(F.col("late").alias("early")), "early", "left_anti").select("late", "early").localCheckpoint()
+    return classes.join(gone, F.col("__key") == F.col("late"), "left_anti").select("__first.row.*")
+
+
 def in_folds(df: DataFrame, folds: DataFrame, time: str = "h") -> DataFrame:
     """Rows with the folds and parts (train, calib, test) whose half-open bounds hold them. folds: a row a fold, broadcast."""
     parts = folds.select("fold", F.explode(F.array(*[F.struct(F.lit(p).alias("part"), F.col(f"{p}_start").alias("a"), F.col(f"{p}_end").alias("b")) for p in ("train", "calib", "test")])).alias("p")).select("fold", "p.*")

@@ -321,10 +321,10 @@ def news_window(spark: S, sf: str) -> DataFrame:
 
 @query()
 def headline_dedup(spark: S, sf: str) -> DataFrame:
-    """The first line of each document is its headline; a bucket of 50 ids is one news window."""
+    """The first line of each document is its headline; documents have no time, so the whole table is one window, in order of ids."""
     d = tables.table(spark, sf, "documents")
-    heads = d.select((F.floor(F.col("doc_id") / 50)).cast("long").alias("bucket"), "doc_id", scalar.normal_title(F.split_part("text", F.lit("\n"), F.lit(1))).alias("title"))
-    return J.near_duplicates(heads, "bucket", "doc_id", "title")
+    heads = d.select("doc_id", scalar.normal_title(F.split_part("text", F.lit("\n"), F.lit(1))).alias("title"))
+    return J.near_duplicates_of_all(heads, "doc_id", "title")
 
 
 @query(f"WITH {CANDLES}, {DAYSIDE.replace('dv AS', 'dv0 AS')}, a AS (SELECT key, h, close FROM candles WHERE h % 5 <> 0), b AS (SELECT key, h, CASE WHEN h % 7 = 0 THEN close + 1 ELSE close END AS close FROM candles WHERE h % 11 <> 0) SELECT CASE WHEN a.h IS NULL THEN 'right' WHEN b.h IS NULL THEN 'left' ELSE 'both' END AS side, count(*) AS n FROM a FULL JOIN b ON a.key = b.key AND a.h = b.h WHERE a.close IS DISTINCT FROM b.close GROUP BY 1")

@@ -85,6 +85,17 @@ def test_near_duplicates(spark):
     assert sorted(r.i for r in joins.near_duplicates(df, "g", "i", "t").collect()) == [0, 2, 3]
 
 
+def test_near_duplicates_of_the_whole_table(spark):
+    rng = random.Random(12)
+    titles = ["".join(rng.choice("abcdefgh ") for _ in range(rng.randint(5, 30))) for _ in range(40)]
+    rows = [(i, rng.choice(titles)) for i in range(150)]
+    rows = [(i, t[: k % len(t)] + "x" + t[k % len(t) :] if k % 3 else t) for (i, t), k in zip(rows, rng.sample(range(1000), 150), strict=True)] + [(200, None), (201, "")]
+    df = frame(spark, rows, "i int, t string")
+    want = sorted(r.i for r in joins.near_duplicates(df.withColumn("g", F.lit(0)), "g", "i", "t").collect())
+    got = joins.near_duplicates_of_all(df, "i", "t", block=20)
+    assert got.columns == ["i", "t"] and sorted(r.i for r in got.collect()) == want and len(want) < 100
+
+
 def test_runs_and_streaks(spark):
     df = frame(spark, [("a", h, s, r) for h, s, r in [(0, "B", 1.0), (1, "B", 2.0), (3, "B", 1.0), (4, "S", -1.0), (5, "S", None), (6, "S", -2.0)]], "key string, h long, s string, r double")
     assert [r.run for r in windows.run_lengths(df, "s").orderBy("h").collect()] == [1, 2, 1, 1, 2, 3]
