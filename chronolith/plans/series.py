@@ -307,9 +307,9 @@ def order_book_depth(spark: S, sf: str) -> DataFrame:
 
 @query()
 def order_book_walk(spark: S, sf: str) -> DataFrame:
-    e = tables.table(spark, sf, "events").where("event_type = 'click'")
-    b = e.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct((100 + F.col("value") / 100).alias("price"), F.col("value").alias("size")))).alias("levels"))
-    return b.select("user_id", r(payloads.walk_book(F.col("levels"), 5000.0)).alias("fill"))
+    e = tables.table(spark, sf, "events")
+    b = e.groupBy("event_type", "user_id").agg(F.array_sort(F.collect_list(F.struct((100 + F.col("value") / 100).alias("price"), F.col("value").alias("size")))).alias("levels"))
+    return b.select("event_type", "user_id", r(payloads.walk_book(F.col("levels"), 5000.0)).alias("fill"))
 
 
 @query("""WITH i AS (SELECT doc_id, (doc_id * 7 % 100)::INT AS age FROM documents) SELECT CASE WHEN age = 0 THEN 'undated' WHEN age < 10 THEN 'after_cutoff' WHEN age >= 34 THEN 'too_old' ELSE 'eligible' END AS reason, count(*) AS n FROM i GROUP BY 1""")

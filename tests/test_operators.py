@@ -96,6 +96,14 @@ def test_near_duplicates_of_the_whole_table(spark):
     assert got.columns == ["i", "t"] and sorted(r.i for r in got.collect()) == want and len(want) < 100
 
 
+def test_order_book_walk_reads_all_events(spark):
+    from chronolith.plans.series import order_book_walk
+
+    sf = "/root/testdata/sf0.001"
+    books = spark.read.parquet(f"{sf}/events.parquet").select("event_type", "user_id").distinct()
+    assert sorted(order_book_walk(spark, sf).select("event_type", "user_id").collect()) == sorted(books.collect())
+
+
 def test_runs_and_streaks(spark):
     df = frame(spark, [("a", h, s, r) for h, s, r in [(0, "B", 1.0), (1, "B", 2.0), (3, "B", 1.0), (4, "S", -1.0), (5, "S", None), (6, "S", -2.0)]], "key string, h long, s string, r double")
     assert [r.run for r in windows.run_lengths(df, "s").orderBy("h").collect()] == [1, 2, 1, 1, 2, 3]
