@@ -39,7 +39,7 @@ def hashed(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     """Hash, bucket and text of each word, A to Z in lower case."""
     data = K.lower_ascii(data)
     w = K.words(data, offsets)
-    h = K.range_hash(K.prefix_hash(data), w.start, w.end) >> K.U(1)
+    h = K.range_hash(data, w.start, w.end) >> K.U(1)
     if not len(h):
         return h.astype(np.int64), np.empty(0, np.int64), w.doc
     length = w.end - w.start

@@ -38,8 +38,7 @@ def features(data: np.ndarray, offsets: np.ndarray, bits: int = BUCKET_BITS, ngr
     the number of buckets of each distinct word. A word's features are itself and its byte n-grams with both its borders.
     """
     w = K.words(data, offsets)
-    prefix = K.prefix_hash(data)
-    h = K.range_hash(prefix, w.start, w.end)
+    h = K.range_hash(data, w.start, w.end)
     _, first, which = np.unique(h, return_index=True, return_inverse=True)
     start, end = w.start[first], w.end[first]
     length = end - start
@@ -52,7 +51,7 @@ def features(data: np.ndarray, offsets: np.ndarray, bits: int = BUCKET_BITS, ngr
         a = np.maximum(start[who] + k - 1, start[who])
         b = np.minimum(start[who] + k - 1 + n, end[who])
         edge = (k == 0).astype(K.U) + K.U(2) * (k == count[who] - 1).astype(K.U)
-        bucket.append(K.mix(K.range_hash(prefix, a, b) + edge * K.U(0x9FB21C651E98DF25) + K.U(n)) & mask)
+        bucket.append(K.mix(K.range_hash(data, a, b) + edge * K.U(0x9FB21C651E98DF25) + K.U(n)) & mask)
         owner.append(who)
     bucket, owner = np.concatenate(bucket).astype(np.int64), np.concatenate(owner)
     return bucket, owner, which, w.doc, np.bincount(owner, minlength=len(first))

@@ -29,7 +29,6 @@ def measures(data: np.ndarray, offsets: np.ndarray, lengths: tuple[int, ...]) ->
     dup_chars_n and dup_words_n."""
     n = len(offsets) - 1
     w = K.words(data, offsets)
-    prefix = K.prefix_hash(data)
     solid = K.running(K.letters(data) & ~K.SPACE[data])
     symbol = np.zeros(256, bool)
     symbol[list(SYMBOLS)] = True
@@ -45,10 +44,10 @@ def measures(data: np.ndarray, offsets: np.ndarray, lengths: tuple[int, ...]) ->
     inside = solid[end] - solid[start]
     some = inside > 0
     start, end, doc, inside = start[some], end[some], doc[some], inside[some]
-    _, later = K.repeated(K.mix(K.range_hash(prefix, start, end) ^ K.mix(doc.astype(K.U) + K.U(1))))
+    _, later = K.repeated(K.mix(K.range_hash(data, start, end) ^ K.mix(doc.astype(K.U) + K.U(1))))
     out |= {"n_dup_lines": total(doc, later), "dup_line_chars": total(doc, later * inside)}
 
-    h = K.mix(K.range_hash(prefix, w.start, w.end))
+    h = K.range_hash(data, w.start, w.end)
     own = K.mix(w.doc.astype(K.U) + K.U(1))
     at = np.arange(len(h))
     for k in sorted(lengths):

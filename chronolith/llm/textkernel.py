@@ -1,36 +1,21 @@
 """numpy kernels over the UTF-8 bytes of many texts at once: words, lines, code points and rolling hashes.
 
-Hashes are polynomials over 64-bit wrap-around integers, taken for any byte range from one prefix sum, then mixed.
+A byte range is hashed in steps of eight bytes, each mixed into two chained 64-bit states, so no rule ties the hashes of
+related ranges; ranges beyond LONG bytes take blake2b. Where ranges must be told apart for certain, both states are compared.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from hashlib import blake2b
 
 import numpy as np
 
 U = np.uint64
-BASE, WINDOW = 0x9E3779B97F4A7C15 | 1, 0xD6E8FEB86659FD93 | 1
+WINDOW, LONG = 0xD6E8FEB86659FD93 | 1, 1024
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
-_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-
-
-def _table(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of BASE and of its inverse modulo 2**64, for n bytes at least."""
-    size = 1 << max(16, int(n).bit_length())
-    if not _powers or max(_powers) < size:
-        inverse = pow(BASE, -1, 1 << 64)
-        made = []
-        for b in (BASE, inverse):
-            step = np.full(size, b, U)
-            step[0] = 1
-            made.append(np.multiply.accumulate(step))
-        _powers.clear()
-        _powers[size] = (made[0], made[1])
-    return next(iter(_powers.values()))
-
 
 def mix(x: np.ndarray) -> np.ndarray:
     """Every bit of the result depends on every bit of x."""
@@ -42,17 +27,32 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def prefix_hash(data: np.ndarray) -> np.ndarray:
-    out = np.empty(len(data) + 1, U)
-    out[0] = 0
-    np.cumsum((data.astype(U) + U(1)) * _table(len(data))[0][: len(data)], out=out[1:])
-    return out
-
-
-def range_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """A hash of the bytes of each range; equal bytes have equal hashes wherever they stand."""
-    inverse = _table(len(prefix))[1]
-    return mix((prefix[end] - prefix[start]) * inverse[start] + (end - start).astype(U) * U(0xA0761D6478BD642F))
+def range_states(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit states for the bytes of each range; equal bytes have equal states wherever they stand."""
+    left = (end - start).astype(np.int64)
+    a, b = mix(left.astype(U) + U(0x9E3779B97F4A7C15)), mix(left.astype(U) * U(0xA0761D6478BD642F) + U(0xD1B54A32D192ED03))
+    at, long = np.asarray(start, np.int64), np.flatnonzero(left > LONG)
+    for i in long:
+        digest = blake2b(data[at[i] : at[i] + left[i]].tobytes(), digest_size=16).digest()
+        a[i], b[i] = np.frombuffer(digest, U)
+    eights = np.ndarray(len(data) + 1, "<u8", buffer=np.concatenate([data, np.zeros(8, np.uint8)]).tobytes(), strides=(1,))
+    todo = np.flatnonzero((left > 0) & (left <= LONG))
+    at, left = at[todo], left[todo]
+    while len(todo):
+        piece = eights[at]
+        short = left < 8
+        piece[short] &= (U(1) << (U(8) * left[short].astype(U))) - U(1)
+        a[todo] = mix(a[todo] ^ piece)
+        b[todo] = mix(b[todo] * U(0xE7037ED1A0B428DB) + piece)
+        more = left > 8
+        todo, at, left = todo[more], at[more] + 8, left[more] - 8
+    return a, b
+
+
+def range_hash(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of the bytes of each range."""
+    a, b = range_states(data, start, end)
+    return mix(a ^ (b << U(1) | b >> U(63)))
 
 
 @dataclass
@@ -125,7 +125,7 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.
     """
     data = lower_ascii(data)
     w = words(data, offsets)
-    h = range_hash(prefix_hash(data), w.start, w.end)
+    h = range_hash(data, w.start, w.end)
     n = len(offsets) - 1
     first = np.concatenate([[0], np.cumsum(w.count)])
     full = windows(h, width)
