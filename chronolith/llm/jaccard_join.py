@@ -1,20 +1,24 @@
 """Exact n-gram Jaccard self-join with a token-group matrix.
 
-Texts become sets of hashed word shingles; equal sets are one class from the start. The join then runs over classes:
+Texts become sets of hashed word shingles; equal sets are one class from the start, known by 128 bits of their tokens. The join
+then runs over classes:
 
 1. Similar classes are partitioned into groups: classes that share a band of minimum hashes meet the band's first and last class, links
-   that hold are kept, and connected classes are one group. A group of thousands of near copies thus takes a few pairs a copy.
-2. Tokens get one order over the table: rare ones by hash, frequent ones after them by frequency, all counted over all classes.
-   A class's probe tokens are the first so many in that order that a linked class shares at least min(L) of them, where
-   L(n) = floor((n - ceil(t * n)) / 2) + 1 and the probe has n - ceil(t * n) + L(n) tokens.
-3. The matrix holds, for each probe token, the groups whose union of probe tokens has it. Counting a class's probe tokens
-   in a group's union bounds its overlap with every member; groups that miss the bound are never opened.
-4. The members of qualifying groups that differ little enough in size are compared exactly.
-
-No link between different sets is lost: a link lies inside a group or its group qualifies. Tokens move as packed integers by
-ranges of token hashes, sorted in numpy; a frequent token's list holds groups, not copies. Joins that a hub could skew are
-Spark's skew-aware sort-merge joins. Frequent tokens are broadcast up to MOST_FREQUENT of them: beyond, the frequency from which
-a token counts as frequent doubles until they fit, which keeps the order total and the result exact.
+   that hold are kept, and connected classes are one cluster, dealt into groups of about GROUP classes. A cluster of thousands of near
+   copies thus takes a few pairs a copy.
+2. Tokens get one order over the table: rare ones by hash, frequent ones after them by frequency, all counted over all classes. Sets
+   of n and m tokens link when they share need(n, m) = ceil(t / (1 + t) * (n + m)) of them. The first token in that order that they
+   share then stands so early that need(n, m) tokens are left in both from there on; so only the first n - ceil(t * n) + 1 tokens of a
+   set matter, the fewer the closer the sizes are.
+3. The matrix holds, for each such token, the groups whose union has it, with the least size and the most tokens left of their members
+   there. That bounds the overlap of a class with every member of the group; groups that miss the bound are never opened.
+4. In a qualifying group, the members that themselves meet the bound are compared with the class exactly, token by token.
+
+No link between different sets is lost: a link lies inside a cluster, or its first shared token opens the group and names the member.
+Tokens move as packed integers by ranges of token hashes, sorted in numpy; a list is met in pieces of PIECES pairs. Near copies of one
+text that differ by more than t allows have mostly rare tokens of their own first, so they don't meet at all. Joins that a hub
+could skew are Spark's skew-aware sort-merge joins. Frequent tokens are broadcast up to MOST_FREQUENT of them: beyond, the frequency
+from which a token counts as frequent doubles until they fit, which keeps the order total and the result exact.
 
 Nulls, empty texts and texts without words have no shingle and link with nothing; fewer words than the width make one
 shingle; repeated rows are equal sets, so linked; an empty table gives no rows; rows of one id keep their rows. Input columns
@@ -35,23 +39,25 @@ from .runtime import drop_path, map_text, release, small_batches, stage_path, st
 
 WIDTH, PERCENT = 4, 85
 BANDS, ROWS = 6, 3
+#: Classes of a group, about.
+GROUP = 32
 #: A token of this many classes is frequent; doubled until no more than MOST_FREQUENT are (16 bytes each, broadcast).
-FREQUENT, MOST_FREQUENT = 4, 1_000_000
-#: Tokens that a task packs before it hands them on, and tokens of one range.
-PACK, RANGE = 1_000_000, 1_000_000
+FREQUENT, MOST_FREQUENT = 8, 1_000_000
+#: Tokens that a task packs before it hands them on, tokens of one range, and pairs looked at together.
+PACK, RANGE, PIECES = 1_000_000, 1_000_000, 1_000_000
 #: Ids broadcast at most (8 bytes each) to pick sets for comparison; more are joined by a shuffle.
 MOST_IDS = 1_000_000
 #: Rows of an Arrow batch; a row holds the tokens of a text or two.
-BATCH_ROWS = 500
+BATCH_ROWS = 200
 
 
 def ceil_part(n: np.ndarray, percent: int) -> np.ndarray:
     return (percent * n + 99) // 100
 
 
-def slack(n: np.ndarray, percent: int) -> np.ndarray:
-    """L(n) of the module's text."""
-    return (n - ceil_part(n, percent)) // 2 + 1
+def needed(n: np.ndarray, m: np.ndarray, percent: int) -> np.ndarray:
+    """Tokens that linked sets of n and m tokens share at least."""
+    return (percent * (n + m) + 99 + percent) // (100 + percent)
 
 
 def packed_set(tokens: np.ndarray) -> bytes:
@@ -66,28 +72,28 @@ def unpacked_set(raw) -> np.ndarray:
 
 
 def shingle_table(df: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
-    """id, n, cid (class of equal sets, null without shingles), bands and tokens (null where the task has had the class)."""
+    """id, n, key (of equal sets, null without shingles), bands and tokens (null where the task has had the set), and row (one for each)."""
 
     def make():
         odd = np.random.default_rng(11).integers(1 << 62, 1 << 63, BANDS * ROWS, dtype=np.uint64) | np.uint64(1)
-        seen: set[int] = set()
+        seen: set[bytes] = set()
 
         def kernel(data, offsets):
             flat, at = K.shingle_sets(data, offsets, width)
             n = np.diff(at)
-            cids, tokens, fresh = [], [], np.zeros(len(n), bool)
+            keys, tokens, fresh = [], [], np.zeros(len(n), bool)
             for i, (a, b) in enumerate(zip(at[:-1], at[1:], strict=True)):
                 if a == b:
-                    cids.append(None)
+                    keys.append(None)
                     tokens.append(None)
                     continue
-                c = int.from_bytes(blake2b(flat[a:b].tobytes(), digest_size=8).digest(), "little", signed=True)
-                cids.append(c)
-                fresh[i] = c not in seen
+                key = blake2b(flat[a:b].tobytes(), digest_size=16).digest()
+                keys.append(key)
+                fresh[i] = key not in seen
                 tokens.append(packed_set(flat[a:b]) if fresh[i] else None)
-                if len(seen) > 200_000:
+                if len(seen) > 100_000:
                     seen.clear()
-                seen.add(c)
+                seen.add(key)
             bands = np.zeros((len(n), BANDS), np.uint64)
             some = np.flatnonzero(n)
             if len(some):
@@ -97,16 +103,28 @@ def shingle_table(df: DataFrame, id_col: str, text_col: str, width: int) -> Data
                     key = K.mix(key ^ low[:, :, r])
                 bands[some] = K.mix(key + np.arange(BANDS, dtype=np.uint64))
             rows = [list(x) if ok else None for x, ok in zip(bands.view(np.int64).tolist(), fresh, strict=True)]
-            return [n, cids, pa.array(rows, pa.list_(pa.int64())), pa.array(tokens, pa.binary())]
+            return [n, pa.array(keys, pa.binary()), pa.array(rows, pa.list_(pa.int64())), pa.array(tokens, pa.binary())]
 
         return kernel
 
     named = df.select(df[id_col].alias("id"), df[text_col].alias("text"))
-    return map_text(named, "text", {"n": "bigint", "cid": "bigint", "bands": "array<bigint>", "tokens": "binary"}, make, ["id"])
+    fields = {"n": "bigint", "key": "binary", "bands": "array<bigint>", "tokens": "binary"}
+    return map_text(named, "text", fields, make, ["id"], 1 << 20).withColumn("row", F.monotonically_increasing_id())
+
+
+def classes(base: DataFrame, path: str) -> DataFrame:
+    """row, id, n, cid and bands: cid is the first row of equal sets (null without shingles), and that row alone has bands."""
+    first_path = stage_path(base.sparkSession, "first")
+    first = staged(base.where("key IS NOT NULL").groupBy("key").agg(F.min("row").alias("first"), F.count("*").alias("rows")).where("rows > 1").select("key", "first"), "first", first_path)
+    cid = F.when(F.col("key").isNotNull(), F.coalesce("first", "row"))
+    rows = base.select("row", "id", "n", "key", "bands").join(first, "key", "left").select("row", "id", "n", cid.alias("cid"), F.when(cid == F.col("row"), F.col("bands")).alias("bands"))
+    rows = staged(rows, "rows", path)
+    drop_path(base.sparkSession, first_path)
+    return rows
 
 
 def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b of classes) that link."""
+    """The pairs (a, b of classes) that link. sets: cid and tokens."""
     spark = pairs.sparkSession
     pairs_path = stage_path(spark, "pairs")
     pairs = staged(pairs, "pairs", pairs_path)
@@ -116,7 +134,7 @@ def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     if wanted.count() <= MOST_IDS:
         wanted = F.broadcast(wanted)
     some_path = stage_path(spark, "sets")
-    some = staged(sets.where("tokens IS NOT NULL").select("cid", "tokens").join(wanted, "cid", "left_semi").dropDuplicates(["cid"]), "sets", some_path)
+    some = staged(sets.join(wanted, "cid", "left_semi"), "sets", some_path)
 
     def run(batches):
         for batch in batches:
@@ -158,14 +176,25 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def star_links(sets: DataFrame, percent: int) -> DataFrame:
+def star_links(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links between classes of equal bands and the first and last class of the band."""
-    band = sets.where("bands IS NOT NULL").select("cid", F.explode("bands").alias("band")).distinct()
+    band = rows.where("bands IS NOT NULL").select("cid", F.explode("bands").alias("band")).distinct()
     hubs = band.groupBy("band").agg(F.min("cid").alias("a"), F.max("cid").alias("z")).where("a < z").select("band", F.explode(F.array("a", "z")).alias("hub"))
     pairs = band.join(hubs, "band").where("cid <> hub").select(F.least("hub", "cid").alias("a"), F.greatest("hub", "cid").alias("b")).distinct()
     return verify(pairs, sets, percent)
 
 
+def starts(*keys: np.ndarray) -> np.ndarray:
+    """Where a run of equal keys begins."""
+    if not len(keys[0]):
+        return np.empty(0, np.int64)
+    new = np.zeros(len(keys[0]), bool)
+    new[0] = True
+    for k in keys:
+        new[1:] |= k[1:] != k[:-1]
+    return np.flatnonzero(new)
+
+
 def keyed(raw, ranges: int) -> np.ndarray:
     """Tokens of a packed set as (range << 32) | 32 bits of the rest, so that keys of one range rarely collide at any size."""
     tokens = unpacked_set(raw)
@@ -191,8 +220,8 @@ def frequent_tokens(sets: DataFrame, ranges: int) -> tuple[np.ndarray, np.ndarra
         held, size = [], 0
         for batch in batches:
             for x in batch.column(0):
-                held.append((keyed(x.as_buffer(), ranges),))
-                size += len(held[-1][0])
+                held.append(keyed(x.as_buffer(), ranges))
+                size += len(held[-1])
                 if size > PACK:
                     yield from rows(held)
                     held, size = [], 0
@@ -200,20 +229,24 @@ def frequent_tokens(sets: DataFrame, ranges: int) -> tuple[np.ndarray, np.ndarra
             yield from rows(held)
 
     def rows(held):
-        made = list(dealt(held, ranges))
+        # a token goes once from a pack, with its count
+        tokens, n = np.unique(np.concatenate(held), return_counts=True)
+        made = list(dealt([(tokens, n.astype(np.uint32))], ranges))
         for k in range(0, len(made), 500):
-            yield pa.RecordBatch.from_arrays([pa.array([r for r, _ in made[k : k + 500]], pa.int32()), pa.array([c[0] for _, c in made[k : k + 500]], pa.binary())], ["r", "blob"])
+            part = made[k : k + 500]
+            yield pa.RecordBatch.from_arrays([pa.array([r for r, _ in part], pa.int32()), *[pa.array([c[j] for _, c in part], pa.binary()) for j in range(2)]], ["r", "blob", "n"])
 
     def count(t: pa.Table) -> pa.Table:
-        tokens = np.concatenate([np.frombuffer(x.as_buffer(), np.uint32) for x in t.column("blob")])
-        tokens.sort()
-        first = np.flatnonzero(np.concatenate([[True], tokens[1:] != tokens[:-1]]))
-        n = np.diff(np.concatenate([first, [len(tokens)]]))
+        tokens, n = (np.concatenate([np.frombuffer(x.as_buffer(), np.uint32) for x in t.column(c)]) for c in ("blob", "n"))
+        order = np.argsort(tokens)
+        tokens = tokens[order]
+        first = starts(tokens)
+        n = np.add.reduceat(n[order].astype(np.int64), first)
         often = n >= FREQUENT
         keys = (np.int64(t.column("r")[0].as_py()) << np.int64(32)) | tokens[first][often].astype(np.int64)
         return pa.table({"token": keys, "n": n[often].astype(np.int64)})
 
-    counts = staged(sets.where("tokens IS NOT NULL").select("tokens").mapInArrow(pack, "r int, blob binary").groupBy("r").applyInArrow(count, "token bigint, n bigint"), "frequent")
+    counts = staged(sets.where("tokens IS NOT NULL").select("tokens").mapInArrow(pack, "r int, blob binary, n binary").groupBy("r").applyInArrow(count, "token bigint, n bigint"), "frequent")
     level = FREQUENT
     while counts.where(F.col("n") >= level).count() > MOST_FREQUENT:
         level *= 2
@@ -221,9 +254,9 @@ def frequent_tokens(sets: DataFrame, ranges: int) -> tuple[np.ndarray, np.ndarra
     return got["token"].to_numpy().astype(np.uint64), got["n"].to_numpy().astype(np.int64)
 
 
-def probes(sets: DataFrame, frequent: tuple[np.ndarray, np.ndarray], percent: int, ranges: int) -> DataFrame:
-    """cid, n and probe (packed token hashes), one row a class."""
-    shared = sets.sparkSession.sparkContext.broadcast(frequent)
+def probes(base: DataFrame, frequent: tuple[np.ndarray, np.ndarray], percent: int, ranges: int) -> DataFrame:
+    """cid, n and probe (keyed tokens in their order, as many as matter)."""
+    shared = base.sparkSession.sparkContext.broadcast(frequent)
 
     def run(batches):
         hot, count = shared.value
@@ -232,7 +265,7 @@ def probes(sets: DataFrame, frequent: tuple[np.ndarray, np.ndarray], percent: in
             for x in batch.column(2):
                 tokens = np.sort(keyed(x.as_buffer(), ranges))
                 n = len(tokens)
-                most = n - int(ceil_part(n, percent)) + int(slack(n, percent))
+                most = n - int(ceil_part(n, percent)) + 1
                 if len(hot):
                     at = np.minimum(np.searchsorted(hot, tokens), len(hot) - 1)
                     rank = np.where(hot[at] == tokens, count[at], 0)
@@ -242,85 +275,95 @@ def probes(sets: DataFrame, frequent: tuple[np.ndarray, np.ndarray], percent: in
                 out.append(tokens[:most].tobytes())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.binary())], ["cid", "n", "probe"])
 
-    rows = sets.where("tokens IS NOT NULL").select("cid", "n", "tokens").mapInArrow(run, "cid bigint, n bigint, probe binary")
-    return rows.dropDuplicates(["cid"])
+    return base.where("tokens IS NOT NULL").select(F.col("row").alias("cid"), "n", "tokens").mapInArrow(run, "cid bigint, n bigint, probe binary")
+
+
+def meetings(size: np.ndarray, first: np.ndarray):
+    """Pieces (i, j) of all pairs of an element i with the size[i] places from first[i] on, about PIECES at a time."""
+    ends = np.cumsum(size)
+    a = 0
+    while a < len(size):
+        b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + PIECES, "right")))
+        some = size[a:b]
+        before = np.cumsum(some) - some
+        yield np.repeat(np.arange(a, b), some), np.repeat(first[a:b] - before, some) + np.arange(some.sum())
+        a = b
+
+
+def opened(token: np.ndarray, cid: np.ndarray, cluster: np.ndarray, many: np.ndarray, n: np.ndarray, left: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (class, member of a group that it opens), each once, of entries (token, class, its cluster and how many classes that
+    has, its size, its tokens from this one on)."""
+    group = K.mix(cid.astype(np.uint64)) % ((many + GROUP - 1) // GROUP).astype(np.uint64)
+    order = np.lexsort((group, cluster, token))
+    token, cid, cluster, many, n, left, group = (x[order] for x in (token, cid, cluster, many, n, left, group))
+    # tokens of one cluster only can't link two
+    first = starts(token)
+    last = np.append(first[1:], len(token)) - 1
+    mixed = np.repeat(np.maximum.reduceat(cluster, first) != np.minimum.reduceat(cluster, first), last - first + 1) if len(first) else np.empty(0, bool)
+    token, cid, cluster, many, n, left, group = (x[mixed] for x in (token, cid, cluster, many, n, left, group))
+    if not len(token):
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    row = starts(token, cluster, group)  # of the matrix: a token and a group
+    members = np.diff(np.append(row, len(token)))
+    least, most = np.minimum.reduceat(n, row), np.maximum.reduceat(left, row)
+    by_token = starts(token)
+    of_token = np.repeat(np.arange(len(by_token)), np.diff(np.append(by_token, len(token))))
+    row_from = np.searchsorted(row, by_token)
+    row_count = np.diff(np.append(row_from, len(row)))
+    found, held = [], 0
+    for i, g in meetings(row_count[of_token], row_from[of_token]):
+        r = row[g]
+        # of two clusters, the smaller one's classes ask for groups of the larger one
+        asks = (many[i] < many[r]) | ((many[i] == many[r]) & (cluster[i] < cluster[r]))
+        i, g = i[asks], g[asks]
+        fits = np.minimum(left[i], most[g]) >= needed(n[i], least[g], percent)
+        i, g = i[fits], g[fits]
+        for k, j in meetings(members[g], row[g]):
+            e = i[k]
+            ok = np.minimum(left[e], left[j]) >= needed(n[e], n[j], percent)
+            found.append(np.stack([cid[e[ok]], cid[j[ok]]], 1))
+            held += len(found[-1])
+            if held > PIECES:
+                found = [np.unique(np.concatenate(found), axis=0)]
+                held = 0
+    pairs = np.unique(np.concatenate(found), axis=0) if found else np.empty((0, 2), np.int64)
+    return pairs[:, 0], pairs[:, 1]
 
 
 def matrix_candidates(rows: DataFrame, ranges: int, percent: int) -> DataFrame:
-    """(cid, gid): classes and the groups, other than their own, whose bound lets them hold a link. rows: cid, n, gid, probe."""
+    """(a, b): classes of different clusters whose bound lets them link. rows: cid, n, cluster, many, probe."""
 
     def pack(batches):
         held, size = [], 0
         for batch in batches:
-            for c, n, g, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3), strict=True):
+            small = (batch.column(k).to_numpy().astype(np.int64) for k in range(4))
+            for c, n, g, m, x in zip(*small, batch.column(4), strict=True):
                 tokens = np.frombuffer(x.as_buffer(), np.uint64)
                 k = len(tokens)
-                # most classes are their own group: the difference of the two is zero then, and zeros compress
-                held.append((tokens, np.full(k, c, np.int64), np.full(k, c ^ g, np.int64), np.full(k, n, np.int32)))
+                # most classes are their own cluster: the difference of the two is zero then, and zeros compress
+                held.append((tokens, np.full(k, c), np.full(k, c ^ g), np.full(k, m, np.int32), np.full(k, n, np.int32), (n - np.arange(k)).astype(np.int32)))
                 size += k
-                if size > PACK // 2:
+                if size > PACK // 4:
                     yield from blobs(held)
                     held, size = [], 0
         if held:
             yield from blobs(held)
 
-    names = ["r", "token", "cid", "gid", "n"]
+    kinds = {"token": np.uint32, "cid": np.int64, "cluster": np.int64, "many": np.int32, "n": np.int32, "left": np.int32}
 
     def blobs(held):
         made = list(dealt(held, ranges))
         for k in range(0, len(made), 500):
             part = made[k : k + 500]
-            yield pa.RecordBatch.from_arrays([pa.array([r for r, _ in part], pa.int32()), *[pa.array([c[j] for _, c in part], pa.binary()) for j in range(4)]], names)
+            yield pa.RecordBatch.from_arrays([pa.array([r for r, _ in part], pa.int32()), *[pa.array([c[j] for _, c in part], pa.binary()) for j in range(len(kinds))]], ["r", *kinds])
 
     def lists(t: pa.Table) -> pa.Table:
-        token, cid, gid, n = (np.concatenate([np.frombuffer(x.as_buffer(), kind) for x in t.column(c)]) for c, kind in (("token", np.uint32), ("cid", np.int64), ("gid", np.int64), ("n", np.int32)))
-        gid = cid ^ gid
-        order = np.lexsort((gid, token))
-        token, cid, gid, n = token[order], cid[order], gid[order], n[order]
-        # tokens of one group only can't link two
-        start = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]])) if len(token) else np.empty(0, np.int64)
-        end = np.concatenate([start[1:], [len(token)]]).astype(np.int64)
-        several = gid[start] != gid[end - 1] if len(start) else np.empty(0, bool)
-        # lists of two classes, the most by far, at once
-        two = start[several & (end - start == 2)]
-        fits = (100 * n[two].astype(np.int64) >= percent * n[two + 1]) & (100 * n[two + 1].astype(np.int64) >= percent * n[two])
-        two = two[fits]
-        found_c, found_g = [cid[two], cid[two + 1]], [gid[two + 1], gid[two]]
-        several &= end - start > 2
-        held, kept = 0, []
-        for a, b in zip(start[several], end[several], strict=True):
-            g, c, sizes = gid[a:b], cid[a:b], n[a:b].astype(np.int64)
-            first = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]]))
-            least, most = np.minimum.reduceat(sizes, first), np.maximum.reduceat(sizes, first)
-            for i, one in enumerate(g[first]):
-                # classes of other groups whose size lets them link with some class of this one
-                near = (100 * sizes >= percent * least[i]) & (100 * most[i] >= percent * sizes) & (g != one)
-                found_c.append(c[near])
-                found_g.append(np.full(len(found_c[-1]), one))
-                held += len(found_c[-1])
-                if held > 1_000_000:
-                    kept = [counted([*kept, tally(found_c, found_g)])]
-                    found_c, found_g, held = [], [], 0
-        c, g, k = counted([*kept, tally(found_c, found_g)])
-        return pa.table({"cid": c, "gid": g, "k": k})
-
-    def tally(found_c, found_g):
-        c, g = np.concatenate(found_c) if found_c else np.empty(0, np.int64), np.concatenate(found_g) if found_g else np.empty(0, np.int64)
-        return c, g, np.ones(len(c), np.int64)
-
-    def counted(parts):
-        """Pairs (class, group), each once, with the sum of its counts."""
-        c, g, k = (np.concatenate(x) for x in zip(*parts, strict=True))
-        order = np.lexsort((g, c))
-        c, g, k = c[order], g[order], k[order]
-        first = np.flatnonzero(np.concatenate([[True], (c[1:] != c[:-1]) | (g[1:] != g[:-1])])) if len(c) else np.empty(0, np.int64)
-        return c[first], g[first], np.add.reduceat(k, first) if len(c) else k
-
-    found = rows.select("cid", "n", "gid", "probe").mapInArrow(pack, "r int, token binary, cid binary, gid binary, n binary").groupBy("r").applyInArrow(lists, "cid bigint, gid bigint, k bigint")
-    bound = found.groupBy("cid", "gid").agg(F.sum("k").alias("k")).join(rows.select("cid", "n"), "cid")
-    least = F.ceil(F.col("n") * percent / 100).cast("long")  # the smallest set that can link
-    need = F.floor((least - F.ceil(least * percent / 100)) / 2).cast("long") + 1
-    return bound.where(F.col("k") >= need).select("cid", "n", "gid")
+        c = {k: np.concatenate([np.frombuffer(x.as_buffer(), kind) for x in t.column(k)]) for k, kind in kinds.items()}
+        a, b = opened(c["token"], c["cid"], c["cid"] ^ c["cluster"], *(c[k].astype(np.int64) for k in ("many", "n", "left")), percent)
+        return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+
+    packed = rows.select("cid", "n", "cluster", "many", "probe").mapInArrow(pack, ", ".join(["r int", *(f"{k} binary" for k in kinds)]))
+    return packed.groupBy("r").applyInArrow(lists, "a bigint, b bigint").distinct()
 
 
 def link_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
@@ -331,30 +374,32 @@ def link_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 def _components(df: DataFrame, id_col: str, text_col: str, width: int, percent: int) -> DataFrame:
     spark = df.sparkSession
-    base = staged(shingle_table(df, id_col, text_col, width), "shingles")
+    paths = {name: stage_path(spark, name) for name in ("shingles", "rows", "probes")}
+    base = staged(shingle_table(df, id_col, text_col, width), "shingles", paths["shingles"])
+    rows = classes(base, paths["rows"])
+    own = rows.where("cid = row").select("cid")
+    sets = base.where("tokens IS NOT NULL").select(F.col("row").alias("cid"), "tokens")
     total = base.where("tokens IS NOT NULL").agg(F.sum("n")).first()[0] or 0
     ranges = max(16, int(total // RANGE))
-    stars = star_links(base, percent)
-    groups = components(stars)
+    stars = star_links(rows, sets, percent)
+    cluster = components(stars).select(F.col("node").alias("cid"), F.col("label").alias("cluster"))
+    sizes = staged(cluster.groupBy("cluster").agg(F.count("*").alias("many")), "sizes")
+    cluster = cluster.join(sizes, "cluster")
+    cluster = staged(own.join(cluster, "cid", "left").select("cid", F.coalesce("cluster", "cid").alias("cluster"), F.coalesce("many", F.lit(1)).alias("many")), "clusters")
     release(spark)
     frequent = frequent_tokens(base, ranges)
     release(spark)
-    probe = probes(base, frequent, percent, ranges).join(groups.select(F.col("node").alias("cid"), "label"), "cid", "left")
-    probe = staged(probe.select("cid", "n", F.coalesce("label", "cid").alias("gid"), "probe"), "probes")
-    release(spark)
-    opened = matrix_candidates(probe, ranges, percent)
-    members = probe.select(F.col("cid").alias("other"), F.col("n").alias("m"), "gid")
-    close = (100 * F.col("m") >= percent * F.col("n")) & (100 * F.col("n") >= percent * F.col("m"))
-    pairs = opened.join(members, "gid").where(close).select(F.least("cid", "other").alias("a"), F.greatest("cid", "other").alias("b")).distinct()
-    pairs = staged(pairs, "opened")
-    del opened
+    probe = staged(probes(base, frequent, percent, ranges).join(cluster, "cid"), "probes", paths["probes"])
     release(spark)
-    links = stars.unionByName(verify(pairs, base, percent))
+    links = stars.unionByName(verify(matrix_candidates(probe, ranges, percent), sets, percent))
+    drop_path(spark, paths["probes"])
+    drop_path(spark, paths["shingles"])
     release(spark)
     whole = components(links).select(F.col("node").alias("cid"), "label")
-    rows = base.select("id", "n", "cid").join(whole, "cid", "left").withColumn("label", F.coalesce("label", "cid"))
-    least = rows.where("label IS NOT NULL").groupBy("label").agg(F.min("id").alias("least"))
-    out = rows.join(least, "label", "left")
+    marked = staged(rows.select("id", "n", "cid").join(whole, "cid", "left").select("id", "n", F.coalesce("label", "cid").alias("label")), "marked")
+    drop_path(spark, paths["rows"])
+    least = marked.where("label IS NOT NULL").groupBy("label").agg(F.min("id").alias("least"))
+    out = marked.join(staged(least, "least"), "label", "left")
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("least", "id").alias("component_id"))
 
 
