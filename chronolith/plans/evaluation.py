@@ -11,6 +11,7 @@ from ..operators import joins as J
 from ..operators import models, simulate, stats, views
 from ..operators.indicators import indicators
 from ..sources import sinks, tables
+from . import recursive
 from .base import CANDLES, DAILY, FORECAST, GRID, RETURNS, SIGNALS, daily, forecast, forward, grid, hourly, labelled, query, r, signals
 
 S = SparkSession
@@ -160,7 +161,7 @@ def bootstrap_ci(spark: S, sf: str) -> DataFrame:
     return stats.holm(b, "p")
 
 
-@query()
+@query(recursive.cusum(0.025, 5.0))
 def cusum(spark: S, sf: str) -> DataFrame:
     return stats.cusum(forecast(spark, sf).select("key", "h", "p", "y"), "p", "y", 0.025, 5.0)
 
@@ -299,30 +300,32 @@ def account_days(spark: S, sf: str) -> DataFrame:
 RULES = {"signal": simulate.Rule(), "stop": simulate.Rule(stop_loss=0.05), "trail": simulate.Rule(trailing=0.1), "time": simulate.Rule(time_stop=5), "sized": simulate.Rule(sized=True)}
 
 
-@query()
+@query(recursive.PAPER)
 def paper_account(spark: S, sf: str) -> DataFrame:
-    return simulate.paper_accounts(account_days(spark, sf), RULES)
+    ledger = simulate.paper_accounts(account_days(spark, sf), RULES)
+    return ledger.select("key", "rule", "d", "action", r(F.col("cash")).alias("cash"), r(F.col("units"), 9).alias("units"), r(F.col("value")).alias("value"), "trades")
 
 
-@query()
+@query(recursive.PERFORMANCE)
 def account_performance(spark: S, sf: str) -> DataFrame:
     ledger = simulate.paper_accounts(account_days(spark, sf), RULES)
-    return simulate.performance(ledger, ("rule",)).join(simulate.no_loss_windows(ledger, 30, ("rule",), "d", "value"), "rule")
+    both = simulate.performance(ledger, ("rule",)).join(simulate.no_loss_windows(ledger, 30, ("rule",), "d", "value"), "rule")
+    return both.select("rule", "days", *[r(F.col(c)).alias(c) for c in ("total", "sharpe", "max_drawdown", "profit_factor")], "windows", *[r(F.col(c)).alias(c) for c in ("no_loss", "mean_ret")])
 
 
 def policy_curves(spark: S, sf: str) -> DataFrame:
-    s = signals(spark, sf).select("key", "h", (100 + F.col("close") / 10).alias("price"), "signal", (F.abs(F.col("score")) / 50).alias("vol"), F.lit(0.6).alias("p"))
-    return simulate.policies(s, [0.0, 0.001])
+    s = signals(spark, sf).select("key", "h", (100 + F.col("close") / 10).alias("price"), "signal", "score", (F.abs(F.col("score")) / 50).alias("vol"), (0.6 + F.col("h") % 7 / 10).alias("p"))
+    return simulate.policies(s, [0.0, 0.001], selectors=simulate.Selectors(least_scores=200, least_outcomes=20, days=20))
 
 
-@query()
+@query(recursive.POLICIES)
 def policy_simulation(spark: S, sf: str) -> DataFrame:
-    return policy_curves(spark, sf).groupBy("key", "cost", "policy").agg(F.max_by("equity", "h").alias("final"), F.sum((F.col("action") == "trade").cast("long")).alias("trades"), F.count("*").alias("hours"))
+    return policy_curves(spark, sf).groupBy("key", "cost", "policy").agg(r(F.max_by("equity", "h")).alias("final"), F.sum(F.col("action").isin("buy", "sell", "exit").cast("long")).alias("trades"), F.count("*").alias("hours"))
 
 
-@query()
+@query(recursive.CYCLES)
 def cycles(spark: S, sf: str) -> DataFrame:
-    return simulate.cycles(policy_curves(spark, sf), ("key", "cost", "policy"), "h", "exposure", "equity")
+    return simulate.cycles(policy_curves(spark, sf), ("key", "cost", "policy"), "h", "exposure", "equity").withColumn("ret", r(F.col("ret")))
 
 
 @query(f"""WITH {SIGNALS}, i AS (SELECT key, row_number() OVER (PARTITION BY key ORDER BY h) - 1 AS i, count(*) OVER (PARTITION BY key) AS n, CASE WHEN signal = 'BUY' THEN 1 ELSE 0 END AS held, ret FROM sig WHERE ret IS NOT NULL), k AS (SELECT unnest(range(0, 51)) AS k),

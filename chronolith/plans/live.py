@@ -11,6 +11,7 @@ from ..operators.simulate import Rule
 from ..session import shared_dir
 from ..sources.tables import table
 from ..streaming import live
+from . import recursive
 from .base import CANDLES, daily, forecast, query, r
 
 S = SparkSession
@@ -47,20 +48,22 @@ def stream_once(spark: S, sf: str) -> DataFrame:
     return finished(live.once(e, ["event_id"], "ts", "1 hour").select("event_id")).agg(F.count("*").alias("n"))
 
 
-@query()
+@query(recursive.SESSIONS)
 def stream_sessions(spark: S, sf: str) -> DataFrame:
-    return finished(live.sessions(events(spark, sf)))
+    """Sessions that the watermark has passed; start and end in microseconds since 1970."""
+    s = finished(live.sessions(events(spark, sf)))
+    return s.select("user_id", F.unix_micros("start").alias("start"), F.unix_micros("end").alias("end"), "n")
 
 
-@query()
+@query(recursive.cusum(0.025, 5.0))
 def stream_cusum(spark: S, sf: str) -> DataFrame:
     f = forecast(spark, sf).select("key", "h", (F.col("p") - F.col("y")).alias("residual"))
     return finished(live.cusum_stream(replayed(f), 0.025, 5.0))
 
 
-@query()
+@query(recursive.ONE_STOP)
 def stream_account(spark: S, sf: str) -> DataFrame:
     w = Window.orderBy("d").rowsBetween(-9, 0)  # a row a day
     d = daily(spark, sf).withColumn("sma", F.avg("total").over(w))
     days = d.select(F.lit("orders").alias("key"), "d", F.col("total").alias("price"), (F.col("total") > F.col("sma")).cast("double").alias("desired"))
-    return finished(live.account_stream(replayed(days), Rule(stop_loss=0.05)))
+    return finished(live.account_stream(replayed(days), Rule(stop_loss=0.05))).withColumn("value", r(F.col("value")))

@@ -10,6 +10,7 @@ from ..operators import grid as G
 from ..operators import joins as J
 from ..operators import windows as W
 from ..sources import payloads, sinks, tables
+from . import recursive
 from .base import CANDLES, DAILY, FORECAST, GRID, RETURNS, SIGNALS, daily, forecast, forward, grid, hourly, labelled, query, r, signals
 
 S = SparkSession
@@ -305,7 +306,7 @@ def order_book_depth(spark: S, sf: str) -> DataFrame:
     return b.select("user_id", r(payloads.book_depth(F.col("levels"), F.lit(100.0), 0.01)).alias("depth"))
 
 
-@query()
+@query(recursive.BOOK_WALK)
 def order_book_walk(spark: S, sf: str) -> DataFrame:
     e = tables.table(spark, sf, "events")
     b = e.groupBy("event_type", "user_id").agg(F.array_sort(F.collect_list(F.struct((100 + F.col("value") / 100).alias("price"), F.col("value").alias("size")))).alias("levels"))

@@ -254,13 +254,52 @@ def test_accounts():
 
 
 def test_policies_and_cycles(spark):
-    rows = [("a", h, 100.0 + h, "BUY" if h < 10 else "SELL", 0.001, 0.5) for h in range(30)]
-    s = frame(spark, rows, "key string, h long, price double, signal string, vol double, p double")
+    rows = [("a", h, 100.0 + h, "BUY" if h < 10 else "SELL", 0.5, 0.001, 0.5) for h in range(30)]
+    s = frame(spark, rows, "key string, h long, price double, signal string, score double, vol double, p double")
     curves = simulate.policies(s, [0.0])
     final = {r.policy: r.e for r in curves.groupBy("policy").agg(F.max_by("equity", "h").alias("e")).collect()}
-    assert final["cash"] == 1000 and final["hold"] == pytest.approx(1290) and 1000 < final["rules"] < 1290
-    got = simulate.cycles(curves.where("policy = 'rules'"), ("key",), "h", "exposure", "equity").collect()
-    assert len(got) == 1 and got[0].ret == pytest.approx(final["rules"] / 1000 - 1)
+    assert len(final) == 13 and final["C2_cash"] == 1000 and final["C1_buy_and_hold"] == pytest.approx(1290) and 1000 < final["A4"] < 1290
+    got = simulate.cycles(curves.where("policy = 'A4'"), ("key",), "h", "exposure", "equity").collect()
+    assert len(got) == 1 and got[0].ret == pytest.approx(final["A4"] / 1000 - 1) and got[0].end == 10
+
+
+def test_fees_and_time_stops():
+    a = simulate.Account()
+    rule = simulate.Rule(time_stop=1)
+    assert simulate.full_step(a, 100, 1, rule, 0.01) == "enter" and a.value(100) == pytest.approx(990)
+    assert simulate.full_step(a, 100, 1, rule, 0.01) == "time_stop" and not a.blocked and a.cash == pytest.approx(990 * 0.99)
+    assert simulate.full_step(a, 100, 1, rule, 0.01) == "enter"
+    b = simulate.Account()
+    assert simulate.full_step(b, 100, 1, simulate.Rule(trailing=0.1), 0.0) == "enter" and simulate.full_step(b, 120, None, simulate.Rule(trailing=0.1), 0.0) == "keep"
+    assert simulate.full_step(b, 107, None, simulate.Rule(trailing=0.1), 0.0) == "trailing_stop" and b.blocked
+
+
+def test_hourly_rules():
+    def run(price, signal, size=1.0, **limits):
+        n = len(price)
+        return simulate.hourly_policy(np.arange(n), np.array(price, float), np.array(signal), np.full(n, size), simulate.Limits(**limits), 0.0)
+
+    # a turn waits six hours, whatever side came last
+    turn = run([100] * 9, [1, -1, -1, -1, -1, -1, -1, 1, 1])
+    assert turn.action.tolist() == ["buy", "keep", "keep", "keep", "keep", "keep", "sell", "keep", "keep"]
+    # the money at work is the capital: what exceeds it by the band is sold
+    assert run([100] * 6 + [119, 121], [1] + [0] * 7).action.tolist() == ["buy", *["keep"] * 6, "sell"]
+    # a loss of over 10 percent in a day sells all and halts for a week
+    crash = run([100] * 25 + [85] * 170, [1] * 195)
+    assert crash.action[25] == "exit" and (crash.action[26:193] == "keep").all() and crash.action[193] == "buy"
+
+
+def test_selectors():
+    k = simulate.Selectors(least_scores=2, least_outcomes=1, days=2)
+    hours = np.array([0, 1, 2, 4, 5])
+    assert simulate.run_length(hours, np.array([1, 1, 1, 1, 0])).tolist() == [1, 2, 3, 1, 1]
+    edge = simulate.threshold(np.array([0.1, -0.3, 0.2, 0.5]), k)
+    assert np.isnan(edge[:2]).all() and edge[2] == pytest.approx(0.28) and edge[3] == pytest.approx(0.28)
+    day = np.arange(0, 96)
+    above = simulate.above_mean(day, np.where(day < 48, 1.0, 2.0), k)
+    assert np.isnan(above[:47]).all() and above[47] == 0 and above[71] == 1 and above[95] == 0
+    gain = simulate.expected_return(np.arange(60), np.linspace(1, 2, 60), np.zeros(60, int), simulate.Selectors(least_outcomes=1, horizon=24))
+    assert np.isnan(gain[:24]).all() and gain[59] > 0
 
 
 def test_views_hide_later_knowledge(spark):
