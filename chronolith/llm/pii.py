@@ -2,8 +2,10 @@
 
 Base rules find e-mail addresses, IPv4 addresses, payment cards and international phone numbers. The model adds what they
 miss: runs of tokens with digits or an at-sign, with their neighbours, are segmented by dynamic programming over all segments of
-up to MAX_TOKENS tokens and all kinds at once, one token of any length or several of MAX_CHARS together; a token outside any segment scores 0, a segment scores its kind's weights on features of the
-whole span (shape, digit counts, checksums, the word before). Base spans stay as they are, and no segment crosses one.
+up to MAX_TOKENS tokens and all kinds at once, one token of any length or several of MAX_CHARS together. A segment scores its kind's
+weights on features of the whole span (shape, digit counts, checksums, the word before), each step from one label to the next, "outside"
+among them, the weight of that pair of labels; so boundaries and kinds are chosen together. Base spans stay as they are, and no segment
+crosses one. Time is linear in a text's length, whatever its tokens look like.
 
 The weights are trained here, on the driver, by gradient ascent on the model's conditional likelihood over generated
 sentences (fixed seed, TRAINING of them), and broadcast: a few KB. One pass over Arrow batches, no shuffle; whole texts.
@@ -32,9 +34,11 @@ MAX_TOKENS, MAX_CHARS, TRAINING, EPOCHS, RATE, SEED = 12, 320, 1500, 12, 0.3, 5
 #: What a segment's kind must score above staying outside.
 MARGIN = 0.3
 
-EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
-IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
-CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
+LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
+DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)++")
+#: Digits are taken whole, from the first of them on, so that no start is tried inside a long number.
+IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
+CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 MARK = re.compile(r"[0-9@]")
 SPACE = " \t\n\x0b\x0c\r"
@@ -42,7 +46,11 @@ SPACE = " \t\n\x0b\x0c\r"
 TOKEN = re.compile(r"[^\x20\t\n\x0b\x0c\r:=\"',;]+")
 GAP = re.compile(r"[\x20\t\n\x0b\x0c\r]{0,2}[:=\"',;]{0,3}[\x20\t\n\x0b\x0c\r]{0,2}[\"']?")
 GROUP = re.compile(r"[A-Z0-9]{1,4}")
-HIDDEN = re.compile(r"[A-Za-z0-9._%+-]+ ?(?:\(at\)|\[at\]|\bat\b) ?[A-Za-z0-9-]+(?: ?(?:\(dot\)|\[dot\]|\bdot\b) ?[A-Za-z0-9-]+)+", re.IGNORECASE)
+#: A written-out address: at and dot in words. A mailbox has at most 64 characters by the mail standard.
+AT = re.compile(r" ?(?:\(at\)|\[at\]|\bat\b) ?", re.IGNORECASE)
+DOTS = re.compile(r"[A-Za-z0-9-]+(?: ?(?:\(dot\)|\[dot\]|\bdot\b) ?[A-Za-z0-9-]+)+", re.IGNORECASE)
+HIDDEN = re.compile(r"[A-Za-z0-9._%+-]{1,64}" + AT.pattern + DOTS.pattern, re.IGNORECASE)
+NOT_DIGIT = re.compile(r"[^0-9]+")
 TRIM_LEFT, TRIM_RIGHT = "\"'`.,;:!?<>[]{}*#$%&|=/-", "\"'`.,;:!?<>[]{}*#$%&|=/-"
 
 
@@ -55,15 +63,43 @@ def luhn(digits: str) -> bool:
 
 
 def only_digits(text: str) -> str:
-    return "".join(c for c in text if "0" <= c <= "9")
+    return NOT_DIGIT.sub("", text)
+
+
+def emails(text: str) -> list[tuple[int, int]]:
+    """Leftmost addresses, found from their at-signs: the mailbox is all that may stand in one before the sign."""
+    out, free, at = [], 0, text.find("@")
+    while at >= 0:
+        domain = DOMAIN.match(text, at + 1)
+        start = free + len(text[free:at].rstrip(LOCAL))
+        free = at + 1
+        if domain and start < at:
+            out.append((start, domain.end()))
+            free = domain.end()
+        at = text.find("@", free)
+    return out
+
+
+def written_out(text: str) -> list[tuple[int, int]]:
+    """Addresses with at and dot in words, found from the at."""
+    out, free = [], 0
+    for m in AT.finditer(text):
+        domain = DOTS.match(text, m.end()) if m.start() >= free else None
+        if domain:
+            box = text[max(free, m.start() - 64) : m.start()]
+            start = m.start() - len(box) + len(box.rstrip(LOCAL))
+            if start < m.start():
+                out.append((start, domain.end()))
+                free = domain.end()
+    return out
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
     """(kind, start, end) in code points, by kind and then start."""
     out = []
     if "@" in text:
-        out += [(0, *m.span()) for m in EMAIL.finditer(text)]
-    out += [(1, *m.span()) for m in IP.finditer(text) if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split("."))]
+        out += [(0, *span) for span in emails(text)]
+    out += [(1, *m.span()) for m in IP.finditer(text) if all(len(x := p.lstrip("0")) <= 3 and int(x or 0) <= 255 for p in m[0].split("."))]
     out += [(2, *m.span()) for m in CARD.finditer(text) if 16 <= len(d := only_digits(m[0])) <= 19 and luhn(d)]
     if "+" in text:
         out += [(3, *m.span()) for m in PHONE.finditer(text) if 8 <= len(only_digits(m[0])) <= 15]
@@ -88,9 +124,9 @@ def runs(text: str) -> list[list[tuple[int, int]]]:
                 keep[k] = 1
                 if not GROUP.fullmatch(text, *tokens[k]):
                     break
-    for m in HIDDEN.finditer(text) if "dot" in text or "DOT" in text or "Dot" in text else ():
-        for i in range(bisect_right(starts, m.start()) - 1, n):
-            if tokens[i][0] >= m.end():
+    for begin, end in written_out(text) if "dot" in text or "DOT" in text or "Dot" in text else ():
+        for i in range(bisect_right(starts, begin) - 1, n):
+            if tokens[i][0] >= end:
                 break
             keep[i] = 1
     out: list[list[tuple[int, int]]] = []
@@ -185,19 +221,34 @@ def span_features(text: str, start: int, end: int, before: str, tokens: int) ->
     return x
 
 
-def lattice(text: str, run: list[tuple[int, int]], base: list[tuple[int, int, int]]) -> tuple[list[tuple[int, int, int, int]], np.ndarray]:
-    """Segments (first token, token after the last, start, end) of a run that touch no base span, and their features."""
+def merged(spans: list[tuple[int, int, int]]) -> tuple[list[int], list[int]]:
+    """Starts and ends of what the spans cover, in order."""
+    starts: list[int] = []
+    ends: list[int] = []
+    for _, a, b in sorted(spans, key=lambda x: x[1]):
+        if ends and a <= ends[-1]:
+            ends[-1] = max(ends[-1], b)
+        else:
+            starts.append(a)
+            ends.append(b)
+    return starts, ends
+
+
+def lattice(text: str, run: list[tuple[int, int]], base: list[tuple[int, int, int]], taken: tuple[list[int], list[int]] | None = None) -> tuple[list[tuple[int, int, int, int]], np.ndarray]:
+    """Segments (first token, token after the last, start, end) of a run that touch no base span, and their features. taken: what
+    the base spans cover, where it is known already."""
     segments, rows = [], []
     edges = [trimmed(text, s, e) for s, e in run]
+    starts, ends = taken or merged(base)
     for i in range(len(run)):
         before = text[max(0, run[i][0] - 40) : run[i][0]]
         for j in range(i + 1, min(len(run), i + MAX_TOKENS) + 1):
-            if edges[i][0] == edges[i][1]:
+            # several tokens are at most MAX_CHARS long; a single one is as long as it is
+            if edges[i][0] == edges[i][1] or (j > i + 1 and run[j - 1][1] - run[i][0] > MAX_CHARS):
                 break
             s, e = trimmed(text, run[i][0], run[j - 1][1])
-            if e - s > MAX_CHARS and j > i + 1:
-                break
-            if e - s < 6 or edges[j - 1][0] == edges[j - 1][1] or any(a < e and s < b for _, a, b in base):
+            k = bisect_right(ends, s)
+            if e - s < 6 or edges[j - 1][0] == edges[j - 1][1] or (k < len(starts) and starts[k] < e):
                 continue
             if MARK.search(text, s, e) or HIDDEN.fullmatch(text, s, e):
                 segments.append((i, j, s, e))
@@ -205,50 +256,94 @@ def lattice(text: str, run: list[tuple[int, int]], base: list[tuple[int, int, in
     return segments, np.array(rows).reshape(len(rows), WIDTH)
 
 
-def decode(n: int, segments: list[tuple[int, int, int, int]], scores: np.ndarray) -> list[tuple[int, int, int]]:
-    """The segmentation of n tokens with the highest score: (kind, start, end)."""
-    best, back = [0.0] * (n + 1), [None] * (n + 1)
-    kinds = scores.argmax(1) if len(segments) else []
+def log_sum(x: np.ndarray, axis: int = 0) -> np.ndarray:
+    top = np.max(x, axis=axis, keepdims=True)
+    top = np.where(np.isfinite(top), top, 0)
+    with np.errstate(divide="ignore"):
+        return np.log(np.exp(x - top).sum(axis=axis)) + np.squeeze(top, axis)
+
+
+def decode(n: int, segments: list[tuple[int, int, int, int]], scores: np.ndarray, steps: np.ndarray | None = None) -> list[tuple[int, int, int]]:
+    """The labelling of n tokens with the highest score: (kind, start, end) of its segments. steps: (label, next label) weights, by
+    default none; the last label is outside, where each run begins."""
+    out_of = scores.shape[1]
+    steps = np.zeros((out_of + 1, out_of + 1)) if steps is None else steps
+    best = np.full((n + 1, out_of + 1), -inf)
+    best[0, out_of] = 0
+    back: dict[tuple[int, int], tuple[int, int, int]] = {}
     ends: dict[int, list[int]] = {}
     for k, seg in enumerate(segments):
         ends.setdefault(seg[1], []).append(k)
-    for j in range(1, n + 1):
-        best[j] = best[j - 1]
-        for k in ends.get(j, ()):
-            s = best[segments[k][0]] + scores[k, kinds[k]] - MARGIN
-            if s > best[j]:
-                best[j], back[j] = s, k
-    out, j = [], n
+    into, came = np.empty_like(best), np.empty(best.shape, int)
+    for j in range(n + 1):
+        if j:
+            best[j, out_of] = into[j - 1, out_of]
+            back[j, out_of] = (j - 1, int(came[j - 1, out_of]), -1)
+            for k in ends.get(j, ()):
+                i = segments[k][0]
+                got = into[i, :out_of] + scores[k] - MARGIN
+                for y in np.flatnonzero(got > best[j, :out_of]):
+                    best[j, y] = got[y]
+                    back[j, int(y)] = (i, int(came[i, y]), k)
+        through = best[j][:, None] + steps
+        came[j] = through.argmax(0)
+        into[j] = through.max(0)
+    found, j, y = [], n, int(best[n].argmax())
     while j > 0:
-        k = back[j]
-        if k is None:
-            j -= 1
-        else:
-            out.append((int(kinds[k]), segments[k][2], segments[k][3]))
-            j = segments[k][0]
-    return out[::-1]
-
+        i, before, k = back[j, y]
+        if k >= 0:
+            found.append((y, segments[k][2], segments[k][3]))
+        j, y = i, before
+    return found[::-1]
 
-def log_add(values: np.ndarray) -> float:
-    top = values.max()
-    return top + np.log(np.exp(values - top).sum()) if top > -inf else -inf
 
-
-def expected(n: int, segments: list[tuple[int, int, int, int]], scores: np.ndarray) -> np.ndarray:
-    """Probability of each segment and kind under the model: forward and backward sums over all segmentations."""
-    ends: dict[int, list[int]] = {}
+def expected(n: int, segments: list[tuple[int, int, int, int]], scores: np.ndarray, steps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Under the model, the probability of each segment and kind, and how often each label follows each: forward and backward sums
+    over all segmentations and labellings."""
+    out_of = len(KINDS)
     starts: dict[int, list[int]] = {}
+    ends: dict[int, list[int]] = {}
     for k, seg in enumerate(segments):
-        ends.setdefault(seg[1], []).append(k)
         starts.setdefault(seg[0], []).append(k)
-    total = np.array([log_add(s) for s in scores])
-    ahead, behind = np.zeros(n + 1), np.zeros(n + 1)
-    for j in range(1, n + 1):
-        ahead[j] = log_add(np.array([ahead[j - 1], *(ahead[segments[k][0]] + total[k] for k in ends.get(j, ()))]))
+        ends.setdefault(seg[1], []).append(k)
+    ahead, into = np.full((n + 1, out_of + 1), -inf), np.empty((n + 1, out_of + 1))
+    ahead[0, out_of] = 0
+    for j in range(n + 1):
+        if j:
+            ahead[j, out_of] = into[j - 1, out_of]
+            if j in ends:
+                ahead[j, :out_of] = log_sum(np.stack([into[segments[k][0], :out_of] + scores[k] for k in ends[j]]))
+        into[j] = log_sum(ahead[j][:, None] + steps)
+    total = log_sum(ahead[n])
+    behind, pairs, chance = np.zeros((n + 1, out_of + 1)), np.zeros(steps.shape), np.zeros(scores.shape)
     for i in range(n - 1, -1, -1):
-        behind[i] = log_add(np.array([behind[i + 1], *(behind[segments[k][1]] + total[k] for k in starts.get(i, ()))]))
-    edge = np.array([ahead[i] + behind[j] for i, j, _, _ in segments]) - ahead[n]
-    return np.exp(np.minimum(scores + edge[:, None], 0))
+        on = np.full(out_of + 1, -inf)
+        on[out_of] = behind[i + 1, out_of]
+        if i in starts:
+            on[:out_of] = log_sum(np.stack([scores[k] + behind[segments[k][1], :out_of] for k in starts[i]]))
+        through = steps + on
+        behind[i] = log_sum(through, 1)
+        pairs += np.exp(np.minimum(ahead[i][:, None] + through - total, 0))
+        for k in starts.get(i, ()):
+            chance[k] = np.exp(np.minimum(into[i, :out_of] + scores[k] + behind[segments[k][1], :out_of] - total, 0))
+    return chance, pairs
+
+
+def marked_path(n: int, segments: list[tuple[int, int, int, int]], spans: list[tuple[int, int, int]]) -> tuple[np.ndarray, np.ndarray]:
+    """The same two counts of the marked labelling."""
+    out_of = len(KINDS)
+    kind_of = {(a, b): k for k, a, b in spans}
+    gold, pairs = np.zeros((len(segments), out_of)), np.zeros((out_of + 1, out_of + 1))
+    at = {seg[0]: k for k, seg in enumerate(segments) if seg[2:] in kind_of}
+    i, label = 0, out_of
+    while i < n:
+        k = at.get(i)
+        after = out_of if k is None else kind_of[segments[k][2:]]
+        pairs[label, after] += 1
+        if k is not None:
+            gold[k, after] = 1
+        i, label = (i + 1 if k is None else segments[k][1]), after
+    return gold, pairs
 
 
 def sample_text(rng: np.random.Generator) -> tuple[str, list[tuple[int, int, int]]]:
@@ -304,8 +399,8 @@ def sample_text(rng: np.random.Generator) -> tuple[str, list[tuple[int, int, int
     return text + " " + word() + ".", spans
 
 
-def train(count: int = TRAINING, epochs: int = EPOCHS, rate: float = RATE, seed: int = SEED) -> np.ndarray:
-    """Weights (features, kinds)."""
+def train(count: int = TRAINING, epochs: int = EPOCHS, rate: float = RATE, seed: int = SEED) -> tuple[np.ndarray, np.ndarray]:
+    """Weights (features, kinds) of segments and (label, next label) of steps."""
     rng = np.random.default_rng(seed)
     data = []
     for _ in range(count):
@@ -314,26 +409,25 @@ def train(count: int = TRAINING, epochs: int = EPOCHS, rate: float = RATE, seed:
         for run in runs(text):
             segments, x = lattice(text, run, base)
             if segments:
-                gold = np.zeros((len(segments), len(KINDS)))
-                for k, (_, _, s, e) in enumerate(segments):
-                    for kind, a, b in spans:
-                        if (s, e) == (a, b):
-                            gold[k, kind] = 1
-                data.append((len(run), segments, x, gold))
-    w, seen = np.zeros((WIDTH, len(KINDS))), np.full((WIDTH, len(KINDS)), 1e-3)
+                data.append((len(run), segments, x, *marked_path(len(run), segments, spans)))
+    labels = len(KINDS) + 1
+    w, steps = np.zeros((WIDTH, len(KINDS))), np.zeros((labels, labels))
+    seen_w, seen_s = np.full(w.shape, 1e-3), np.full(steps.shape, 1e-3)
     for _ in range(epochs):
         for k in rng.permutation(len(data)):
-            n, segments, x, gold = data[k]
-            slope = x.T @ (gold - expected(n, segments, x @ w)) - 1e-4 * w
-            seen += slope**2
-            w += rate * slope / np.sqrt(seen)
-    return w
+            n, segments, x, gold, pairs = data[k]
+            chance, often = expected(n, segments, x @ w, steps)
+            for value, seen, slope in ((w, seen_w, x.T @ (gold - chance) - 1e-4 * w), (steps, seen_s, pairs - often - 1e-4 * steps)):
+                seen += slope**2
+                value += rate * slope / np.sqrt(seen)
+    return w, steps
 
 
-_trained: dict[tuple, np.ndarray] = {}
+Model = tuple[np.ndarray, np.ndarray]
+_trained: dict[tuple, Model] = {}
 
 
-def weights() -> np.ndarray:
+def weights() -> Model:
     """The trained weights; one training a process."""
     key = (TRAINING, EPOCHS, RATE, SEED)
     if key not in _trained:
@@ -341,14 +435,21 @@ def weights() -> np.ndarray:
     return _trained[key]
 
 
-def find(text: str, w: np.ndarray) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
+def find(text: str, model: Model) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
     """(base spans, all spans), each (kind, start, end) in code points, by kind and then start."""
+    w, steps = model
+    # a segment with less than this can't be part of the best labelling: no pair of steps makes up for it
+    least = MARGIN - 2 * (steps.max() - steps.min())
     base = base_spans(text)
+    taken = merged(base)
     added = []
     for run in runs(text):
-        segments, x = lattice(text, run, base)
+        segments, x = lattice(text, run, base, taken)
         if segments:
-            added += decode(len(run), segments, x @ w)
+            scores = x @ w
+            some = np.flatnonzero(scores.max(1) > least)
+            if len(some):
+                added += decode(len(run), [segments[k] for k in some], scores[some], steps)
     return base, sorted({*base, *added})
 
 
@@ -369,7 +470,7 @@ def suspects(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 
 def find_all(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id_col, n_email, n_ip, n_card, n_phone (of the base rules), base_sha256 and spans."""
+    """id_col, n_email, n_ip, n_card, n_phone (of the base rules), base_sha256, spans and n_spans."""
     shared = df.sparkSession.sparkContext.broadcast(weights())
     nothing = sha256(b"").hexdigest()
 
@@ -378,17 +479,17 @@ def find_all(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 
         def kernel(data, offsets):
             n = len(offsets) - 1
-            counts, digest, spans = np.zeros((4, n), np.int64), [nothing] * n, [""] * n
+            counts, total, digest, spans = np.zeros((4, n), np.int64), np.zeros(n, np.int64), [nothing] * n, [""] * n
             for i in np.flatnonzero(suspects(data, offsets)):
                 base, every = find(data[offsets[i] : offsets[i + 1]].tobytes().decode("utf-8", "replace"), w)
                 for k, _, _ in base:
                     counts[k, i] += 1
-                digest[i], spans[i] = sha256(spelled(base).encode()).hexdigest(), spelled(every)
-            return [*counts, digest, spans]
+                digest[i], spans[i], total[i] = sha256(spelled(base).encode()).hexdigest(), spelled(every), len(every)
+            return [*counts, digest, spans, total]
 
         return kernel
 
-    fields = {f"n_{k}": "bigint" for k in BASE} | {"base_sha256": "string", "spans": "string"}
+    fields = {f"n_{k}": "bigint" for k in BASE} | {"base_sha256": "string", "spans": "string", "n_spans": "bigint"}
     return map_text(df, text_col, fields, make, [id_col])
 
 

@@ -65,7 +65,7 @@ def test_jaccard_join_without_groups(spark, monkeypatch):
     """The matrix alone must find every link, also those that no band of minimum hashes shares."""
     rng = random.Random(8)
     rows = [(k, edited(rng, documents()[k % 6][1], k % 3), "s") for k in range(60)]
-    monkeypatch.setattr(jaccard_join, "star_links", lambda sets, percent: sets.sparkSession.createDataFrame([], "a long, b long"))
+    monkeypatch.setattr(jaccard_join, "star_links", lambda rows, sets, percent: rows.sparkSession.createDataFrame([], "a long, b long"))
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.link_components(frame(spark, rows)).collect()}
     assert got == linked(rows, 4, 85)
 

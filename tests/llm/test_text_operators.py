@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -12,7 +13,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from chronolith.llm import bpe, pii, repetition, token_orc
+from chronolith.llm import bpe, jaccard_join, pii, repetition, token_orc
 from chronolith.llm import textkernel as K
 
 from .cases import SCHEMA, documents, frame
@@ -34,6 +35,26 @@ def keyed(df):
     return out
 
 
+def twins(n=1024):
+    """Two words of n letters that agree under any polynomial hash modulo a power of two (n from 1024 on)."""
+    a = "".join("ab"[bin(i).count("1") & 1] for i in range(n))
+    return a, a.translate(str.maketrans("ab", "ba"))
+
+
+def test_words_that_polynomials_confuse(spark, tokenizer):
+    a, b = twins()
+    assert K.range_hash(np.frombuffer((a + b).encode(), np.uint8), np.array([0, 1024]), np.array([1024, 2048])).tolist()[0] != 0
+    rows = [(1, f"{a} {b}", "s"), (2, a, "s"), (3, b, "s"), (4, f"{a}\n{b}\n{a}", "s"), (5, f"{b} {a} {a}", "s")]
+    df = frame(spark, rows).coalesce(1)
+    got = keyed(repetition.repetition_coverage(df))
+    assert [got[k].n_dup_lines for k in (1, 2, 3, 4, 5)] == [0, 0, 0, 1, 0]
+    ids = {k: tokenizer.encode(t, add_special_tokens=False).ids for k, t, _ in rows}
+    assert {r.doc_id: np.frombuffer(r.ids, "<u4").tolist() for r in bpe.encode_texts(df, VOCABULARY, keep=["doc_id"]).collect()} == ids
+    assert {r.doc_id: r.ids[:-1] for r in token_orc.encode(df, VOCABULARY).collect()} == ids
+    linked = {r.doc_id: r.component_id for r in jaccard_join.link_components(df).collect()}
+    assert linked == {k: k for k in (1, 2, 3, 4, 5)}
+
+
 def covered(words, n):
     grams = Counter(tuple(words[i : i + n]) for i in range(len(words) - n + 1))
     inside = {i + j for i in range(len(words) - n + 1) if grams[tuple(words[i : i + n])] > 1 for j in range(n)}
@@ -169,6 +190,50 @@ def test_spans_of_all_forms_are_candidates():
     assert not missed
 
 
+def test_kinds_and_boundaries_are_chosen_together():
+    """Against all labellings: the weights of steps from label to label change what is best."""
+    rng = np.random.default_rng(1)
+    for _ in range(40):
+        n, kinds = 4, 2
+        segments = [(i, j, i, j) for i in range(n) for j in range(i + 1, n + 1) if rng.random() < 0.6]
+        scores, steps = rng.normal(size=(len(segments), kinds)), rng.normal(size=(kinds + 1, kinds + 1))
+
+        def best(at, label):
+            if at == n:
+                return 0.0, ()
+            value, rest = best(at + 1, kinds)
+            found = [(value + steps[label, kinds], rest)]
+            for k, s in enumerate(segments):
+                if s[0] == at:
+                    for y in range(kinds):
+                        value, rest = best(s[1], y)
+                        found.append((value + steps[label, y] + scores[k, y] - pii.MARGIN, ((y, s[2], s[3]), *rest)))
+            return max(found)
+
+        assert tuple(pii.decode(n, segments, scores, steps)) == best(0, kinds)[1]
+        if segments:
+            chance, pairs = pii.expected(n, segments, np.pad(scores, ((0, 0), (0, len(pii.KINDS) - kinds)), constant_values=-50), np.pad(steps[:kinds, :kinds], ((0, len(pii.KINDS) + 1 - kinds),) * 2))
+            inside = sum(chance[k].sum() * (s[1] - s[0]) for k, s in enumerate(segments))
+            assert 0 <= inside <= n + 1e-9 and abs(pairs.sum() - (chance.sum() + n - inside)) < 1e-6
+
+
+def test_long_tokens_take_linear_time():
+    """A million characters in tokens of one kind, and spans that follow them; fewer where each is a candidate with its neighbours."""
+    model = pii.weights()
+    for filler in ("7", "a", "a.", "1.", "@", "a@", "+1", "at.", "x-", "=", "a dot ", "1 ", "A1="):
+        t = filler * ((100_000 if filler in ("1 ", "A1=") else 1_000_000) // len(filler)) + " mail ann.lee@site.example.org"
+        began = time.process_time()
+        base, every = pii.find(t, model)
+        assert time.process_time() - began < 60 and any(k == 0 and e == len(t) for k, _, e in base) and {*base} <= {*every}
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(alphabet="a1.@-+ ()%_0é", max_size=60))
+def test_base_spans_equal_the_patterns(t):
+    got = ",".join(f"{pii.KINDS[k]}:{a}:{b}" for k, a, b in pii.base_spans(t))
+    assert got == brute_spans(t)
+
+
 def test_decoding_takes_the_best_segmentation():
     rng = np.random.default_rng(0)
     for _ in range(50):
@@ -194,5 +259,5 @@ def test_words_of_a_batch(texts):
     w = K.words(data, offsets)
     want = [(i, x.encode()) for i, t in enumerate(texts) for x in WORD.findall(t)]
     assert [(int(d), data[a:b].tobytes()) for d, a, b in zip(w.doc, w.start, w.end, strict=True)] == want
-    h = K.range_hash(K.prefix_hash(data), w.start, w.end)
+    h = K.range_hash(data, w.start, w.end)
     assert len({int(x) for x in h}) == len({x for _, x in want})
