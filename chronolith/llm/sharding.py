@@ -12,6 +12,9 @@ All joins on groups are salted, so a group with a third of all rows spreads over
 shuffled; what is broadcast or collected has a row for each shard and bucket, at most shards * 4096. Each round's result is a
 table in the shared folder. DataFrame functions throughout.
 
+All that is drawn, the start, the order of moves and the slots, follows from a row's id and text, so the result doesn't depend on files
+or partitions; only which of several rows with one id and one text stands where does. cut_links counts the links between shards.
+
 Nulls and empty texts are equal texts of size 1; repeated rows are rows of their own; an empty table gives no rows; input
 columns with the names of the results are not read.
 """
@@ -71,7 +74,7 @@ def round_moves(state: DataFrame, members: DataFrame, shards: int, cap: float) -
     wish = v.withColumn("best", best).withColumn("gain", F.col("best.n") - here).where(F.col("best.to") != F.col("shard"))
     # classes of gain by powers of two, the best first, then a hash
     rank = GAINS - 1 - F.least(F.floor(F.log2(F.greatest(F.col("gain"), F.lit(0)) + 1)), F.lit(GAINS - 1))
-    wish = wish.select("node", "size", F.col("best.to").alias("to"), (rank * FINE + F.pmod(F.xxhash64("node", F.lit("round")), F.lit(FINE))).cast("int").alias("bucket"))
+    wish = wish.select("node", "size", F.col("best.to").alias("to"), (rank * FINE + F.pmod(F.xxhash64("tie", F.lit("round")), F.lit(FINE))).cast("int").alias("bucket"))
     path = stage_path(state.sparkSession, "wishes")
     wish = staged(wish, "wishes", path)
     room = by_shard([max(0.0, cap - x) for x in load], F.col("to"))
@@ -95,15 +98,15 @@ def even_moves(state: DataFrame, members: DataFrame, shards: int) -> DataFrame |
     spark = state.sparkSession
     v = votes(state, members, shards).join(state.select("node", "shard"), "node")
     here = reduce(lambda a, k: F.when(F.col("shard") == k, F.col(f"v{k}")).otherwise(a), range(shards), F.lit(0))
-    tied = v.select("node", F.least(F.floor(F.log2(here + 1)) + 1, F.lit(15)).cast("long").alias("ties"))
+    links = v.select("node", F.least(F.floor(F.log2(here + 1)) + 1, F.lit(15)).cast("long").alias("ties"))
     width = BITS * LEVELS - 4
-    spread = F.shiftrightunsigned(F.xxhash64("node", F.lit("even")), 64 - width)
-    open_ = state.where(by_shard(over, F.col("shard")) >= F.col("size")).join(tied, "node", "left")
-    rows = staged(open_.select("node", "size", "shard", (F.shiftleft(F.coalesce("ties", F.lit(0)).cast("long"), width) + spread).alias("hash")), "open")
+    spread = F.shiftrightunsigned(F.xxhash64("tie", F.lit("even")), 64 - width)
+    open_ = state.where(by_shard(over, F.col("shard")) >= F.col("size")).join(links, "node", "left")
+    rows = staged(open_.select("node", "tie", "size", "shard", (F.shiftleft(F.coalesce("ties", F.lit(0)).cast("long"), width) + spread).alias("hash")), "open")
     budgets = spark.createDataFrame([(k, int(x)) for k, x in enumerate(over) if x], "shard int, budget long")
     cut = thresholds(rows, budgets, "shard")
     leaving = rows.join(F.broadcast(cut), "shard").where(F.col("hash") < F.col("threshold"))  # a row a shard
-    leaving = staged(leaving.select("node", "size", F.shiftrightunsigned(F.xxhash64("node", F.lit("to")), 64 - BITS * LEVELS).alias("hash")), "leaving")
+    leaving = staged(leaving.select("node", "size", F.shiftrightunsigned(F.xxhash64("tie", F.lit("to")), 64 - BITS * LEVELS).alias("hash")), "leaving")
     # nested budgets: what goes to the first shard with room, to the first two, ...
     nested, total = [], 0
     for k, x in enumerate(under):
@@ -118,9 +121,10 @@ def even_moves(state: DataFrame, members: DataFrame, shards: int) -> DataFrame |
 
 
 def propagate(nodes: DataFrame, members: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS, slack: float = SLACK, evenings: int = EVENINGS) -> DataFrame:
-    """node, size and shard. nodes: node (unique long) and size; members: node and group, for groups of two rows or more."""
+    """node, tie, size and shard. nodes: node (unique long), tie (long, for all that is drawn) and size; members: node and group, for
+    groups of two rows or more."""
     spark = nodes.sparkSession
-    first = nodes.select("node", "size", F.pmod(F.xxhash64("node", F.lit("start")), F.lit(shards)).cast("int").alias("shard"))
+    first = nodes.select("node", "tie", "size", F.pmod(F.xxhash64("tie", F.lit("start")), F.lit(shards)).cast("int").alias("shard"))
     path = stage_path(spark, "state")
     state = staged(first, "state", path)
     cap = (1 + slack) * sum(loads(state, shards)) / shards
@@ -135,16 +139,32 @@ def propagate(nodes: DataFrame, members: DataFrame, shards: int = SHARDS, rounds
     return state
 
 
+def cut_links(state: DataFrame, members: DataFrame) -> DataFrame:
+    """One row: links (pairs of rows of a group) and cut (those whose rows are in different shards), from counts by group and shard."""
+    at = members.join(state.select("node", "shard"), "node").groupBy("group", "shard").agg(F.count("*").alias("n"))
+    each = at.groupBy("group").agg(F.sum("n").alias("n"), F.sum(F.col("n") * (F.col("n") - 1) / 2).alias("inside"))
+    whole = F.sum(F.col("n") * (F.col("n") - 1) / 2)
+    return each.agg(F.coalesce(whole, F.lit(0.0)).cast("long").alias("links"), F.coalesce(whole - F.sum("inside"), F.lit(0.0)).cast("long").alias("cut"))
+
+
+def tied(base: DataFrame) -> DataFrame:
+    """base (id, group, node) with tie: a hash of id and group; where several rows share both, of the node as well."""
+    again = staged(base.groupBy("id", "group").count().where("count > 1").select(F.col("id").alias("__id"), F.col("group").alias("__group"), F.lit(True).alias("__again")), "again")
+    both = base.join(again, base["id"].eqNullSafe(F.col("__id")) & (base["group"] == F.col("__group")), "left")
+    return both.withColumn("tie", F.xxhash64("id", "group", F.when(F.col("__again"), F.col("node")))).drop("__id", "__group", "__again")
+
+
 def shard_documents(df: DataFrame, shards: int = SHARDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id_col, size, text_crc32, law, shard, slot (gapless from 0 in each shard) and grown_shard (null: law is bytes). Equal
     texts are linked."""
     raw = F.coalesce(df[text_col].cast("string"), F.lit("")).cast("binary")
     base = df.select(df[id_col].alias("id"), (F.octet_length(raw) + 1).cast("long").alias("size"), F.crc32(raw).alias("text_crc32"), F.md5(raw).alias("group"))
     base = staged(base.withColumn("node", F.monotonically_increasing_id()), "sizes")
+    base = staged(tied(base), "tied")
     large = salted(base.groupBy("group").count().where("count > 1").select("group"))
     members = staged(base.select("node", "group", own_salt(F.col("node")).alias("salt")).join(large, ["group", "salt"]).select("node", "group"), "members")
     state = propagate(base, members, shards)
-    placed = base.drop("size").join(state, "node").withColumn("hash", row_hash(F.col("node"))).withColumn("bucket", F.shiftright("hash", 48))
+    placed = base.drop("size", "tie").join(state, "node").withColumn("hash", row_hash(F.col("tie"))).withColumn("bucket", F.shiftright("hash", 48))
     counts = placed.groupBy("shard", "bucket").agg(F.count("*").alias("n"))  # at most shards * 4096 rows
     first = counts.select("shard", "bucket", F.coalesce(F.sum("n").over(Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("first"))
     inside = F.row_number().over(Window.partitionBy("shard", "bucket").orderBy("hash", "node")) - 1
