@@ -10,8 +10,8 @@ Shuffles carry sums by (source, bucket) only, at most BUCKETS a source whatever
 by broadcast when Spark's statistics prove it small, and by a shuffle else. DataFrame functions throughout.
 
 A null source is a source of its own, last in order; null and empty texts have size 0 and are taken as often as their source
-is; rows that are equal in id and text share a hash and are taken or left together; an empty table gives no rows. Input columns
-with the names of the results are not read.
+is; rows share their hash with those of the same id, and where the boundary falls among several of these, a hash of their texts and
+places decides row by row; an empty table gives no rows. Input columns with the names of the results are not read.
 """
 
 from __future__ import annotations
@@ -58,8 +58,30 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap: float =
     return t.select("source", "source_size", F.when(F.col("open") == 0, F.col("most")).otherwise(F.least("most", F.col("final") * F.col("weight"))).alias("target"))
 
 
+def split_lumps(rows: DataFrame, cut: DataFrame) -> DataFrame:
+    """cut (source, threshold, edge, rest) with more: of the rows at the edge, those whose hash ``fine`` is under it are taken too.
+
+    Where a single row stands at the edge, the threshold has decided on it. rows: source, size, hash, fine.
+    """
+    c = cut.withColumnRenamed("source", "__key")
+    at = rows.join(c, rows["source"].eqNullSafe(F.col("__key")) & (rows["hash"] == F.col("edge")))
+    lumps = staged(at.select("source", "size", "fine"), "lumps")
+    several = staged(lumps.groupBy("source").agg(F.count("*").alias("rows")).where("rows > 1"), "several")  # a row a source
+    none = cut.withColumn("more", F.lit(0).cast("long"))
+    if not several.limit(1).count():
+        return none
+    keys = several.select(F.col("source").alias("__key"))
+    open_ = cut.join(keys, cut["source"].eqNullSafe(F.col("__key")), "left_semi")
+    some = lumps.join(keys, lumps["source"].eqNullSafe(F.col("__key")), "left_semi")
+    fine = thresholds(some, open_.select("source", F.col("rest").alias("budget")), hashed="fine").select(F.col("source").alias("__key"), F.col("threshold").alias("__more"))
+    out = cut.join(fine, cut["source"].eqNullSafe(F.col("__key")), "left")
+    whole = F.when(F.col("__more").isNull(), F.col("threshold")).otherwise(F.col("edge"))
+    return out.select("source", whole.alias("threshold"), "edge", "rest", F.coalesce("__more", F.lit(0)).alias("more"))
+
+
 def thresholds(rows: DataFrame, budgets: DataFrame, key: str = "source", size: str = "size", hashed: str = "hash") -> DataFrame:
-    """key and threshold: rows whose hash is under it hold about the budget (long column ``budget``) of their key.
+    """key and threshold: rows whose hash is under it hold about the budget (long column ``budget``) of their key; edge, the hash
+    at which the budget ends (null where it doesn't), and rest, what is left of the budget there.
 
     rows: key, size and a 60-bit hash. Level by level, sums of the boundary bucket only are refined; at the last, the single
     hash value at the boundary is taken if that comes nearer.
@@ -86,7 +108,8 @@ def thresholds(rows: DataFrame, budgets: DataFrame, key: str = "source", size: s
         if level == LEVELS - 1:
             near = F.col("below") + F.col("n") - F.col("budget") < F.col("budget") - F.col("below")
             last = F.when(F.col("at").isNull(), end).when(near, new_low + 1).otherwise(new_low)
-            return staged(base.select(key, last.alias("threshold")), "thresholds")
+            edge = F.when(F.col("at").isNotNull(), new_low)
+            return staged(base.select(key, last.alias("threshold"), edge.alias("edge"), (F.col("budget") - F.col("below")).alias("rest")), "thresholds")
         taken = F.when(F.col("at").isNull(), F.col("taken") + F.coalesce("all", F.lit(0))).otherwise(F.col("below"))
         cached = staged(base.select(key, "budget", F.coalesce(new_low, end).alias("low"), taken.alias("taken")), "budgets")
 
@@ -94,17 +117,20 @@ def thresholds(rows: DataFrame, budgets: DataFrame, key: str = "source", size: s
 def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = WEIGHTS, cap: float = CAP, keep: list[str] | None = None) -> DataFrame:
     """The columns ``keep``, id_col, size, source_size, target, copies (how often the row is taken) and taken (copies * size)."""
     keep = [c for c in (keep or []) if c not in (id_col, "size", "source_size", "target", "copies", "taken")]
-    rows = df.select(*[df[c].alias(f"kept_{c}") for c in keep], df[id_col].alias("id"), df[source_col].cast("string").alias("source"), word_count(df[text_col]).alias("size"), row_hash(df[id_col]).alias("hash"))
-    small = staged(rows.select("id", "source", "size", "hash"), "mix")
+    # the leading half from the text, the rest from the row's place
+    fine = F.shiftleft(F.pmod(F.xxhash64(df[text_col].cast("string")), F.lit(1 << 30)), 30) + F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(1 << 30))
+    rows = df.select(*[df[c].alias(f"kept_{c}") for c in keep], df[id_col].alias("id"), df[source_col].cast("string").alias("source"), word_count(df[text_col]).alias("size"), row_hash(df[id_col]).alias("hash"), fine.alias("fine"))
+    small = staged(rows.select("id", "source", "size", "hash", "fine"), "mix")
     rows = rows if keep else small
     sizes = small.groupBy("source").agg(F.sum("size").alias("source_size"))
     goal = staged(targets(sizes, weights, cap), "targets")
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
     goal = goal.withColumn("whole", whole).withColumn("budget", F.round(F.col("target") - F.col("whole") * F.col("source_size")).cast("long"))
-    cut = thresholds(small, goal)
-    goal = goal.alias("g").join(cut.alias("c"), F.col("g.source").eqNullSafe(F.col("c.source"))).select(F.col("g.source").alias("goal_key"), "source_size", "target", "whole", "threshold")
+    cut = split_lumps(small, thresholds(small, goal))
+    goal = goal.alias("g").join(cut.alias("c"), F.col("g.source").eqNullSafe(F.col("c.source"))).select(F.col("g.source").alias("goal_key"), "source_size", "target", "whole", "threshold", "edge", "more")
     out = rows.join(goal, rows["source"].eqNullSafe(F.col("goal_key")))
-    copies = (F.col("whole") + F.when(F.col("hash") < F.col("threshold"), 1).otherwise(0)).cast("long")
+    under = (F.col("hash") < F.col("threshold")) | ((F.col("hash") == F.col("edge")) & (F.col("fine") < F.col("more")))
+    copies = (F.col("whole") + F.when(under, 1).otherwise(0)).cast("long")
     return out.select(*[F.col(f"kept_{c}").alias(c) for c in keep], F.col("id").alias(id_col), "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
 
 
