@@ -57,8 +57,9 @@ def features(data: np.ndarray, offsets: np.ndarray, bits: int = BUCKET_BITS, ngr
     return bucket, owner, which, w.doc, np.bincount(owner, minlength=len(first))
 
 
-#: Buckets of a pair of neighbouring words that differ and of one whose words are equal.
-PAIRS = np.array([11, 12])
+#: Buckets of their own, behind the hashed ones: a pair of neighbouring words that differ, and one whose words are equal.
+PAIRS = (1 << BUCKET_BITS) + np.arange(2)
+SIZE = (1 << BUCKET_BITS) + len(PAIRS)
 #: A pair counts as much as so many n-grams, about those of a word.
 PAIR_WEIGHT = 10
 
@@ -78,7 +79,7 @@ def rows(data: np.ndarray, offsets: np.ndarray) -> list[tuple[np.ndarray, np.nda
         part = data[offsets[i] : offsets[i + 1]]
         bucket, owner, which, _, _ = features(part, np.array([0, len(part)]))
         times = np.bincount(which, minlength=owner.max() + 1 if len(owner) else 0)
-        total = np.bincount(bucket, times[owner], 1 << BUCKET_BITS) if len(bucket) else np.zeros(1 << BUCKET_BITS)
+        total = np.bincount(bucket, times[owner], SIZE) if len(bucket) else np.zeros(SIZE)
         total[PAIRS] += [x[0] for x in pairs(which, np.zeros(len(which), np.int64), 1)]
         at = np.flatnonzero(total)
         out.append((at, total[at] / max(total.sum(), 1)))
@@ -88,7 +89,7 @@ def rows(data: np.ndarray, offsets: np.ndarray) -> list[tuple[np.ndarray, np.nda
 def fit(texts: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, dim: int = DIM, epochs: int = EPOCHS, rate: float = RATE, seed: int = SEED) -> tuple[np.ndarray, np.ndarray]:
     """Logits of (class 1 less class 0) by bucket and the same of the bias: what scoring needs of the trained network."""
     rng = np.random.default_rng(seed)
-    size = 1 << BUCKET_BITS
+    size = SIZE
     table = rng.uniform(-1 / dim, 1 / dim, (size, dim)).astype(np.float32)
     out, bias = rng.uniform(-1 / dim, 1 / dim, (dim, 2)).astype(np.float32), np.zeros(2, np.float32)
     if not len(y):
@@ -125,10 +126,12 @@ def fit(texts: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, dim: int = DI
 
 
 def train(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE) -> tuple[np.ndarray, float]:
-    """Weights learnt from the labelled rows (label 0 or 1; others don't count), on one executor."""
+    """Weights learnt from the labelled rows (label 0 or 1; others don't count), on one executor. Of rows that share an id, the one whose
+    text has the least hash is read, with the least label."""
     known = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).groupBy(id_col).agg(F.min(label_col).cast("int").alias("__y"))
     drawn = known.orderBy(F.xxhash64(F.col(id_col), F.lit("draw")), id_col).limit(sample)  # a top-k report, no sort of all
     chosen = df.select(F.col(id_col), F.col(text_col).cast("string").alias("__text")).join(F.broadcast(drawn), id_col)
+    chosen = chosen.groupBy(id_col).agg(F.min_by("__text", F.xxhash64("__text")).alias("__text"), F.first("__y").alias("__y"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, texts, y = [], [], []
@@ -143,7 +146,7 @@ def train(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
     got = chosen.repartition(1).mapInArrow(run, "table binary, bias double").collect()
     if not got:  # no labelled row: every score is 0.5
-        return np.zeros(1 << BUCKET_BITS), 0.0
+        return np.zeros(SIZE), 0.0
     return np.frombuffer(got[0].table, np.float64), got[0].bias
 
 

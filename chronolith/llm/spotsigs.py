@@ -17,6 +17,9 @@ of the text; an empty table gives no rows; input columns with the names of the r
 
 from __future__ import annotations
 
+from fractions import Fraction
+from math import floor
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -128,6 +131,14 @@ def compare_edited(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     )
 
 
+def length_parts(threshold: float, longest: int) -> list[int]:
+    """The least length of each partition: lengths that allow the threshold are in one partition or in neighbouring ones."""
+    t, starts = Fraction(str(threshold)), [1]
+    while starts[-1] <= longest:
+        starts.append(floor(starts[-1] / t) + 1)
+    return starts
+
+
 def near_pairs(df: DataFrame, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """(pairs, classes): pairs id_a < id_b of class ids with their likeness, at least threshold; classes id_col and class_id,
     the smallest id with an equal fingerprint. Empty fingerprints are in no pair."""
@@ -138,7 +149,8 @@ def near_pairs(df: DataFrame, threshold: float = 0.8, id_col: str = "doc_id", te
     classes = sets.join(reps.select("key", "class_id"), "key", "left").select(F.col("id").alias(id_col), F.coalesce("class_id", "id").alias("class_id"))
     n = F.size("sigs")
     # partitions of lengths: a set of length n meets lengths from threshold * n to n / threshold, its own partition or a neighbour
-    reps = reps.withColumn("n", n).withColumn("part", F.floor(F.log(n) / F.log(F.lit(1 / threshold))))
+    starts = length_parts(threshold, reps.agg(F.max(n)).first()[0] or 1)
+    reps = reps.withColumn("n", n).withColumn("part", F.size(F.filter(F.array(*[F.lit(x) for x in starts]), lambda x: x <= F.col("n"))))
     freq = reps.select(F.explode("sigs").alias("sig")).groupBy("sig").agg(F.count("*").alias("f"))
     ranked = reps.select("class_id", "n", "part", F.explode("sigs").alias("sig")).join(freq, "sig")
     place = F.row_number().over(Window.partitionBy("class_id").orderBy("f", "sig"))
