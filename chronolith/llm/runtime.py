@@ -60,16 +60,27 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: Rows of an Arrow batch of texts, where the session has Spark's default of 10000, made for narrow rows.
+TEXT_ROWS = 500
+
+
+def text_batches(spark: SparkSession) -> None:
+    """Let Arrow batches hold some MB of text at most, on both sides of the Python worker, unless the session says how many rows."""
+    if spark.conf.get(BATCH) == "10000":
+        spark.conf.set(BATCH, str(TEXT_ROWS))
+
+
 @contextmanager
 def small_batches(spark: SparkSession, rows: int) -> Iterator[None]:
     """Arrow batches of so many rows at most, for rows of several KB; holds for what runs inside."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(name)
-    spark.conf.set(name, str(rows))
+    text_batches(spark)
+    before = spark.conf.get(BATCH)
+    spark.conf.set(BATCH, str(rows))
     try:
         yield
     finally:
-        spark.conf.set(name, before)
+        spark.conf.set(BATCH, before)
 
 
 def raw_text(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -108,6 +119,7 @@ def map_text(df: DataFrame, text: str, fields: dict[str, str], make: Callable[[]
     make() runs once a task and returns kernel(bytes, offsets) -> one array for each field. A kept column with the name of
     a field gives way to the field. kept: a boolean field; rows where it is false go, and the field with them.
     """
+    text_batches(df.sparkSession)
     made = StructType([StructField(k, _parse_datatype_string(v)) for k, v in fields.items()])
     keep = [c for c in keep if c not in fields]
     source = df.select(*[df[c] for c in keep], df[text].cast("string").alias("__text"))
