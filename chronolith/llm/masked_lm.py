@@ -8,10 +8,11 @@ Symbols are the most frequent words of the corpus, counted exactly over all text
 others; sorted by frequency and cut into equal classes. The network gives a bucket's mass; a word in it gets its share of that by
 the exact counts of all words, joined to the texts' words (a table as long as the vocabulary, never collected). What is left of a
 bucket, as much as one occurrence, is dealt among one more unseen word than it has seen ones. Output biases start at the corpus log-frequencies, so an untrained
-network is the corpus unigram model. Every task trains on every place of all its texts from the same start (on one in STRIDE, where that is more than 1), and the
-networks are averaged by their number of places: data, counts and what is gathered grow with the corpus, a task's memory and
-the model (about 2 MB, broadcast) don't. Partial sums are reduced in two levels, so no task takes more than about the square
-root of the number of partitions of models.
+network is the corpus unigram model. Texts are dealt by their hash and id into shards of about SHARD words, sorted by hash; one network
+a shard trains on every place of its texts (on one in STRIDE, where that is more than 1) from the same start, and the networks are
+averaged by their number of places. So the model depends on the rows, not on their files or partitions; data, counts and
+what is gathered grow with the corpus, a task's memory and the model (about 2 MB, broadcast) don't. Partial sums are reduced in two
+levels, so no task takes more than about the square root of the number of shards of models.
 
 Nulls and empty texts have 0 words, a score of 0 and a null mean; repeated rows get equal rows; an empty table gives none.
 Input columns with the names of the results are not read.
@@ -21,7 +22,6 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,7 +30,9 @@ from .runtime import map_text, pieces, raw_text, staged
 
 CLASSES, MEMBERS, BUCKETS = 64, 64, 256
 SYMBOLS = CLASSES * MEMBERS
-DIM, PLACES, STRIDE, BATCH, RATE, SEED = 24, (-2, -1, 1, 2), 1, 512, 0.1, 3
+DIM, PLACES, STRIDE, BATCH, RATE, SEED = 24, (-2, -1, 1, 2), 1, 2048, 0.1, 3
+#: Words that one network trains on, about.
+SHARD = 2_000_000
 CHUNK = 1 << 15
 NANO = 1_000_000_000  # logarithms are added as integers, so that their sum doesn't depend on the order
 
@@ -158,7 +160,7 @@ class Network:
         return out
 
     def step(self, symbol: np.ndarray, context: np.ndarray, rate: float) -> None:
-        order = np.argsort(symbol // MEMBERS, kind="stable")
+        order = np.sort(symbol * len(symbol) + np.arange(len(symbol))) % len(symbol)
         symbol, context = symbol[order], context[order]
         n, at = len(symbol), np.arange(len(symbol))
         h, c, m = self.hidden(context), symbol // MEMBERS, symbol % MEMBERS
@@ -186,10 +188,13 @@ class Network:
         self.bc -= rate * dbc
         gz = gh * (1 - h * h)
         self.shift -= rate * gz.mean(0)
-        change = (-rate * gz).astype(np.float32).ravel()
-        for k in range(len(PLACES)):
-            cells = context[:, k, None] * DIM + np.arange(DIM)
-            np.add.at(self.table[k].reshape(-1), cells.ravel(), change)
+        # each cell of the tables is changed once a batch, by the sum over its words
+        cells = (context + np.arange(len(PLACES)) * (SYMBOLS + 1)).T.ravel()
+        cells = np.sort(cells * n + np.tile(np.arange(n), len(PLACES)))
+        change = (-rate * gz).astype(np.float32)[cells % n]
+        cells //= n
+        first = np.flatnonzero(np.concatenate([[True], cells[1:] != cells[:-1]]))
+        self.table.reshape(-1, DIM)[cells[first]] += np.add.reduceat(change, first, axis=0)
 
 
 def windows(symbol: np.ndarray, doc: np.ndarray) -> np.ndarray:
@@ -203,16 +208,17 @@ def windows(symbol: np.ndarray, doc: np.ndarray) -> np.ndarray:
     return context
 
 
-def train(df: DataFrame, text_col: str = "text", stride: int = STRIDE) -> tuple[Symbols, np.ndarray, DataFrame]:
-    """The symbols, the averaged network and the gains of words in buckets."""
+def train(df: DataFrame, text_col: str = "text", id_col: str | None = None, shard: int = SHARD, stride: int = STRIDE) -> tuple[Symbols, np.ndarray, DataFrame]:
+    """The symbols, the averaged network and the gains of words in buckets. id_col: spreads equal texts over the shards."""
     known, counts, gains = symbols(df, text_col)
-    spark = df.sparkSession
-    shared = spark.sparkContext.broadcast((known, counts))
+    shared = df.sparkSession.sparkContext.broadcast((known, counts))
+    shards = max(1, round(float(counts.sum() - SYMBOLS) / shard))
 
-    def run(batches):
+    def run(key: tuple, rows: pa.Table) -> pa.Table:
         known, counts = shared.value
         net, places, begun = Network(counts), 0, 0
-        for batch in batches:
+        texts = rows.select(["tie", "text"]).sort_by("tie").select(["text"])
+        for batch in texts.to_batches(max_chunksize=5000):
             for piece in pieces(batch, 0):
                 h, bucket, doc = hashed(*raw_text(piece.column(0)))
                 symbol = known.of(h, bucket)
@@ -223,19 +229,21 @@ def train(df: DataFrame, text_col: str = "text", stride: int = STRIDE) -> tuple[
                     i = at[k : k + BATCH]
                     net.step(symbol[i], context[i], RATE)
                 places += len(at)
-        if places:
-            part = TaskContext.get().partitionId()
-            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.array([places], pa.int64()), pa.array([net.flat().tobytes()], pa.binary())], ["part", "n", "net"])
+        return pa.table({"part": [key[0].as_py()], "n": [places], "net": pa.array([net.flat().tobytes()], pa.binary())})
 
     def total(t: pa.Table) -> pa.Table:
-        rows = sorted(zip(t.column("part").to_pylist(), t.column("n").to_pylist(), range(t.num_rows), strict=True))
-        mean = sum(np.frombuffer(t.column("net")[i].as_buffer(), np.float32) * np.float64(n) for _, n, i in rows) / sum(n for _, n, _ in rows)
-        return pa.table({"part": [rows[0][0]], "n": [sum(n for _, n, _ in rows)], "net": pa.array([mean.astype(np.float32).tobytes()], pa.binary())})
-
-    source = df.select(df[text_col].cast("string").alias("text"))
+        rows = sorted((p, n, i) for i, (p, n) in enumerate(zip(t.column("part").to_pylist(), t.column("n").to_pylist(), strict=True)))
+        weight, mean = sum(n for _, n, _ in rows), 0.0
+        for _, n, i in rows:
+            mean = mean + np.frombuffer(t.column("net")[i].as_buffer(), np.float32) * (n / max(weight, 1) if weight else 1 / len(rows))
+        return pa.table({"part": [rows[0][0]], "n": [weight], "net": pa.array([mean.astype(np.float32).tobytes()], pa.binary())})
+
+    tie = F.xxhash64(df[text_col])
+    spread = F.xxhash64(df[text_col], df[id_col].cast("string")) if id_col else tie
+    source = df.select(F.pmod(spread, F.lit(shards)).alias("part"), tie.alias("tie"), df[text_col].cast("string").alias("text"))
     kind = "part bigint, n bigint, net binary"
-    nets = source.mapInArrow(run, kind)
-    few = max(1, round(nets.rdd.getNumPartitions() ** 0.5))
+    nets = source.groupBy("part").applyInArrow(run, kind)
+    few = max(1, round(shards**0.5))
     some = nets.groupBy(F.pmod("part", F.lit(few)).alias("g")).applyInArrow(total, kind)
     got = some.groupBy(F.lit(0).alias("g")).applyInArrow(total, kind).collect()
     net = Network(counts)
@@ -244,7 +252,7 @@ def train(df: DataFrame, text_col: str = "text", stride: int = STRIDE) -> tuple[
 
 def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: tuple[Symbols, np.ndarray, DataFrame] | None = None) -> DataFrame:
     """id_col, n_words, pseudo_log_likelihood (natural logarithm) and mean_log_probability (by word)."""
-    known, flat, gains = model or train(df, text_col)
+    known, flat, gains = model or train(df, text_col, id_col=id_col)
     shared = df.sparkSession.sparkContext.broadcast((known, flat))
 
     def make():
