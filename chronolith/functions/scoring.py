@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -103,3 +105,9 @@ def frozen(model: dict, columns: dict[str, Column]) -> Column:
     limit = model["logit_clip"]
     p = clamp(sigmoid(z), limit, 1 - limit)
     return sigmoid(model["platt_a"] * F.log(p / (1 - p)) + model["platt_b"])
+
+
+def verdict(criteria: list[Column], failed: Column) -> Column:
+    """SUPPORTED if every criterion holds, NOT_SUPPORTED if it has failed, INCONCLUSIVE else."""
+    every = reduce(lambda a, b: a & b, criteria)
+    return F.when(every, "SUPPORTED").when(failed, "NOT_SUPPORTED").otherwise("INCONCLUSIVE")

@@ -39,12 +39,9 @@ def check_folds(rows: list, horizon: int, embargo: int = 0) -> None:
             raise ValueError(f"fold {f.fold}: bounds overlap")
 
 
-def fit_logistic(x: np.ndarray, y: np.ndarray, c: float = 0.1, steps: int = 50) -> tuple[np.ndarray, float]:
-    """L2-penalised logistic regression (penalty on the weights, 1 / (2c) * |w|**2) by Newton steps."""
-    n, k = x.shape
-    z = np.column_stack([x, np.ones(n)])
-    w = np.zeros(k + 1)
-    ridge = np.append(np.full(k, 1 / c), 0.0)
+def newton(z: np.ndarray, y: np.ndarray, ridge: np.ndarray, steps: int = 50) -> np.ndarray:
+    """Weights of a logistic regression on the columns of z with a quadratic penalty each."""
+    w = np.zeros(z.shape[1])
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(z @ w, -35, 35)))
         slope = z.T @ (p - y) + ridge * w
@@ -53,6 +50,13 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, c: float = 0.1, steps: int = 50)
         w = w - step
         if np.abs(step).max() < 1e-10:
             break
+    return w
+
+
+def fit_logistic(x: np.ndarray, y: np.ndarray, c: float = 0.1, steps: int = 50) -> tuple[np.ndarray, float]:
+    """L2-penalised logistic regression (penalty on the weights, 1 / (2c) * |w|**2)."""
+    n, k = x.shape
+    w = newton(np.column_stack([x, np.ones(n)]), y, np.append(np.full(k, 1 / c), 0.0), steps)
     return w[:-1], float(w[-1])
 
 
@@ -141,3 +145,29 @@ def forward_selection(score, candidates: list[str], start: tuple[str, ...] = ())
         left.remove(best)
         path.append((best, score(tuple(chosen))))
     return path
+
+
+def shared_slope(df: DataFrame, by: str, block: str, p: str, y: str, blocks: int = 4, c: float = 1e6) -> DataFrame:
+    """by, n, slope and intercepts (array): one slope of the logit for all blocks, an intercept for each. A block without rows has
+    intercept 0; a series of one class has nulls."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        said, was = pdf[p].to_numpy(float), pdf[y].to_numpy(float)
+        w = None
+        if len(np.unique(was)) == 2:
+            z = np.column_stack([logits(said), pdf[block].to_numpy()[:, None] == np.arange(blocks)])
+            w = newton(z.astype(float), was, np.full(blocks + 1, 1 / c))
+        return pd.DataFrame({by: [pdf[by].iloc[0]], "n": [len(pdf)], "slope": [None if w is None else w[0]], "intercepts": [None if w is None else w[1:].tolist()]})
+
+    return df.groupBy(by).applyInPandas(run, f"{by} {df.schema[by].dataType.simpleString()}, n bigint, slope double, intercepts array<double>")
+
+
+def boosted(fitted: DataFrame, asked: DataFrame, features: list[str], label: str, trees: int = 10, depth: int = 3, seed: int = 7) -> DataFrame:
+    """asked with p, from gradient-boosted trees by Spark's own distributed learner. Rows with nulls have none and are left out."""
+    from pyspark.ml.classification import GBTClassifier
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.functions import vector_to_array
+
+    names = VectorAssembler(inputCols=features, outputCol="__x", handleInvalid="skip")
+    model = GBTClassifier(featuresCol="__x", labelCol=label, maxIter=trees, maxDepth=depth, seed=seed).fit(names.transform(fitted))
+    return model.transform(names.transform(asked)).withColumn("p", vector_to_array("probability")[1]).select(*asked.columns, "p")
