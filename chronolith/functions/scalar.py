@@ -79,7 +79,16 @@ def normal_title(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(text), r"\s+", " "))
 
 
-def redacted(text: Column) -> Column:
-    """Long secrets and bearer tokens as stars."""
-    hidden = F.regexp_replace(text, r"(?i)(bearer|token|apikey)([ :=\"]+)[A-Za-z0-9._-]{8,}", "$1$2***")
-    return F.regexp_replace(hidden, r"[A-Fa-f0-9]{32,}", "***")
+# What a kept answer must not show, and what stands for it.
+SECRETS = [
+    (r"(gh[pousr]_|github_pat_)[A-Za-z0-9_]+", "[redacted]"),
+    (r"([Bb]earer|[Tt]oken)\s+[A-Za-z0-9._~+/=-]+", "$1 [redacted]"),
+    (r"([Aa]uthorization\"?\s*[:=]\s*)[^\n,}]*", "$1[redacted]"),
+]
+
+
+def redacted(text: Column, most: int | None = None) -> Column:
+    """Tokens, bearer values and authorization headers replaced, then cut to ``most`` characters."""
+    for pattern, instead in SECRETS:
+        text = F.regexp_replace(text, pattern, instead)
+    return text if most is None else F.substring(text, 1, most)

@@ -78,3 +78,45 @@ def transitions(expected: DataFrame, present: DataFrame, at: int, grace: int = 2
     before = F.lag(F.coalesce(F.col("ok"), F.lit(0))).over(Window.partitionBy("key").orderBy("h"))
     event = F.when(F.col("ok").isNull() & (F.coalesce(before, F.lit(1)) == 1), "lost").when(F.col("ok").isNotNull() & (before == 0), "recovered")
     return marked.withColumn("event", event).where("event IS NOT NULL").select("key", "h", "event")
+
+
+def gaps(rows: DataFrame, by: str = "key", time: str = "h") -> DataFrame:
+    """by, saved, first_missing, last_missing and missing: the steps missing for good before each row that follows a gap."""
+    before = F.lag(time).over(Window.partitionBy(by).orderBy(time))
+    return rows.withColumn("__before", before).where(F.col(time) - F.col("__before") > 1).select(by, F.col(time).alias("saved"), (F.col("__before") + 1).alias("first_missing"), (F.col(time) - 1).alias("last_missing"), (F.col(time) - F.col("__before") - 1).alias("missing"))
+
+
+def health(rows: DataFrame, most_age: int, most_errors: int, by: str = "key", time: str = "h") -> DataFrame:
+    """by, age (hours since the newest row's hour closed, now being two hours after the newest of all), fresh, errors of the last six
+    hours, calm, and ai: which calls of the newest row failed, by the names its meta document holds. rows: by, time, error, meta."""
+    now = F.broadcast(rows.agg((F.max(time) + 2).alias("now")))
+    recent = (F.col(time) >= F.col("now") - 6) & F.col("error")
+    g = rows.join(now).groupBy(by).agg((F.first("now") - F.max(time) - 1).alias("age"), F.count(F.when(recent, 1)).alias("errors"), F.max_by("meta", time).alias("meta"))
+    failed = [F.when(F.get_json_object("meta", f"$.{name}").isNotNull(), F.lit(text)) for name, text in (("news_error", "the news step failed"), ("explanation_error", "the explanation failed"))]
+    return g.select(by, "age", (F.col("age") <= most_age).alias("fresh"), "errors", (F.col("errors") <= most_errors).alias("calm"), F.concat_ws(" and ", *failed).alias("ai"))
+
+
+def incident_error(name: Column, severity: Column, began: Column) -> Column:
+    """The first field of an incident that isn't as it must be, or null."""
+    stamp = r"^[0-9]{4}-(0[1-9]|1[0-2])-[0-9]{2}T[0-9]{2}:[0-9]{2}Z$"
+    return F.when(~name.rlike(r"^inc-[0-9]{8}$"), "name").when(~severity.isin("minor", "major"), "severity").when(~began.rlike(stamp), "began")
+
+
+def move_size_record(rows: DataFrame, checkpoints: tuple[int, ...], by: str = "key") -> DataFrame:
+    """Counts of states, the share of large moves among graded rows, and how many checkpoints these have reached. rows: by, state, y."""
+    n = lambda s: F.count(F.when(F.col("state") == s, 1))
+    graded = n("graded")
+    reached = sum(((graded >= c).cast("int") for c in checkpoints), F.lit(0))
+    return rows.groupBy(by).agg(F.count("*").alias("rows"), graded.alias("graded"), n("pending").alias("pending"), n("outcome_unavailable").alias("unavailable"), n("no_probability").alias("no_probability"), F.avg(F.when(F.col("state") == "graded", F.col("y"))).alias("large_share"), reached.alias("reached"))
+
+
+def in_time(rows: DataFrame, due: Column, came: Column, grace: int) -> DataFrame:
+    """Rows that came at most ``grace`` steps before they were due, or after; others are too late to be used."""
+    return rows.where(due - came <= grace)
+
+
+def checklist(rows: DataFrame, by: list[str], checks: dict[str, Column]) -> DataFrame:
+    """by, name and ok of each check, an aggregate condition; unknown counts as failed."""
+    done = rows.groupBy(*by).agg(*[F.coalesce(c, F.lit(False)).alias(n) for n, c in checks.items()])
+    each = F.explode(F.array(*[F.struct(F.lit(n).alias("name"), F.col(n).alias("ok")) for n in checks]))
+    return done.select(*by, each.alias("x")).select(*by, "x.*")

@@ -1 +1,234 @@
-"""Queries on sources, health and records."""
+"""Queries on what comes in and how it is kept: feeds, context payloads, option surfaces, snapshots, pages, health, late streams."""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..functions import scalar
+from ..operators import views
+from ..session import shared_dir
+from ..sources import paged, payloads, sinks, tables
+from ..streaming import live
+from .base import CANDLES, FORECAST, GRID, RETURNS, SIGNALS, grid, hourly, labelled, query, r, signals
+from .live import finished, replayed
+
+S = SparkSession
+
+
+def events(spark: S, sf: str) -> DataFrame:
+    return tables.table(spark, sf, "events")
+
+
+def folder(spark: S, name: str) -> str:
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+@query("SELECT event_id, 'Title ' || event_id AS title, CASE WHEN event_id % 3 = 0 THEN NULL ELSE 'about ' || event_type END AS summary, CASE WHEN event_id % 5 = 4 THEN NULL ELSE (epoch(date_trunc('second', ts))::BIGINT + CASE WHEN event_id % 2 = 0 THEN 3600 ELSE 0 END) END AS known FROM events")
+def feed_items(spark: S, sf: str) -> DataFrame:
+    """Feeds of one item each, mail-style or ISO stamps, some updated later, some without any stamp."""
+    stamp = F.col("ts").cast("timestamp")
+    mail, iso = F.concat(F.date_format(stamp, "EEE, dd MMM yyyy HH:mm:ss"), F.lit(" +0000")), F.date_format(stamp, "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    dated = F.col("event_id") % 5 != 4
+    tag = lambda name, text, where: F.when(where, F.concat(F.lit(f"<{name}>"), text, F.lit(f"</{name}>"))).otherwise("")
+    later = F.date_format(stamp + F.expr("INTERVAL 1 HOUR"), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    body = [
+        tag("title", F.concat(F.lit("  Title "), F.col("event_id").cast("string"), F.lit(" ")), F.lit(True)), tag("link", F.lit("https://example.org/a"), F.lit(True)),
+        tag("summary", F.when(F.col("event_id") % 3 == 0, " ").otherwise(F.concat(F.lit("about "), "event_type")), F.lit(True)), tag("updated", later, dated & (F.col("event_id") % 2 == 0)),
+    ]
+    rss = F.concat(F.lit("<rss><channel><item>"), *body, tag("pubDate", mail, dated), F.lit("</item></channel></rss>"))
+    atom = F.concat(F.lit("<feed><entry>"), *body, tag("published", iso, dated), F.lit("</entry></feed>"))
+    x = events(spark, sf).select("event_id", F.explode(payloads.feed_items(F.when(F.col("event_id") % 7 < 4, rss).otherwise(atom))).alias("x")).select("event_id", "x.*")
+    return x.select("event_id", "title", "summary", F.unix_timestamp("available_at").alias("known"))
+
+
+NOW = 482136  # the first hour of 2025, in hours since 1970
+CODES = ["2JAN25", "31JAN25", "28MAR25", "26DEC25"]
+
+
+@query(f"""WITH o AS (SELECT event_type AS key, ([482168, 482864, 484208, 490760])[event_id % 4 + 1] AS expiry, 80000 + event_id * 7 % 41 * 1000 AS strike, CASE WHEN event_id % 2 = 0 THEN 'C' ELSE 'P' END AS side, CASE WHEN event_id % 11 = 0 THEN NULL ELSE round(value, 2) END AS iv, user_id % 50 AS interest FROM events WHERE event_id % 13 <> 0),
+a AS (SELECT *, (expiry - {NOW}) / 24 AS days FROM o WHERE (expiry - {NOW}) / 24 >= 2), k AS (SELECT *, iv > 0 AS known FROM a),
+e AS (SELECT key, expiry, days, arg_min(iv, (abs(strike - 100000), strike, iv)) FILTER (WHERE known AND side = 'C') AS c, arg_min(iv, (abs(strike - 100000), strike, iv)) FILTER (WHERE known AND side = 'P') AS p, arg_min(iv, (abs(strike - 90000), strike, iv)) FILTER (WHERE known AND side = 'P') AS put90, arg_min(iv, (abs(strike - 110000), strike, iv)) FILTER (WHERE known AND side = 'C') AS call110,
+  coalesce(sum(interest) FILTER (WHERE side = 'P'), 0)::DOUBLE AS put_oi, coalesce(sum(interest) FILTER (WHERE side = 'C'), 0)::DOUBLE AS call_oi FROM k GROUP BY 1, 2, 3),
+n AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY days) AS near, row_number() OVER (PARTITION BY key ORDER BY abs(days - 30), days) AS d30 FROM e), z AS (SELECT *, 'near' AS pick FROM n WHERE near = 1 UNION ALL SELECT *, 'd30' FROM n WHERE d30 = 1)
+SELECT key, pick, expiry::BIGINT AS expiry, round(days, 6) AS days, round(CASE WHEN c IS NOT NULL AND p IS NOT NULL THEN (c + p) / 2 ELSE coalesce(c, p) END, 6) AS atm_iv, round(put90, 6) AS put90, round(call110, 6) AS call110, round(put90 - call110, 6) AS skew, put_oi, call_oi FROM z""")
+def option_surface(spark: S, sf: str) -> DataFrame:
+    e = events(spark, sf)
+    code = F.element_at(F.array(*[F.lit(c) for c in CODES]), (F.col("event_id") % 4 + 1).cast("int"))
+    name = F.concat(F.lit("BTC-"), code, F.lit("-"), (80000 + F.col("event_id") * 7 % 41 * 1000).cast("string"), F.when(F.col("event_id") % 2 == 0, "-C").otherwise("-P"))
+    parts = payloads.option_parts(F.when(F.col("event_id") % 13 != 0, name).otherwise("junk"))
+    o = e.select(F.col("event_type").alias("key"), payloads.expiry_hour(F.when(parts["side"].isNotNull(), code)).alias("expiry"), parts["strike"].alias("strike"), parts["side"].alias("side"), F.when(F.col("event_id") % 11 != 0, F.round("value", 2)).alias("iv"), (F.col("user_id") % 50).cast("double").alias("interest"), F.lit(100000.0).alias("underlying"))
+    s = payloads.option_surface(o.where("side IS NOT NULL"), NOW, ["key"])
+    return s.select("key", "pick", "expiry", *[r(F.col(c)).alias(c) for c in ("days", "atm_iv", "put90", "call110", "skew")], "put_oi", "call_oi")
+
+
+@query("SELECT event_id, round(value, 2) AS interest, round(value, 2) / 100 AS funding, (user_id % 100)::DOUBLE AS premium, round(value, 2) + 1 AS mark, (event_id % 1000)::DOUBLE AS open_interest FROM events")
+def market_context(spark: S, sf: str) -> DataFrame:
+    """Three payload shapes, made from events and read back: by symbol, by a list of names, by place."""
+    v, text = F.round("value", 2), lambda c: c.cast("string")
+    a = F.format_string('{"tickers":[{"symbol":"OTHER","openInterest":1},{"symbol":"MAIN","openInterest":%s}]}', text(v))
+    b = F.format_string('[{"universe":[{"name":"AAA"},{"name":"MAIN"}]},[{"funding":"1"},{"funding":"%s","premium":"%s"}]]', text(v / 100), text(F.col("user_id") % 100))
+    c = F.format_string("[0,%s,null,%s,4]", text(v + 1), text(F.col("event_id") % 1000))
+    x = events(spark, sf).select("event_id", payloads.ticker(a, "MAIN", ["openInterest"]).alias("a"), payloads.listed(b, "MAIN", ["funding", "premium"]).alias("b"), payloads.by_place(c, {"mark": 1, "open_interest": 3}).alias("c"))
+    return x.select("event_id", F.col("a.openInterest").alias("interest"), "b.funding", "b.premium", "c.mark", "c.open_interest")
+
+
+@query("""WITH b AS (SELECT event_id, 100 + (event_id % 40) / 1000 AS ask, 100 - (event_id % 30) / 1000 AS bid, user_id % 9 + 1 AS q FROM events WHERE event_id % 10 <> 0), m AS (SELECT *, (bid + ask) / 2 AS mid FROM b)
+SELECT event_id, round(mid, 6) AS mid, round((ask - bid) / mid * 1e4, 6) AS spread_bps, round(1 - (bid - 1) / mid, 6) AS bid_reach, round(bid * q + CASE WHEN bid - 1 >= mid * 0.99 THEN (bid - 1) * 2 ELSE 0 END, 4) AS bid_2, round(ask * q + CASE WHEN ask + 1.5 <= mid * 1.02 THEN (ask + 1.5) * 3 ELSE 0 END, 4) AS ask_3 FROM m""")
+def book_bands(spark: S, sf: str) -> DataFrame:
+    """Money on both sides within bands of the middle; a book with an empty side gives no row."""
+    ask, bid, q = 100 + F.col("event_id") % 40 / 1000, 100 - F.col("event_id") % 30 / 1000, F.col("user_id") % 9 + 1
+    side = lambda a, x, b, y: F.concat(F.lit('[["'), a.cast("string"), F.lit('","'), x.cast("string"), F.lit('"],["'), b.cast("string"), F.lit('","'), F.lit(str(y)), F.lit('"]]'))
+    bids = F.when(F.col("event_id") % 10 == 0, "[]").otherwise(side(bid, q, bid - 1, 2))
+    text = F.concat(F.lit('{"bids":'), bids, F.lit(',"asks":'), side(ask, q, ask + 1.5, 3), F.lit("}"))
+    x = events(spark, sf).select("event_id", payloads.book(text).alias("x")).where("x IS NOT NULL").select("event_id", "x.*")
+    return x.select("event_id", *[r(F.col(c)).alias(c) for c in ("mid", "spread_bps", "bid_reach")], r(F.col("bid_2"), 4).alias("bid_2"), r(F.col("ask_3"), 4).alias("ask_3"))
+
+
+@query("WITH h AS (SELECT unnest(range(1000, 6500)) AS h) SELECT h, 100 + h * 37 % 101 / 10 AS close, h * 13 % 97 AS volume FROM h")
+def paged_history(spark: S, sf: str) -> DataFrame:
+    """Pages of 1000 hours, each from the first endpoint that serves it in form: one is silent, one malformed."""
+    return paged.history(spark, 1000, 6500, 1000, ("silent", "malformed", "reference"))
+
+
+SNAPSHOT = CANDLES + ", s AS (SELECT h, sum(trades)::BIGINT AS trades FROM candles GROUP BY 1)"
+
+
+@query(f"WITH {SNAPSHOT} SELECT count(*) AS served, max(h) AS last, sum(trades)::BIGINT AS trades FROM s, (SELECT min(h) AS a FROM s) WHERE h + 1 <= a + 400")
+def snapshot_file(spark: S, sf: str) -> DataFrame:
+    """A registered file: its bytes, order and rows are checked before any is served, and only rows visible by the cutoff are."""
+    s = hourly(spark, sf).groupBy("h").agg(F.sum("trades").alias("trades"))
+    path = folder(spark, "snapshot")
+    s.coalesce(1).sortWithinPartitions("h").write.option("header", True).csv(path)  # one file, as registered snapshots are
+    known = spark.read.format("binaryFile").option("pathGlobFilter", "*.csv").load(path).select("length", F.sha2("content", 256).alias("sha")).first()
+    entry = tables.Registered("candles", "h", 1, rows=s.count(), size=known.length, sha256=known.sha)
+    df = tables.check_snapshot(spark, f"{path}/*.csv", entry)
+    first = df.agg(F.min("h").alias("a"))
+    seen = df.join(F.broadcast(first)).where(F.col("h") + entry.delay <= F.col("a") + 400)
+    return seen.agg(F.count("*").alias("served"), F.max("h").alias("last"), F.sum("trades").alias("trades"))
+
+
+@query(f"WITH {CANDLES} SELECT key, h, round(close, 6) AS close, trades > 1 AS busy FROM candles")
+def replay_file(spark: S, sf: str) -> DataFrame:
+    """Candles kept as CSV and read back with their types."""
+    path = folder(spark, "replay-csv")
+    kept = hourly(spark, sf).select("key", "h", r(F.col("close")).alias("close"), (F.col("trades") > 1).alias("busy"))
+    kept.write.option("header", True).csv(path)
+    return spark.read.schema(kept.schema).option("header", True).option("mode", "FAILFAST").csv(path)
+
+
+@query("""WITH l AS (SELECT o_orderkey // 1000 AS a, o_orderkey || '|' || o_custkey || '|' || o_orderstatus AS line FROM orders), x AS (SELECT a, count(*) AS n, sha256(string_agg(line, chr(10) ORDER BY line)) AS sha FROM l GROUP BY 1),
+y AS (SELECT a // 1000 AS b, sum(n) AS n, sha256(string_agg(sha, chr(10) ORDER BY sha)) AS sha FROM x GROUP BY 1) SELECT sum(n)::BIGINT AS n, sha256(string_agg(sha, chr(10) ORDER BY sha)) AS sha256 FROM y""")
+def table_digest(spark: S, sf: str) -> DataFrame:
+    return sinks.digest(tables.table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderstatus"), "o_orderkey")
+
+
+@query("""WITH t AS (SELECT event_id, 'call ' || event_type || ' Authorization: Basic abc' || event_id || ', used Bearer x.y' || user_id || ' and ghp_' || user_id || 'Zz token=' || event_id AS text FROM events)
+SELECT event_id, substr(regexp_replace(regexp_replace(regexp_replace(text, '(gh[pousr]_|github_pat_)[A-Za-z0-9_]+', '[redacted]', 'g'), '([Bb]earer|[Tt]oken)\\s+[A-Za-z0-9._~+/=-]+', '\\1 [redacted]', 'g'), '([Aa]uthorization"?\\s*[:=]\\s*)[^\\n,}]*', '\\1[redacted]', 'g'), 1, 90) AS answer FROM t""")
+def kept_answers(spark: S, sf: str) -> DataFrame:
+    """Free text without secrets, cut only afterwards."""
+    c = lambda name: F.col(name).cast("string")
+    text = F.concat(F.lit("call "), "event_type", F.lit(" Authorization: Basic abc"), c("event_id"), F.lit(", used Bearer x.y"), c("user_id"), F.lit(" and ghp_"), c("user_id"), F.lit("Zz token="), c("event_id"))
+    return events(spark, sf).select("event_id", scalar.redacted(text, 90).alias("answer"))
+
+
+@query("""WITH i AS (SELECT event_id, CASE WHEN event_id % 6 = 0 THEN 'bad id' ELSE 'inc-' || lpad(event_id::VARCHAR, 8, '0') END AS name, CASE WHEN event_id % 4 = 0 THEN 'loud' ELSE 'minor' END AS severity, CASE WHEN event_id % 5 = 0 THEN '2025-13-01' ELSE '2025-03-01T10:00Z' END AS began FROM events)
+SELECT event_id, CASE WHEN NOT regexp_full_match(name, 'inc-[0-9]{8}') THEN 'name' WHEN severity NOT IN ('minor', 'major') THEN 'severity' WHEN NOT regexp_full_match(began, '[0-9]{4}-(0[1-9]|1[0-2])-[0-9]{2}T[0-9]{2}:[0-9]{2}Z') THEN 'began' END AS problem FROM i""")
+def incident_rows(spark: S, sf: str) -> DataFrame:
+    """What is wrong with an incident's row, checked as a whole against patterns and lists."""
+    k = F.col("event_id")
+    i = events(spark, sf).select("event_id", F.when(k % 6 == 0, "bad id").otherwise(F.concat(F.lit("inc-"), F.lpad(k.cast("string"), 8, "0"))).alias("name"), F.when(k % 4 == 0, "loud").otherwise("minor").alias("severity"), F.when(k % 5 == 0, "2025-13-01").otherwise("2025-03-01T10:00Z").alias("began"))
+    return i.select("event_id", views.incident_error(F.col("name"), F.col("severity"), F.col("began")).alias("problem"))
+
+
+@query(f"WITH {CANDLES}, l AS (SELECT key, h, lag(h) OVER (PARTITION BY key ORDER BY h) AS before FROM candles) SELECT key, h AS saved, before + 1 AS first_missing, h - 1 AS last_missing, h - before - 1 AS missing FROM l WHERE h - before > 1")
+def new_gaps(spark: S, sf: str) -> DataFrame:
+    """Hours that were missing for good when a later one was saved, once for each gap."""
+    return views.gaps(hourly(spark, sf).select("key", "h"))
+
+
+@query(f"""WITH {CANDLES}, n AS (SELECT max(h) + 2 AS now FROM candles), a AS (SELECT key, max(h) AS newest, any_value(now) AS now, count(*) FILTER (WHERE h >= now - 6 AND h % 3 = 0) AS errors FROM candles, n GROUP BY 1)
+SELECT key, now - newest - 1 AS age, now - newest - 1 <= 3 AS fresh, errors, errors <= 1 AS calm, CASE WHEN newest % 2 = 0 THEN 'the news step failed' ELSE '' END AS ai FROM a""")
+def health_report(spark: S, sf: str) -> DataFrame:
+    """Age of the newest row since its hour closed, errors of the last six hours, and whether its calls failed."""
+    c = hourly(spark, sf).withColumn("error", F.col("h") % 3 == 0).withColumn("meta", F.when(F.col("h") % 2 == 0, '{"news_error": "x"}').otherwise("{}"))
+    return views.health(c, 3, 1)
+
+
+@query(f"""WITH {SIGNALS}, w AS (SELECT key, (h + 72) // 168 AS week, signal, ret FROM sig), m AS (SELECT min(week) AS a, max(week) AS z FROM w)
+SELECT key, week, count(*) AS hours, round(count(*) / 168, 6) AS share, count(*) FILTER (WHERE signal = 'BUY') AS buys, count(*) FILTER (WHERE signal = 'SELL') AS sells, count(ret) AS graded, count(*) FILTER (WHERE signal = 'BUY' AND ret > 0 OR signal = 'SELL' AND ret < 0) AS agreed FROM w, m WHERE week > a AND week < z GROUP BY 1, 2""")
+def weekly_report(spark: S, sf: str) -> DataFrame:
+    """Whole weeks only: hours kept, signals, and how the graded ones turned out."""
+    w = signals(spark, sf).withColumn("week", F.floor((F.col("h") + 72) / 168).cast("long"))
+    ends = F.broadcast(w.agg(F.min("week").alias("a"), F.max("week").alias("z")))
+    n = lambda c: F.count(F.when(c, 1))
+    buy, sell = F.col("signal") == "BUY", F.col("signal") == "SELL"
+    g = w.join(ends).where("week > a AND week < z").groupBy("key", "week").agg(F.count("*").alias("hours"), n(buy).alias("buys"), n(sell).alias("sells"), F.count("ret").alias("graded"), n((buy & (F.col("ret") > 0)) | (sell & (F.col("ret") < 0))).alias("agreed"))
+    return g.withColumn("share", r(F.col("hours") / 168))
+
+
+@query(f"""WITH {FORECAST}, n AS (SELECT max(h) - 24 AS now FROM lab), s AS (SELECT key, h, y, CASE WHEN h % 17 = 0 THEN 'no_probability' WHEN y IS NOT NULL AND h + 2 <= now THEN 'graded' WHEN now <= h + 8 THEN 'pending' ELSE 'outcome_unavailable' END AS state FROM lab, n WHERE h + 1 <= now AND close IS NOT NULL)
+SELECT key, count(*) AS rows, count(*) FILTER (WHERE state = 'graded') AS graded, count(*) FILTER (WHERE state = 'pending') AS pending, count(*) FILTER (WHERE state = 'outcome_unavailable') AS unavailable, count(*) FILTER (WHERE state = 'no_probability') AS no_probability, round(avg(y) FILTER (WHERE state = 'graded'), 6) AS large_share,
+  len(list_filter([100, 500, 2000], lambda x: x <= count(*) FILTER (WHERE state = 'graded')))::INT AS reached FROM s GROUP BY 1""")
+def move_size_record(spark: S, sf: str) -> DataFrame:
+    """States of the rows known a day before the end, and how many checkpoints the graded ones have reached."""
+    lab = labelled(spark, sf)
+    s = lab.join(F.broadcast(lab.agg((F.max("h") - 24).alias("now")))).where("h + 1 <= now AND close IS NOT NULL")
+    state = F.when(F.col("h") % 17 == 0, "no_probability").when(F.col("y").isNotNull() & (F.col("h") + 2 <= F.col("now")), "graded").when(F.col("now") <= F.col("h") + 8, "pending").otherwise("outcome_unavailable")
+    return views.move_size_record(s.withColumn("state", state), (100, 500, 2000)).withColumn("large_share", r(F.col("large_share")))
+
+
+@query(f"WITH {CANDLES}, m AS (SELECT max(h) AS z FROM candles) SELECT 'second' AS source, count(*) AS n, max(h) AS last FROM candles, m WHERE h <= z")
+def usable_source(spark: S, sf: str) -> DataFrame:
+    """Of two sources, the first whose newest candle is the last closed one: here the first is a day behind."""
+    c = hourly(spark, sf)
+    z = c.agg(F.max("h")).first()[0]
+    named = [c.where(F.col("h") <= (z or 0) - 24).withColumn("source", F.lit("first")), c.withColumn("source", F.lit("second"))]
+    got = tables.first_usable(named, (z or 0) + 1)
+    return (got if got is not None else named[1].limit(0)).groupBy("source").agg(F.count("*").alias("n"), F.max("h").alias("last"))
+
+
+@query(f"WITH {CANDLES} SELECT key, count(*) AS n FROM candles WHERE h >= (SELECT max(h) FROM candles) - 90 * 1 GROUP BY 1")
+def retained_rows(spark: S, sf: str) -> DataFrame:
+    c = hourly(spark, sf)
+    return sinks.retained(c, "h", c.agg(F.max("h")).first()[0] or 0, 90).groupBy("key").agg(F.count("*").alias("n"))
+
+
+@query("SELECT count(*) AS regions, 0::BIGINT AS notes FROM region")
+def optional_rows(spark: S, sf: str) -> DataFrame:
+    """A table that isn't there counts as empty."""
+    notes = tables.optional_table(spark, "no_such_notes", "id long")
+    return tables.table(spark, sf, "region").agg(F.count("*").alias("regions")).join(notes.agg(F.count("*").alias("notes")))
+
+
+@query(f"WITH {GRID}, m AS (SELECT key, h // 24 AS d, max(h) FILTER (WHERE close IS NOT NULL) AS last, count(close) AS hours FROM g GROUP BY 1, 2) SELECT key, d, hours FROM m WHERE (d + 1) * 24 - last <= 6")
+def fresh_days(spark: S, sf: str) -> DataFrame:
+    """Days whose last candle came within six hours of their end; later ones are left out."""
+    g = grid(spark, sf).groupBy("key", F.floor(F.col("h") / 24).cast("long").alias("d")).agg(F.max(F.when(F.col("close").isNotNull(), F.col("h"))).alias("last"), F.count("close").alias("hours"))
+    return views.in_time(g, (F.col("d") + 1) * 24, F.col("last"), 6).select("key", "d", "hours")
+
+
+@query(f"WITH {CANDLES}, x AS (SELECT max(h) AS z FROM candles) SELECT p.key, p.h, round(q.close, 6) AS later, CASE WHEN q.close IS NULL THEN 'unavailable' ELSE 'ok' END AS status FROM candles AS p CROSS JOIN x LEFT JOIN candles AS q ON q.key = p.key AND q.h = p.h + 1 WHERE q.close IS NOT NULL OR p.h + 1 < z - 6")
+def stream_outcomes(spark: S, sf: str) -> DataFrame:
+    """Outcomes an hour later as a stream-stream join: unavailable for good once the watermark has passed them by six hours."""
+    c = hourly(spark, sf).select("key", F.timestamp_seconds(F.col("h") * 3600).alias("at"), "close")
+    out = finished(live.outcomes(replayed(c), replayed(c), 1))
+    return out.select("key", F.floor(F.unix_timestamp("at") / 3600).alias("h"), r(F.col("later")).alias("later"), "status")
+
+
+@query("WITH e AS (SELECT event_type AS key, ts + INTERVAL 30 HOUR AS known FROM events), m AS (SELECT max(known) - INTERVAL 1 HOUR AS mark FROM e) SELECT key, (epoch(date_trunc('day', known)) // 86400)::BIGINT AS d, count(*) AS n FROM e, m WHERE date_trunc('day', known) + INTERVAL 24 HOUR <= mark GROUP BY 1, 2")
+def stream_available(spark: S, sf: str) -> DataFrame:
+    """Days by when rows could be known, not by when they were stamped: the watermark follows availability."""
+    e = live.available(replayed(events(spark, sf)), "ts", "30 HOURS", "1 hour")
+    d = e.groupBy(F.window("available_at", "1 day"), F.col("event_type").alias("key")).agg(F.count("*").alias("n"))
+    return finished(d.select("key", F.floor(F.unix_timestamp("window.start") / 86400).alias("d"), "n"))
+
+
+@query(f"WITH {RETURNS}, s AS (SELECT key, 'rows' AS name, count(*) > 0 AS ok FROM fwd GROUP BY 1 UNION ALL SELECT key, 'no_gap', count(*) = count(close) FROM fwd GROUP BY 1 UNION ALL SELECT key, 'prices', coalesce(min(close) > 0, false) FROM fwd GROUP BY 1 UNION ALL SELECT key, 'range', coalesce(bool_and(high >= low), false) FROM fwd GROUP BY 1) SELECT key, name, ok FROM s")
+def precheck(spark: S, sf: str) -> DataFrame:
+    """A list of checks that all must hold before anything is read; what is unknown has failed."""
+    g = grid(spark, sf)
+    checks = {"rows": F.count("*") > 0, "no_gap": F.count("*") == F.count("close"), "prices": F.min("close") > 0, "range": F.min((F.col("high") >= F.col("low")).cast("int")) == 1}
+    return views.checklist(g, ["key"], checks)

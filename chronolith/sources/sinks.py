@@ -42,3 +42,39 @@ def checksum(df: DataFrame) -> DataFrame:
 def write(df: DataFrame, path: str, mode: str = "append") -> None:
     """Parquet; mode append, overwrite (a table of one document) or errorifexists (a report written once)."""
     df.write.mode(mode).parquet(path)
+
+
+def digest(df: DataFrame, key: str, chunk: int = 1000) -> DataFrame:
+    """n and sha256 of the sorted rows: rows are joined and hashed by chunks of an integer key, and hashes twice again, so that no
+    task holds more than a chunk's rows, whatever the table's size."""
+    line = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in df.columns])
+    joined = lambda c: F.sha2(F.array_join(F.array_sort(F.collect_list(c)), "\n"), 256)
+    first = df.select(F.floor(F.col(key) / chunk).alias("a"), line.alias("line")).groupBy("a").agg(F.count("*").alias("n"), joined("line").alias("sha"))
+    second = first.groupBy(F.floor(F.col("a") / chunk).alias("b")).agg(F.sum("n").alias("n"), joined("sha").alias("sha"))
+    return second.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), joined("sha").alias("sha256"))
+
+
+class Ledger:
+    """A table of records that can only grow: rows are added once by key, never edited or removed."""
+
+    def __init__(self, spark, path: str, key: list[str], order: list[str], schema: str):
+        self.spark, self.path, self.key, self.order, self.schema = spark, path, key, order, schema
+        spark.createDataFrame([], schema).write.mode("append").parquet(path)
+
+    def rows(self) -> DataFrame:
+        return self.spark.read.schema(self.schema).parquet(self.path)
+
+    def add(self, new: DataFrame) -> None:
+        """The rows whose key is new, the first of each; columns must be the table's."""
+        known = [c.name for c in self.rows().schema]
+        if sorted(new.columns) != sorted(known):
+            raise ValueError(f"columns are {new.columns}, not {known}")
+        append_once(self.rows(), new.select(*known), self.key, self.order).write.mode("append").parquet(self.path)
+
+
+def bootstrap(spark, tables: dict[str, str]) -> list[str]:
+    """Create the catalog tables (name: DDL of columns) that are missing, in order; returns which were."""
+    made = [name for name in tables if not spark.catalog.tableExists(name)]
+    for name in made:
+        spark.sql(f"CREATE TABLE {name} ({tables[name]}) USING parquet")
+    return made

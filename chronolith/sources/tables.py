@@ -73,13 +73,16 @@ def candle_error() -> Column:
 
 @dataclass(frozen=True)
 class Registered:
-    """A series file: its time column in hours, how many hours after its stamp a row may be seen, and its expected rows."""
+    """A series file: its time column in hours, how many hours after its stamp a row may be seen, and, of its registered part, the
+    rows, the leading bytes with the header, and their SHA-256."""
 
     name: str
     time: str
     delay: int
     rows: int | None = None
     refused: str | None = None
+    size: int | None = None
+    sha256: str | None = None
 
 
 def read_registered(df: DataFrame, entry: Registered, until: int, sealed_from: int | None = None, unsealed: bool = False) -> DataFrame:
@@ -100,3 +103,41 @@ def integrity(df: DataFrame, time: str, by: list[str]) -> DataFrame:
         F.count("*").alias("n"), F.min(time).alias("first"), F.max(time).alias("last"), F.sum((F.col("step") <= 0).cast("long")).alias("not_increasing"),
         F.sum((F.col("step") > 1).cast("long")).alias("irregular"), F.sum("mark").alias("checksum"),
     )
+
+
+class SnapshotError(ValueError):
+    """A file that isn't what was registered."""
+
+
+def check_snapshot(spark: SparkSession, path: str, entry: Registered) -> DataFrame:
+    """The rows of a registered CSV file of whole numbers, after checks that it is the registered one: its first column, times that only
+    increase, the number of rows, and the hash of its registered bytes. Raises SnapshotError otherwise.
+
+    The file is hashed by the JVM as one value, so it must be under 2 GB, as a registered snapshot is.
+    """
+    if entry.refused:
+        raise SnapshotError(f"{entry.name} is refused: {entry.refused}")
+    head = spark.read.text(path).limit(1).collect()
+    names = head[0].value.split(",") if head else []
+    if names[:1] != [entry.time]:
+        raise SnapshotError(f"{entry.name}: the first column isn't {entry.time!r}")
+    if entry.sha256:
+        part = F.expr(f"substring(content, 1, {entry.size})") if entry.size else F.col("content")
+        found = spark.read.format("binaryFile").load(path).select(F.sha2(part, 256)).collect()
+        if [x[0] for x in found] != [entry.sha256]:
+            raise SnapshotError(f"{entry.name}: the registered bytes have changed")
+    df = spark.read.schema(", ".join(f"`{n}` bigint" for n in names)).option("header", True).option("mode", "FAILFAST").csv(path)
+    order = Window.orderBy("__at")  # one file's rows, in their order
+    facts = df.withColumn("__at", F.monotonically_increasing_id()).select((F.col(entry.time) <= F.lag(entry.time).over(order)).cast("int").alias("back")).agg(F.count("*").alias("n"), F.sum("back").alias("back")).first()
+    if facts["back"]:
+        raise SnapshotError(f"{entry.name}: times don't only increase")
+    if entry.rows is not None and facts["n"] != entry.rows:
+        raise SnapshotError(f"{entry.name}: {facts['n']} rows, registered {entry.rows}")
+    return df
+
+
+def check_columns(df: DataFrame, reserved: tuple[str, ...] = ("ret_", "fwd_"), taken: tuple[str, ...] = ()) -> None:
+    """Raise where a column starts with a prefix kept for outcomes, or is named as one that will be joined."""
+    bad = [c for c in df.columns if c.startswith(reserved) or c in taken]
+    if bad:
+        raise ValueError(f"columns {bad} are reserved or taken")
