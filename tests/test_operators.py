@@ -1,5 +1,8 @@
+import hashlib
 import math
 import random
+import time
+from dataclasses import replace
 from difflib import SequenceMatcher
 
 import numpy as np
@@ -10,7 +13,7 @@ from pyspark.sql import functions as F
 from chronolith.functions import scalar, scoring
 from chronolith.operators import grid as G
 from chronolith.operators import indicators, joins, models, simulate, stats, views, windows
-from chronolith.sources import payloads, sinks, tables
+from chronolith.sources import context, paged, payloads, sinks, tables
 
 
 def frame(spark, rows, schema):
@@ -348,3 +351,105 @@ def test_empty_tables(spark):
     df = frame(spark, [], "key string, h long, close double")
     assert G.densify(df).count() == 0 and features(df).count() == 0 and joins.at_shift(df, 1, {"close": "x"}).count() == 0
     assert joins.asof(df, df.withColumnRenamed("close", "v"), ["v"], "h", "h", ("key",)).count() == 0
+
+
+def test_bootstrap_of_any_statistic(spark):
+    rng = np.random.default_rng(4)
+    x = np.column_stack([rng.choice([-1.0, 1.0], 200), rng.normal(size=200)])
+    df = frame(spark, [("a", i, float(s), float(v)) for i, (s, v) in enumerate(x)], "key string, h long, side double, ret double")
+    got = stats.bootstrap(df, "key", ["side", "ret"], stats.side_edge, "h", block=10, count=50, seed=3).collect()[0]
+    draw, drawn = np.random.default_rng(3), []
+    for _ in range(50):
+        places = [(s + k) % 200 for s in draw.integers(0, 200, 20) for k in range(10)]
+        drawn.append(stats.side_edge(x[places]))
+    assert got.n == 200 and got.point == pytest.approx(stats.side_edge(x)) and [got.low, got.high] == pytest.approx(list(np.percentile(drawn, [2.5, 97.5])))
+    short = stats.bootstrap(df.where("h < 15"), "key", ["side", "ret"], stats.side_edge, "h", block=10).collect()[0]
+    assert short.low is None and short.point is not None
+
+
+def test_group_calibration(spark):
+    rng = np.random.default_rng(5)
+    rows = [("a", i, i % 2, 0.5 if i % 2 else 0.9, float(rng.random() < 0.5)) for i in range(600)]
+    got = {r.block: r for r in stats.group_calibration(frame(spark, rows, "key string, h long, block int, p double, y double"), "key", "block", "p", "y", "h", block=24, count=100).collect()}
+    assert got[1].n == 300 and got[0].gap > 0.3 and not got[0].holds and got[0].low < got[0].gap < got[0].high and abs(got[1].gap) < 0.1
+
+
+def test_alarm_limits(spark):
+    rng = np.random.default_rng(6)
+    p = rng.uniform(0.2, 0.6, 1500)
+    y = (rng.random(1500) < p).astype(float)
+    df = frame(spark, [("a", i, float(a), float(b)) for i, (a, b) in enumerate(zip(p, y, strict=True))], "key string, h long, p double, y double")
+    got = stats.alarm_limits(df, "key", "p", "y", "h", target=1.0, window=600, step=300, change=100, delta=0.3).collect()[0]
+    assert got.control_rate <= 1.0 and got.limit >= 1 and got.windows == 4 and 5 < got.median_delay < 200
+    looser = stats.alarm_limits(df, "key", "p", "y", "h", target=5.0, window=600, step=300, change=100, delta=0.3).collect()[0]
+    assert looser.limit <= got.limit
+    assert stats.alarms(np.array([0.5, 0.5, 0.5, -0.9, -0.9]), 0.1, 1.0) == [(2, 1), (4, -1)]
+
+
+def test_shared_slope_is_stationary(spark):
+    rng = np.random.default_rng(7)
+    block, z = rng.integers(0, 4, 2000), rng.normal(size=2000)
+    p, y = 1 / (1 + np.exp(-z)), (rng.random(2000) < 1 / (1 + np.exp(-(0.7 * z + np.array([0.5, -0.5, 0.0, 1.0])[block])))).astype(float)
+    df = frame(spark, [("a", int(b), float(s), float(v)) for b, s, v in zip(block, p, y, strict=True)], "key string, block int, p double, y double")
+    got = models.shared_slope(df, "key", "block", "p", "y").collect()[0]
+    fitted = 1 / (1 + np.exp(-(got.slope * z + np.array(got.intercepts)[block])))
+    assert got.slope == pytest.approx(0.7, abs=0.15) and all(abs((fitted - y)[block == k].sum()) < 1e-2 for k in range(4))
+
+
+def test_calibrated_models(spark):
+    """Platt keeps the order, isotonic is a step function of it, and both come from calibration rows only."""
+    rng = random.Random(12)
+    rows = [(h, x := rng.gauss(0, 1), float(rng.random() < 1 / (1 + np.exp(-2 * x)))) for h in range(900)]
+    dealt = joins.in_folds(frame(spark, rows, "h long, x double, y double"), models.folds(spark, 0, 900, 300, 200, 150, 2), "h")
+    for kind in (None, "platt", "isotonic"):
+        out = models.walk_forward(dealt, ["x"], "y", calibrator=kind).toPandas()
+        assert len(out) > 300 and ((out.p - out.y) ** 2).mean() < 0.21
+        for _, g in out.groupby("fold"):
+            g = g.sort_values("p_raw")
+            assert (np.diff(g.p) >= -1e-12).all() and (kind is not None or (g.p == g.p_raw).all())
+
+
+def test_paged_history(spark):
+    assert [tuple(r) for r in paged.history(spark, 5, 12, 3, ("malformed", "reference")).orderBy("h").collect()] == paged.reference_series(5, 7)
+    assert paged.history(spark, 5, 5).count() == 0
+    with pytest.raises(Exception, match="no answer"):
+        paged.history(spark, 0, 3, 3, ("silent",)).collect()
+
+
+def test_context_sources_fail_alone(spark):
+    got = {r.source: r for r in context.collect(spark, {"a": lambda: {"x": 1}, "b": lambda: 1 / 0, "c": lambda: time.sleep(3)}, deadline=0.5).collect()}
+    assert (got["a"].status, got["a"].payload) == ("ok", '{"x": 1}') and (got["b"].status, got["b"].error) == ("error", "ZeroDivisionError") and got["c"].status == "late"
+    assert context.collect(spark, {}).count() == 0
+
+
+def test_registered_files(spark, tmp_path):
+    path = tmp_path / "s.csv"
+    path.write_text("h,v\n1,10\n2,20\n5,30\n")
+    sha = hashlib.sha256(path.read_bytes()[:9]).hexdigest()
+    entry = tables.Registered("s", "h", 1, rows=3, size=9, sha256=sha)
+    assert tables.check_snapshot(spark, str(path), entry).count() == 3
+    for bad in (replace(entry, rows=4), replace(entry, sha256="0" * 64), replace(entry, time="v"), replace(entry, refused="wrong source")):
+        with pytest.raises(tables.SnapshotError):
+            tables.check_snapshot(spark, str(path), bad)
+    path.write_text("h,v\n1,10\n1,20\n")
+    with pytest.raises(tables.SnapshotError, match="increase"):
+        tables.check_snapshot(spark, str(path), tables.Registered("s", "h", 1))
+    tables.check_columns(frame(spark, [], "a int"))
+    with pytest.raises(ValueError):
+        tables.check_columns(frame(spark, [], "a int, fwd_x int"))
+
+
+def test_ledgers_only_grow(spark, tmp_path):
+    ledger = sinks.Ledger(spark, str(tmp_path / "t"), ["k"], ["v"], "k int, v string")
+    ledger.add(frame(spark, [(1, "a"), (1, "b"), (2, "c")], "k int, v string"))
+    ledger.add(frame(spark, [(1, "z"), (3, None)], "k int, v string"))
+    assert sorted((r.k, r.v) for r in ledger.rows().collect()) == [(1, "a"), (2, "c"), (3, None)]
+    with pytest.raises(ValueError):
+        ledger.add(frame(spark, [(4,)], "k int"))
+
+
+def test_feeds_and_expiries(spark):
+    rss = "<rss><channel><item><title> A </title><pubDate>Mon, 06 Oct 2025 10:00:00 +0200</pubDate></item><item><title>B</title><updated>2025-10-06T12:00:00Z</updated><description> </description></item></channel></rss>"
+    got = frame(spark, [(rss, "5JAN26"), ("no xml", "5JANX6"), (None, None)], "x string, c string").select(payloads.feed_items(F.col("x")).alias("i"), payloads.expiry_hour(F.col("c")).alias("e")).collect()
+    assert [(i.title, i.summary, str(i.available_at)) for i in got[0].i] == [("A", None, "2025-10-06 08:00:00"), ("B", None, "2025-10-06 12:00:00")] and got[0].e == 20458 * 24 + 8
+    assert not got[1].i and got[1].e is None and got[2].i is None and got[2].e is None
