@@ -280,3 +280,77 @@ def test_masked_lm_divides_a_bucket_among_its_words(spark):
     assert len(rows) == len(asked) and got[None, 1] == got[0, 1]
     assert got[0, 1] - got[1, 1] == pytest.approx(np.log(3 / 2), abs=1e-3) and got[1, 1] - got[2, 1] == pytest.approx(np.log(2), abs=1e-3)
     assert got[2, 1] - got[3, 1] == pytest.approx(np.log(4), abs=1e-3) and got[3, 1] == got[4, 1]
+
+
+def test_masked_lm_scores_are_sums_over_all_words(spark, monkeypatch):
+    """Against plain Python from the trained weights, whatever the partitions and however many words are broadcast."""
+    rng = random.Random(21)
+    often = [f"w{k}" for k in range(masked_lm.SYMBOLS - masked_lm.BUCKETS)]
+    every = [w for w in often for _ in range(3)] + [f"r{k}q" for k in range(300) for _ in range(1 + k % 2)]
+    rng.shuffle(every)
+    rows = [(k, " ".join(every[60 * k : 60 * k + 60]), "s") for k in range(-(-len(every) // 60))]
+    rows += [(900, None, "s"), (901, "", "s"), (902, "r1q " * 900, "s"), (5, text(rng, 9), "s"), (903, rows[0][1], "s"), rows[1]]
+    df, got = frame(spark, rows, ("n_words", "__sure")), []
+    for partitions, known in ((1, 500_000), (7, 500_000), (3, 4), (3, 0)):
+        monkeypatch.setattr(masked_lm, "KNOWN", known)
+        model = masked_lm.train(df.repartition(partitions), id_col="doc_id", shard=4000)
+        got.append((model, {(r.doc_id, r.n_words): r.pseudo_log_likelihood for r in masked_lm.score(df.repartition(partitions), model=model).collect()}))
+    model, first = got[0]
+    for other, scores in got[1:]:
+        assert np.allclose(other[1], model[1], atol=1e-5) and scores.keys() == first.keys() and all(abs(scores[k] - first[k]) < 2e-2 for k in scores)
+    net, counts = masked_lm.Network(np.ones(masked_lm.SYMBOLS)).load(model[1]), Counter(w for _, t, _ in rows for w in WORD.findall((t or "").translate(LOWER)))
+    h, bucket, _ = masked_lm.hashed(np.frombuffer("\n".join(counts).encode(), np.uint8), np.array([0, len("\n".join(counts))]))
+    symbol = dict(zip(counts, model[0].of(h, bucket).tolist(), strict=True))
+    plain_bucket = dict(zip(counts, bucket.tolist(), strict=True))
+    folded = {w for w in counts if symbol[w] in set(model[0].buckets.tolist())}
+    rest = Counter()
+    for w in folded:
+        rest[plain_bucket[w]] += counts[w]
+    for key, t, _ in rows[::9] + rows[-6:]:
+        words, total = WORD.findall((t or "").translate(LOWER)), 0.0
+        for i, w in enumerate(words):
+            z = net.shift.astype(float)
+            for k, p in enumerate(masked_lm.PLACES):
+                z = z + net.table[k][symbol[words[i + p]] if 0 <= i + p < len(words) else masked_lm.SYMBOLS]
+            hidden, (c, m) = np.tanh(z), divmod(symbol[w], masked_lm.MEMBERS)
+            by_class, inside = hidden @ net.wc + net.bc, hidden @ net.wm[c] + net.bm[c]
+            total += by_class[c] - np.log(np.exp(by_class).sum()) + inside[m] - np.log(np.exp(inside).sum())
+            total += np.log(counts[w] / (rest[plain_bucket[w]] + 1)) if w in folded else 0
+        assert abs(first[key, len(words)] - total) < 2e-2 + 1e-4 * len(words)
+
+
+def test_sharding_depends_on_rows_only(spark):
+    """Another split into files gives the same shards and slots; linked rows are cut less often than by hash."""
+    rng = random.Random(31)
+    base = [text(rng, rng.randint(5, 60)) for _ in range(60)]
+    rows = [(k, base[k % 60] if k % 3 else base[k % 7], "s") for k in range(240)] + [(None, base[0], "s"), (None, None, "s"), (3, "other", "s")]
+    df = frame(spark, rows)
+    a, b = (sorted(((r.doc_id is None, r.doc_id or 0, r.text_crc32, r.shard, r.slot) for r in sharding.shard_documents(x).collect())) for x in (df.coalesce(1), df.repartition(9)))
+    assert a == b
+    nodes = spark.createDataFrame([(k, 10, k * 7919) for k in range(400)], "node long, size long, tie long")
+    members = spark.createDataFrame([(k, k // 10) for k in range(400)], "node long, group int")
+    state = sharding.propagate(nodes, members)
+    spread = nodes.select("node", F.pmod("node", F.lit(8)).alias("shard"))
+    after, before = sharding.cut_links(state, members).collect()[0], sharding.cut_links(spread, members).collect()[0]
+    assert after.links == before.links == 40 * 45 and before.cut > 1400 and after.cut < before.cut / 2
+
+
+def test_mixing_splits_rows_of_one_id(spark):
+    """Null and repeated ids share their hash; the boundary falls between such rows, not before or after them all."""
+    rng = random.Random(32)
+    rows = [(None if k % 3 else 7, text(rng, 50), "a") for k in range(200)] + [(1000 + k, text(rng, 50), "b") for k in range(100)]
+    got = mixing.mix(frame(spark, rows), weights=(1, 2), cap=3.0).collect()
+    for s in ("a", "b"):
+        mine = [r for r in got if (r.target, r.source_size) == next((x.target, x.source_size) for x in got if x.source_size == (10000 if s == "a" else 5000))]
+        assert abs(sum(r.taken for r in mine) - mine[0].target) <= 50
+
+
+def test_length_partitions_hold_the_threshold():
+    for t in (0.8, 0.85, 1 / 3, 0.5, 0.9):
+        starts = spotsigs.length_parts(t, 1000)
+        part = lambda n: sum(s <= n for s in starts)
+        for n in range(1, 700):
+            m = n
+            while n >= t * m - 1e-12:
+                assert part(m) - part(n) in (0, 1)
+                m += 1
