@@ -120,3 +120,18 @@ def checklist(rows: DataFrame, by: list[str], checks: dict[str, Column]) -> Data
     done = rows.groupBy(*by).agg(*[F.coalesce(c, F.lit(False)).alias(n) for n, c in checks.items()])
     each = F.explode(F.array(*[F.struct(F.lit(n).alias("name"), F.col(n).alias("ok")) for n in checks]))
     return done.select(*by, each.alias("x")).select(*by, "x.*")
+
+
+def news_reason(known: Column, cutoff: Column, hours: int = 24) -> Column:
+    """Why an item doesn't count at the cutoff, or eligible: undated, after_cutoff, or too_old from exactly so many hours on."""
+    oldest = cutoff - F.expr(f"INTERVAL {hours} HOURS")
+    return F.when(known.isNull(), "undated").when(known > cutoff, "after_cutoff").when(known <= oldest, "too_old").otherwise("eligible")
+
+
+def fills(orders: DataFrame, slippage: float, fee: float, least: float) -> DataFrame:
+    """orders (side 1 or -1, amount, price) with refused (under the least order), at (the price paid), fee, and units: what the
+    position changes by. A buy's fee comes out of its amount."""
+    at = F.col("price") * (1 + slippage * F.col("side"))
+    paid = F.col("amount") * fee
+    net = F.when(F.col("side") > 0, F.col("amount") - paid).otherwise(F.col("amount"))
+    return orders.select("*", (F.col("amount") < least).alias("refused"), at.alias("at"), paid.alias("fee"), (F.col("side") * net / at).alias("units"))

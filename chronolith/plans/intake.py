@@ -214,14 +214,14 @@ def fresh_days(spark: S, sf: str) -> DataFrame:
 def stream_outcomes(spark: S, sf: str) -> DataFrame:
     """Outcomes an hour later as a stream-stream join: unavailable for good once the watermark has passed them by six hours."""
     c = hourly(spark, sf).select("key", F.timestamp_seconds(F.col("h") * 3600).alias("at"), "close")
-    out = finished(live.outcomes(replayed(c), replayed(c), 1))
+    out = finished(live.outcomes(replayed(c, "at"), replayed(c, "at"), 1))
     return out.select("key", F.floor(F.unix_timestamp("at") / 3600).alias("h"), r(F.col("later")).alias("later"), "status")
 
 
 @query("WITH e AS (SELECT event_type AS key, ts + INTERVAL 30 HOUR AS known FROM events), m AS (SELECT max(known) - INTERVAL 1 HOUR AS mark FROM e) SELECT key, (epoch(date_trunc('day', known)) // 86400)::BIGINT AS d, count(*) AS n FROM e, m WHERE date_trunc('day', known) + INTERVAL 24 HOUR <= mark GROUP BY 1, 2")
 def stream_available(spark: S, sf: str) -> DataFrame:
     """Days by when rows could be known, not by when they were stamped: the watermark follows availability."""
-    e = live.available(replayed(events(spark, sf)), "ts", "30 HOURS", "1 hour")
+    e = live.available(replayed(events(spark, sf), "ts"), "ts", "30 HOURS", "1 hour")
     d = e.groupBy(F.window("available_at", "1 day"), F.col("event_type").alias("key")).agg(F.count("*").alias("n"))
     return finished(d.select("key", F.floor(F.unix_timestamp("window.start") / 86400).alias("d"), "n"))
 

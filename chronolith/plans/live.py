@@ -18,7 +18,7 @@ S = SparkSession
 
 
 def events(spark: S, sf: str) -> DataFrame:
-    return replayed(table(spark, sf, "events"))
+    return replayed(table(spark, sf, "events"), "ts")
 
 
 def finished(stream: DataFrame) -> DataFrame:
@@ -29,11 +29,21 @@ def finished(stream: DataFrame) -> DataFrame:
     return stream.sparkSession.read.schema(schema).parquet(f"{base}/rows/*")
 
 
-def replayed(df: DataFrame) -> DataFrame:
-    """A batch relation as a stream of one file."""
+#: Rows of a replayed file, about; at least three files, so that state passes from batch to batch.
+FILE_ROWS = 1_000_000
+
+
+def replayed(df: DataFrame, by: str) -> DataFrame:
+    """A batch relation as a stream of files by time, one a batch, written one after the other."""
     path = f"{shared_dir(df.sparkSession)}/replay-{uuid.uuid4().hex}"
-    df.coalesce(1).write.parquet(path)
-    return df.sparkSession.readStream.schema(df.schema).parquet(path)
+    files = max(3, df.count() // FILE_ROWS)
+    bounds = df.agg(F.percentile_approx(by, [k / files for k in range(1, files)])).first()[0] or []
+    edges = [None, *dict.fromkeys(bounds), None]
+    for low, high in zip(edges[:-1], edges[1:], strict=True):
+        part = df if low is None else df.where(F.col(by) > F.lit(low))
+        part = part if high is None else part.where(F.col(by) <= F.lit(high))
+        part.coalesce(1).write.mode("append").parquet(path)
+    return live.stream_files(df.sparkSession, path, df.schema)
 
 
 @query(f"WITH {CANDLES}, w AS (SELECT max(ts) - INTERVAL 1 HOUR AS mark FROM events) SELECT key, h, open, high, low, close, round(volume, 6) AS volume, trades FROM candles, w WHERE (h + 1) * 3600 <= epoch(mark)")
@@ -58,7 +68,7 @@ def stream_sessions(spark: S, sf: str) -> DataFrame:
 @query(recursive.cusum(0.025, 5.0))
 def stream_cusum(spark: S, sf: str) -> DataFrame:
     f = forecast(spark, sf).select("key", "h", (F.col("p") - F.col("y")).alias("residual"))
-    return finished(live.cusum_stream(replayed(f), 0.025, 5.0))
+    return finished(live.cusum_stream(replayed(f, "h"), 0.025, 5.0))
 
 
 @query(recursive.ONE_STOP)
@@ -66,4 +76,4 @@ def stream_account(spark: S, sf: str) -> DataFrame:
     w = Window.orderBy("d").rowsBetween(-9, 0)  # a row a day
     d = daily(spark, sf).withColumn("sma", F.avg("total").over(w))
     days = d.select(F.lit("orders").alias("key"), "d", F.col("total").alias("price"), (F.col("total") > F.col("sma")).cast("double").alias("desired"))
-    return finished(live.account_stream(replayed(days), Rule(stop_loss=0.05))).withColumn("value", r(F.col("value")))
+    return finished(live.account_stream(replayed(days, "d"), Rule(stop_loss=0.05))).withColumn("value", r(F.col("value")))

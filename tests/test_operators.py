@@ -1,19 +1,26 @@
 import hashlib
+import io
+import json
 import math
 import random
 import time
 from dataclasses import replace
+from datetime import datetime
 from difflib import SequenceMatcher
+from functools import reduce
 
 import numpy as np
 import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from chronolith import cli
+from chronolith.functions import features as feature_columns
 from chronolith.functions import scalar, scoring
 from chronolith.operators import grid as G
 from chronolith.operators import indicators, joins, models, simulate, stats, views, windows
 from chronolith.sources import context, paged, payloads, sinks, tables
+from chronolith.streaming import live
 
 
 def frame(spark, rows, schema):
@@ -453,3 +460,94 @@ def test_feeds_and_expiries(spark):
     got = frame(spark, [(rss, "5JAN26"), ("no xml", "5JANX6"), (None, None)], "x string, c string").select(payloads.feed_items(F.col("x")).alias("i"), payloads.expiry_hour(F.col("c")).alias("e")).collect()
     assert [(i.title, i.summary, str(i.available_at)) for i in got[0].i] == [("A", None, "2025-10-06 08:00:00"), ("B", None, "2025-10-06 12:00:00")] and got[0].e == 20458 * 24 + 8
     assert not got[1].i and got[1].e is None and got[2].i is None and got[2].e is None
+
+
+def test_streams_over_restarts_and_late_rows(spark, tmp_path):
+    """Files come between runs of one checkpoint; a row behind the watermark changes no candle, and none comes out twice."""
+    schema = "event_id long, ts timestamp_ntz, value double, event_type string"
+    source, run = str(tmp_path / "in"), lambda: live.run_to_end(live.closed_candles(live.stream_files(spark, source, spark.createDataFrame([], schema).schema)), str(tmp_path / "check"), live.into_parquet(str(tmp_path / "out")))
+    at = lambda hour, minute=0: datetime(2025, 1, 1, hour, minute)
+
+    def put(*rows):
+        frame(spark, [(k, t, float(v), "a") for k, t, v in rows], schema).coalesce(1).write.mode("append").parquet(source)
+
+    put((1, at(0), 1), (2, at(0, 30), 3), (3, at(1), 5), (4, at(4), 7))
+    run()
+    put((5, at(0, 40), 100), (6, at(4, 10), 9), (7, at(9), 2))
+    run()
+    run()
+    put((8, at(20), 1))
+    run()
+    out = spark.read.parquet(f"{tmp_path}/out/*").orderBy("h").collect()
+    first = 482136
+    assert [(r.h - first, r.close, r.trades) for r in out] == [(0, 3.0, 2), (1, 5.0, 1), (4, 9.0, 2), (9, 2.0, 1)]
+
+
+def test_indicators_equal_a_fold_of_each_window():
+    """All windows at once against the definition, window by window."""
+    close = 100 + np.cumsum(np.random.default_rng(2).normal(size=320))
+
+    def smooth(x, alpha):
+        return reduce(lambda acc, v: [*acc, v if not acc else alpha * v + (1 - alpha) * acc[-1]], x, [])
+
+    got = indicators.table(close)
+    for i in (10, 13, 14, 19, 33, 34, 60, 200, 248, 249, 250, 319):
+        w = close[max(0, i - 249) : i + 1]
+        want = [np.nan] * 8
+        if len(w) >= 50:
+            want[0] = w[-50:].mean()
+        if len(w) >= 200:
+            want[1] = w[-200:].mean()
+        if len(w) >= 15:
+            step = np.diff(w)
+            want[2] = 100 - 100 / (1 + smooth(np.maximum(step, 0), 1 / 14)[-1] / smooth(np.maximum(-step, 0), 1 / 14)[-1])
+        if len(w) >= 35:
+            line = np.array(smooth(w, 2 / 13)) - np.array(smooth(w, 2 / 27))
+            signal = smooth(line[25:], 2 / 10)[-1]
+            want[3:6] = [line[-1], signal, line[-1] - signal]
+        if len(w) >= 20:
+            want[6], want[7] = w[-20:].mean() - 2 * w[-20:].std(), w[-20:].mean() + 2 * w[-20:].std()
+        assert got[i] == pytest.approx(want, nan_ok=True)
+    assert indicators.table(np.full(30, 5.0))[-1, 2] == 100
+
+
+def test_feature_groups(spark):
+    g = G.densify(frame(spark, [("a", h, 1.0, 2.0, 0.5, float(h + 1), 4.0, 2, 1.0) for h in range(30) if h != 7], "key string, h long, open double, high double, low double, close double, volume double, trades long, taker double"))
+    got = {r.h: r for r in feature_columns.features(g, ["returns", "flow"]).collect()}
+    assert len(got) == 30 and got[8].change_1 is None and got[9].change_1 == pytest.approx(10 / 9 - 1) and got[0].taker_share == 0.25 and got[7].log_volume is None
+    assert feature_columns.group_of("change_6") == "returns"
+    for ask in (lambda: feature_columns.group_of("nothing"), lambda: feature_columns.features(g, ["nothing"])):
+        with pytest.raises(KeyError):
+            ask()
+
+
+def test_reports_from_the_command_line(spark):
+    def report(*args):
+        out = io.StringIO()
+        assert cli.main([*args, "--sf", "/root/testdata/sf0.001"], spark, out) == 0
+        return [json.loads(x) for x in out.getvalue().splitlines()]
+
+    newest = report("latest")[0]["row"]
+    page = report("runs", "--limit", "3", "--before", str(newest["h"]))
+    assert len(page) == 3 and all(x["row"]["h"] < newest["h"] for x in page)
+    one = report("run", "--hour", str(page[0]["row"]["h"]))
+    assert {x["row"]["horizon"] for x in one} == {1, 24} and all(x["row"]["h"] == page[0]["row"]["h"] for x in one)
+    early = report("statistics", "--at", str(newest["h"] - 100))
+    assert {x["row"]["horizon"] for x in early} == {1, 24} and early[0]["row"]["n"] < report("statistics")[0]["row"]["n"]
+    assert {x["kind"] for x in report("all")} == {"latest", "runs", "statistics", "health"}
+    with pytest.raises(SystemExit):
+        cli.main(["run", "--sf", "x"], spark)
+
+
+def test_catalog_bootstrap(spark):
+    name = f"made_{random.getrandbits(40)}"
+    assert sinks.bootstrap(spark, {name: "a int"}) == [name] and sinks.bootstrap(spark, {name: "a int"}) == [] and spark.table(name).count() == 0
+    spark.sql(f"DROP TABLE {name}")
+
+
+def test_boosted_trees(spark):
+    rng = random.Random(3)
+    rows = [(h, x := rng.gauss(0, 1), rng.gauss(0, 1), float(x > 0.3)) for h in range(400)] + [(500, None, 1.0, 1.0)]
+    df = frame(spark, rows, "h long, a double, b double, y double")
+    got = models.boosted(df.where("h < 300"), df.where("h >= 300"), ["a", "b"], "y").toPandas()
+    assert len(got) == 100 and ((got.p > 0.5) == (got.y > 0.5)).mean() > 0.95
