@@ -26,7 +26,7 @@ import regex
 from pyspark.sql import DataFrame
 from tokenizers import Tokenizer
 
-from .runtime import map_text
+from .runtime import map_text, tidy
 from .wordtable import WordTable, joined
 
 END = ""  # stands for the mark of a word's end inside the automaton
@@ -227,7 +227,7 @@ def decode_ids(df: DataFrame, vocabulary: str, ids_col: str = "ids", keep: list[
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(texts, pa.string())], [*keep, "decoded"])
 
     source = df.select(*[df[c] for c in keep], df[ids_col].alias("__ids"))
-    return source.mapInArrow(run, source.drop("__ids").schema.add("decoded", "string"))
+    return source.mapInArrow(tidy(run), source.drop("__ids").schema.add("decoded", "string"))
 
 
 def round_trip(df: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

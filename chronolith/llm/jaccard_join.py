@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkernel as K
-from .runtime import drop_path, map_text, release, small_batches, stage_path, staged
+from .runtime import drop_path, give_back, map_text, release, small_batches, stage_path, staged, tidy
 
 WIDTH, PERCENT = 4, 85
 BANDS, ROWS = 6, 3
@@ -44,11 +44,11 @@ GROUP = 32
 #: A token of this many classes is frequent; doubled until no more than MOST_FREQUENT are (16 bytes each, broadcast).
 FREQUENT, MOST_FREQUENT = 8, 1_000_000
 #: Tokens that a task packs before it hands them on, tokens of one range, and pairs looked at together.
-PACK, RANGE, PIECES = 1_000_000, 1_000_000, 1_000_000
+PACK, RANGE, PIECES = 500_000, 1_000_000, 1_000_000
 #: Ids broadcast at most (8 bytes each) to pick sets for comparison; more are joined by a shuffle.
 MOST_IDS = 1_000_000
-#: Rows of an Arrow batch; a row holds the tokens of a text or two.
-BATCH_ROWS = 200
+#: Rows of an Arrow batch; a row holds the tokens of a text or two, or packed tokens of a range.
+BATCH_ROWS, BLOBS = 200, 100
 
 
 def ceil_part(n: np.ndarray, percent: int) -> np.ndarray:
@@ -149,7 +149,7 @@ def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], ["a", "b"])
 
     both = pairs.join(some.select(F.col("cid").alias("a"), F.col("tokens").alias("x")), "a").join(some.select(F.col("cid").alias("b"), F.col("tokens").alias("y")), "b")
-    links = staged(both.select("a", "b", "x", "y").mapInArrow(run, "a bigint, b bigint"), "links")
+    links = staged(both.select("a", "b", "x", "y").mapInArrow(tidy(run), "a bigint, b bigint"), "links")
     for path in (pairs_path, ids_path, some_path):
         drop_path(spark, path)
     return links
@@ -232,8 +232,8 @@ def frequent_tokens(sets: DataFrame, ranges: int) -> tuple[np.ndarray, np.ndarra
         # a token goes once from a pack, with its count
         tokens, n = np.unique(np.concatenate(held), return_counts=True)
         made = list(dealt([(tokens, n.astype(np.uint32))], ranges))
-        for k in range(0, len(made), 500):
-            part = made[k : k + 500]
+        for k in range(0, len(made), BLOBS):
+            part = made[k : k + BLOBS]
             yield pa.RecordBatch.from_arrays([pa.array([r for r, _ in part], pa.int32()), *[pa.array([c[j] for _, c in part], pa.binary()) for j in range(2)]], ["r", "blob", "n"])
 
     def count(t: pa.Table) -> pa.Table:
@@ -243,10 +243,11 @@ def frequent_tokens(sets: DataFrame, ranges: int) -> tuple[np.ndarray, np.ndarra
         first = starts(tokens)
         n = np.add.reduceat(n[order].astype(np.int64), first)
         often = n >= FREQUENT
+        give_back()
         keys = (np.int64(t.column("r")[0].as_py()) << np.int64(32)) | tokens[first][often].astype(np.int64)
         return pa.table({"token": keys, "n": n[often].astype(np.int64)})
 
-    counts = staged(sets.where("tokens IS NOT NULL").select("tokens").mapInArrow(pack, "r int, blob binary, n binary").groupBy("r").applyInArrow(count, "token bigint, n bigint"), "frequent")
+    counts = staged(sets.where("tokens IS NOT NULL").select("tokens").mapInArrow(tidy(pack), "r int, blob binary, n binary").groupBy("r").applyInArrow(count, "token bigint, n bigint"), "frequent")
     level = FREQUENT
     while counts.where(F.col("n") >= level).count() > MOST_FREQUENT:
         level *= 2
@@ -275,7 +276,7 @@ def probes(base: DataFrame, frequent: tuple[np.ndarray, np.ndarray], percent: in
                 out.append(tokens[:most].tobytes())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.binary())], ["cid", "n", "probe"])
 
-    return base.where("tokens IS NOT NULL").select(F.col("row").alias("cid"), "n", "tokens").mapInArrow(run, "cid bigint, n bigint, probe binary")
+    return base.where("tokens IS NOT NULL").select(F.col("row").alias("cid"), "n", "tokens").mapInArrow(tidy(run), "cid bigint, n bigint, probe binary")
 
 
 def meetings(size: np.ndarray, first: np.ndarray):
@@ -343,7 +344,7 @@ def matrix_candidates(rows: DataFrame, ranges: int, percent: int) -> DataFrame:
                 # most classes are their own cluster: the difference of the two is zero then, and zeros compress
                 held.append((tokens, np.full(k, c), np.full(k, c ^ g), np.full(k, m, np.int32), np.full(k, n, np.int32), (n - np.arange(k)).astype(np.int32)))
                 size += k
-                if size > PACK // 4:
+                if size > PACK // 2:
                     yield from blobs(held)
                     held, size = [], 0
         if held:
@@ -353,16 +354,17 @@ def matrix_candidates(rows: DataFrame, ranges: int, percent: int) -> DataFrame:
 
     def blobs(held):
         made = list(dealt(held, ranges))
-        for k in range(0, len(made), 500):
-            part = made[k : k + 500]
+        for k in range(0, len(made), BLOBS):
+            part = made[k : k + BLOBS]
             yield pa.RecordBatch.from_arrays([pa.array([r for r, _ in part], pa.int32()), *[pa.array([c[j] for _, c in part], pa.binary()) for j in range(len(kinds))]], ["r", *kinds])
 
     def lists(t: pa.Table) -> pa.Table:
         c = {k: np.concatenate([np.frombuffer(x.as_buffer(), kind) for x in t.column(k)]) for k, kind in kinds.items()}
         a, b = opened(c["token"], c["cid"], c["cid"] ^ c["cluster"], *(c[k].astype(np.int64) for k in ("many", "n", "left")), percent)
+        give_back()
         return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
 
-    packed = rows.select("cid", "n", "cluster", "many", "probe").mapInArrow(pack, ", ".join(["r int", *(f"{k} binary" for k in kinds)]))
+    packed = rows.select("cid", "n", "cluster", "many", "probe").mapInArrow(tidy(pack), ", ".join(["r int", *(f"{k} binary" for k in kinds)]))
     return packed.groupBy("r").applyInArrow(lists, "a bigint, b bigint").distinct()
 
 

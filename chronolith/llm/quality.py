@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkernel as K
-from .runtime import map_text, raw_text
+from .runtime import map_text, raw_text, tidy
 
 BUCKET_BITS, NGRAMS = 18, (3, 4)
 DIM, EPOCHS, BATCH, RATE, SEED = 8, 8, 64, 0.05, 7
@@ -79,10 +79,10 @@ def rows(data: np.ndarray, offsets: np.ndarray) -> list[tuple[np.ndarray, np.nda
         part = data[offsets[i] : offsets[i + 1]]
         bucket, owner, which, _, _ = features(part, np.array([0, len(part)]))
         times = np.bincount(which, minlength=owner.max() + 1 if len(owner) else 0)
-        total = np.bincount(bucket, times[owner], SIZE) if len(bucket) else np.zeros(SIZE)
-        total[PAIRS] += [x[0] for x in pairs(which, np.zeros(len(which), np.int64), 1)]
-        at = np.flatnonzero(total)
-        out.append((at, total[at] / max(total.sum(), 1)))
+        at, place = np.unique(np.concatenate([bucket, PAIRS]), return_inverse=True)
+        total = np.bincount(place, np.concatenate([times[owner], *pairs(which, np.zeros(len(which), np.int64), 1)]))
+        at, total = at[total > 0], total[total > 0]
+        out.append((at.astype(np.int32), (total / max(total.sum(), 1)).astype(np.float32)))
     return out
 
 
@@ -144,7 +144,7 @@ def train(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         table, bias = fit([texts[i] for i in order], np.array([y[i] for i in order], np.int64))
         yield pa.RecordBatch.from_arrays([pa.array([table.tobytes()], pa.binary()), pa.array([float(bias[0])], pa.float64())], ["table", "bias"])
 
-    got = chosen.repartition(1).mapInArrow(run, "table binary, bias double").collect()
+    got = chosen.repartition(1).mapInArrow(tidy(run), "table binary, bias double").collect()
     if not got:  # no labelled row: every score is 0.5
         return np.zeros(SIZE), 0.0
     return np.frombuffer(got[0].table, np.float64), got[0].bias

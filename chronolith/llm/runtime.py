@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import tempfile
 import uuid
@@ -60,6 +61,27 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def give_back() -> None:
+    """Return what this Python worker has freed to the system: workers wait between tasks, and what they keep counts as the executor's."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A function for mapInArrow that gives memory back when its task ends."""
+
+    def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return tidied
+
+
 BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 #: Rows of an Arrow batch of texts, where the session has Spark's default of 10000, made for narrow rows.
 TEXT_ROWS = 500
@@ -137,4 +159,4 @@ def map_text(df: DataFrame, text: str, fields: dict[str, str], make: Callable[[]
                 else:
                     yield pa.RecordBatch.from_arrays([x.filter(columns[at]) for x in piece.columns[:n] + columns[:at] + columns[at + 1 :]], names)
 
-    return source.mapInArrow(run, out)
+    return source.mapInArrow(tidy(run), out)

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bpe import broadcast_file
-from .runtime import map_text, stage_path
+from .runtime import map_text, stage_path, tidy
 from .wordtable import WordTable, joined
 
 END_ID = 1
@@ -96,7 +96,7 @@ def read_orc(spark, path: str, id_col: str = "doc_id") -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(np.diff(at), pa.int64()), pa.array(crc, pa.int64())], names)
 
     kind = rows.schema[id_col].dataType.simpleString()
-    each = rows.select(id_col, "part", "place", "ids").mapInArrow(run, f"`{id_col}` {kind}, part int, place bigint, n_tokens bigint, ids_crc32 bigint")
+    each = rows.select(id_col, "part", "place", "ids").mapInArrow(tidy(run), f"`{id_col}` {kind}, part int, place bigint, n_tokens bigint, ids_crc32 bigint")
     # rows go on from file to file; of the files, only the column of lengths is read for this
     totals = rows.groupBy("part").agg(F.sum("n_tokens").alias("n"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
