@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .runtime import staged
+from .runtime import drop_path, stage_path, staged
 
 BITS, LEVELS = 12, 5
 BUCKETS = 1 << BITS
@@ -87,7 +87,9 @@ def thresholds(rows: DataFrame, budgets: DataFrame, key: str = "source", size: s
     hash value at the boundary is taken if that comes nearer.
     """
     state = budgets.select(key, "budget", F.lit(0).cast("long").alias("low"), F.lit(0).cast("long").alias("taken"))
-    cached = staged(state, "budgets")
+    spark = rows.sparkSession
+    path = stage_path(spark, "budgets")
+    cached = staged(state, "budgets", path)
     for level in range(LEVELS):
         shift = BITS * (LEVELS - 1 - level)
         prefix = F.shiftright(F.col(hashed), shift + BITS)
@@ -109,9 +111,13 @@ def thresholds(rows: DataFrame, budgets: DataFrame, key: str = "source", size: s
             near = F.col("below") + F.col("n") - F.col("budget") < F.col("budget") - F.col("below")
             last = F.when(F.col("at").isNull(), end).when(near, new_low + 1).otherwise(new_low)
             edge = F.when(F.col("at").isNotNull(), new_low)
-            return staged(base.select(key, last.alias("threshold"), edge.alias("edge"), (F.col("budget") - F.col("below")).alias("rest")), "thresholds")
+            out = staged(base.select(key, last.alias("threshold"), edge.alias("edge"), (F.col("budget") - F.col("below")).alias("rest")), "thresholds")
+            drop_path(spark, path)
+            return out
         taken = F.when(F.col("at").isNull(), F.col("taken") + F.coalesce("all", F.lit(0))).otherwise(F.col("below"))
-        cached = staged(base.select(key, "budget", F.coalesce(new_low, end).alias("low"), taken.alias("taken")), "budgets")
+        old, path = path, stage_path(spark, "budgets")
+        cached = staged(base.select(key, "budget", F.coalesce(new_low, end).alias("low"), taken.alias("taken")), "budgets", path)
+        drop_path(spark, old)
 
 
 def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = WEIGHTS, cap: float = CAP, keep: list[str] | None = None) -> DataFrame:

@@ -61,8 +61,8 @@ def votes(state: DataFrame, members: DataFrame, shards: int) -> DataFrame:
     return seen.groupBy("node").agg(F.min("lead").alias("lead"), *[F.sum(f"v{k}").alias(f"v{k}") for k in range(shards)])
 
 
-def round_moves(state: DataFrame, members: DataFrame, shards: int, cap: float) -> DataFrame:
-    """node and shard of the rows that move: the best gains that fit the room of each shard."""
+def round_moves(state: DataFrame, members: DataFrame, shards: int, cap: float) -> tuple[DataFrame, list[str]]:
+    """node and shard of the rows that move, the best gains that fit the room of each shard; and what can be deleted after them."""
     v = votes(state, members, shards).join(state, "node")
     load = loads(state, shards)
     # a full shard takes nobody in; of shards with equal votes, one with room comes first, then one by a hash of the group
@@ -81,32 +81,34 @@ def round_moves(state: DataFrame, members: DataFrame, shards: int, cap: float) -
     sums = wish.groupBy("to", "bucket").agg(F.sum("size").alias("n"))  # at most shards * GAINS * FINE rows
     upto = F.sum("n").over(Window.partitionBy("to").orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0))
     fits = sums.withColumn("upto", upto).where(F.col("upto") <= room).select("to", "bucket")
-    return wish.join(F.broadcast(fits), ["to", "bucket"]).select("node", F.col("to").alias("new"))
+    return wish.join(F.broadcast(fits), ["to", "bucket"]).select("node", F.col("to").alias("new")), [path]
 
 
 def moved(state: DataFrame, moves: DataFrame) -> DataFrame:
     return state.join(moves, "node", "left").withColumn("shard", F.coalesce("new", "shard")).drop("new")
 
 
-def even_moves(state: DataFrame, members: DataFrame, shards: int) -> DataFrame | None:
-    """node and shard of the rows that leave shards over their share for those under it; rows with few links beside them go first."""
+def even_moves(state: DataFrame, members: DataFrame, shards: int) -> tuple[DataFrame | None, list[str]]:
+    """node and shard of the rows that leave shards over their share for those under it, rows with few links beside them first; and what
+    can be deleted after them."""
     load = loads(state, shards)
     share = sum(load) / shards
     over, under = [max(0, round(x - share)) for x in load], [max(0, round(share - x)) for x in load]
     if not any(over) or not any(under):
-        return None
+        return None, []
     spark = state.sparkSession
+    paths = [stage_path(spark, name) for name in ("open", "leaving")]
     v = votes(state, members, shards).join(state.select("node", "shard"), "node")
     here = reduce(lambda a, k: F.when(F.col("shard") == k, F.col(f"v{k}")).otherwise(a), range(shards), F.lit(0))
     links = v.select("node", F.least(F.floor(F.log2(here + 1)) + 1, F.lit(15)).cast("long").alias("ties"))
     width = BITS * LEVELS - 4
     spread = F.shiftrightunsigned(F.xxhash64("tie", F.lit("even")), 64 - width)
     open_ = state.where(by_shard(over, F.col("shard")) >= F.col("size")).join(links, "node", "left")
-    rows = staged(open_.select("node", "tie", "size", "shard", (F.shiftleft(F.coalesce("ties", F.lit(0)).cast("long"), width) + spread).alias("hash")), "open")
+    rows = staged(open_.select("node", "tie", "size", "shard", (F.shiftleft(F.coalesce("ties", F.lit(0)).cast("long"), width) + spread).alias("hash")), "open", paths[0])
     budgets = spark.createDataFrame([(k, int(x)) for k, x in enumerate(over) if x], "shard int, budget long")
     cut = thresholds(rows, budgets, "shard")
     leaving = rows.join(F.broadcast(cut), "shard").where(F.col("hash") < F.col("threshold"))  # a row a shard
-    leaving = staged(leaving.select("node", "size", F.shiftrightunsigned(F.xxhash64("tie", F.lit("to")), 64 - BITS * LEVELS).alias("hash")), "leaving")
+    leaving = staged(leaving.select("node", "size", F.shiftrightunsigned(F.xxhash64("tie", F.lit("to")), 64 - BITS * LEVELS).alias("hash")), "leaving", paths[1])
     # nested budgets: what goes to the first shard with room, to the first two, ...
     nested, total = [], 0
     for k, x in enumerate(under):
@@ -117,7 +119,7 @@ def even_moves(state: DataFrame, members: DataFrame, shards: int) -> DataFrame |
     cut = thresholds(leaving.withColumn("to", F.explode(F.array(*[F.lit(k) for k, _ in nested]))), grid, "to")
     bounds = sorted((r.to, r.threshold) for r in cut.collect())  # a row a shard
     to = reduce(lambda rest, b: F.when(F.col("hash") < b[1], b[0]).otherwise(rest), reversed(bounds[:-1]), F.lit(bounds[-1][0]))
-    return leaving.select("node", to.cast("int").alias("new"))
+    return leaving.select("node", to.cast("int").alias("new")), paths
 
 
 def propagate(nodes: DataFrame, members: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS, slack: float = SLACK, evenings: int = EVENINGS) -> DataFrame:
@@ -130,11 +132,12 @@ def propagate(nodes: DataFrame, members: DataFrame, shards: int = SHARDS, rounds
     cap = (1 + slack) * sum(loads(state, shards)) / shards
     steps = [lambda s: round_moves(s, members, shards, cap)] * rounds + [lambda s: even_moves(s, members, shards)] * evenings
     for step in steps:
-        moves = step(state)
+        moves, spent = step(state)
         if moves is not None:
             new = stage_path(spark, "state")
             state = staged(moved(state, moves), "state", new)
-            drop_path(spark, path)
+            for old in (path, *spent):
+                drop_path(spark, old)
             path = new
     return state
 
