@@ -6,7 +6,8 @@ sum of the log-probabilities of its words, each given its real neighbours.
 
 Symbols are the most frequent words of the corpus, counted exactly over all texts, and buckets by ending and length for the
 others; sorted by frequency and cut into equal classes. The network gives a bucket's mass; a word in it gets its share of that by
-the exact counts of all words, joined to the texts' words (a table as long as the vocabulary, never collected). What is left of a
+the exact counts of all words: those of the KNOWN most frequent are broadcast, all others joined to the texts' words (a table as long
+as the vocabulary, never collected). What is left of a
 bucket, as much as one occurrence, is dealt among one more unseen word than it has seen ones. Output biases start at the corpus log-frequencies, so an untrained
 network is the corpus unigram model. Texts are dealt by their hash and id into shards of about SHARD words, sorted by hash; one network
 a shard trains on every place of its texts (on one in STRIDE, where that is more than 1) from the same start, and the networks are
@@ -26,14 +27,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkernel as K
-from .runtime import map_text, pieces, raw_text, staged
+from .runtime import map_text, pieces, raw_text, staged, tidy
 
 CLASSES, MEMBERS, BUCKETS = 64, 64, 256
 SYMBOLS = CLASSES * MEMBERS
-DIM, PLACES, STRIDE, BATCH, RATE, SEED = 24, (-2, -1, 1, 2), 1, 2048, 0.1, 3
+DIM, PLACES, STRIDE, BATCH, RATE, SEED = 24, (-2, -1, 1, 2), 1, 4096, 0.15, 3
 #: Words that one network trains on, about.
 SHARD = 2_000_000
-CHUNK = 1 << 15
+CHUNK = 1 << 13
+#: Words of buckets whose counts are broadcast at most (16 bytes each), the most frequent ones; those of all others are joined.
+KNOWN = 500_000
 NANO = 1_000_000_000  # logarithms are added as integers, so that their sum doesn't depend on the order
 
 
@@ -50,9 +53,11 @@ def hashed(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 class Symbols:
-    def __init__(self, hashes: np.ndarray, ids: np.ndarray, buckets: np.ndarray, unseen: np.ndarray):
-        """unseen: for each bucket, the logarithm of the share of it that an unseen word gets."""
+    def __init__(self, hashes: np.ndarray, ids: np.ndarray, buckets: np.ndarray, unseen: np.ndarray, often: np.ndarray | None = None, gain: np.ndarray | None = None):
+        """unseen: for each bucket, the logarithm of the share of it that an unseen word gets; often and gain: frequent words in order,
+        and by how much each is above an unseen one (in NANO)."""
         self.hashes, self.ids, self.buckets = hashes, ids, buckets
+        self.often, self.gain = (np.empty(0, np.int64), np.empty(0, np.int64)) if often is None else (often, gain)
         self.unseen = np.full(SYMBOLS, np.nan)
         self.unseen[buckets] = unseen
 
@@ -63,6 +68,15 @@ class Symbols:
         return np.where(self.hashes[at] == h, self.ids[at], self.buckets[bucket])
 
 
+    def gains(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Gain of each word, and whether it is known here (0 where not)."""
+        if not len(self.often):
+            return np.zeros(len(h), np.int64), np.zeros(len(h), bool)
+        at = np.minimum(np.searchsorted(self.often, h), len(self.often) - 1)
+        known = self.often[at] == h
+        return np.where(known, self.gain[at], 0), known
+
+
 def count_words(df: DataFrame, text_col: str) -> DataFrame:
     """word (hash), bucket and n over all texts."""
 
@@ -84,12 +98,13 @@ def count_words(df: DataFrame, text_col: str) -> DataFrame:
         word, first, n = np.unique(h, return_index=True, return_counts=True)
         return pa.RecordBatch.from_arrays([pa.array(word), pa.array(bucket[first].astype(np.int32)), pa.array(n.astype(np.int64))], ["word", "bucket", "n"])
 
-    part = df.select(df[text_col].cast("string").alias("text")).mapInArrow(run, "word bigint, bucket int, n bigint")
+    part = df.select(df[text_col].cast("string").alias("text")).mapInArrow(tidy(run), "word bigint, bucket int, n bigint")
     return part.groupBy("word").agg(F.first("bucket").alias("bucket"), F.sum("n").alias("n"))
 
 
 def symbols(df: DataFrame, text_col: str) -> tuple[Symbols, np.ndarray, DataFrame]:
-    """The symbols, the corpus count of each plus one, and gains: by how much a word of a bucket is above an unseen one (in NANO)."""
+    """The symbols, the corpus count of each plus one, and gains of the words that aren't known to the symbols: by how much a word of a
+    bucket is above an unseen one (in NANO)."""
     words = staged(count_words(df, text_col), "words")
     top = words.orderBy(F.desc("n"), "word").limit(SYMBOLS - BUCKETS).toPandas()  # the vocabulary: a fixed number of rows
     rest, kinds = np.zeros(BUCKETS), np.zeros(BUCKETS)
@@ -107,9 +122,17 @@ def symbols(df: DataFrame, text_col: str) -> tuple[Symbols, np.ndarray, DataFram
     order = np.argsort(h)
     more = df.sparkSession.createDataFrame([(b, float(np.log(k + 1))) for b, k in enumerate(kinds)], "bucket int, more double")
     gain = F.round((F.log("n") + F.col("more")) * NANO).cast("bigint")
-    gains = words.join(F.broadcast(more), "bucket").select("word", gain.alias("gain"))
+    gains = words.join(F.broadcast(more), "bucket").select("word", "n", gain.alias("gain"))
+    level, seen = 1 << 62, 0
+    for r in sorted(words.groupBy(F.floor(F.log2("n")).cast("int").alias("k")).agg(F.count("*").alias("kinds")).collect(), reverse=True):  # at most 63 rows
+        seen += r.kinds
+        if seen > KNOWN:
+            break
+        level = 1 << r.k
+    often = gains.where(F.col("n") >= level).select("word", "gain").toArrow().sort_by("word")  # KNOWN rows at most
+    gains = gains.where(F.col("n") < level).select("word", "gain")
     unseen = -np.log(rest + 1) - np.log(kinds + 1)
-    return Symbols(h[order], rank[: len(h)][order], rank[len(h) : len(h) + BUCKETS], unseen), counts + 1, gains
+    return Symbols(h[order], rank[: len(h)][order], rank[len(h) : len(h) + BUCKETS], unseen, often["word"].to_numpy(), often["gain"].to_numpy()), counts + 1, gains
 
 
 class Network:
@@ -136,62 +159,76 @@ class Network:
         return self
 
     def hidden(self, context: np.ndarray) -> np.ndarray:
-        z = np.tile(self.shift, (len(context), 1))
-        for k in range(len(PLACES)):
+        z = self.table[0][context[:, 0]]
+        for k in range(1, len(PLACES)):
             z += self.table[k][context[:, k]]
-        return np.tanh(z)
+        z += self.shift
+        return np.tanh(z, out=z)
+
+    def members(self, h: np.ndarray, cuts: np.ndarray) -> np.ndarray:
+        """Logits inside the class, of rows in order of class; cuts: where each class begins."""
+        z = np.empty((len(h), MEMBERS), np.float32)
+        for k in np.flatnonzero(np.diff(cuts)).tolist():
+            i, j = cuts[k], cuts[k + 1]
+            np.matmul(h[i:j], self.wm[k], out=z[i:j])
+            z[i:j] += self.bm[k]
+        return z
 
     def log_probability(self, symbol: np.ndarray, context: np.ndarray) -> np.ndarray:
+        """Of each symbol given its context. Logits are sums of DIM products of small weights and values within 1, so that their
+        exponentials need no shift."""
         out = np.empty(len(symbol))
         for a in range(0, len(symbol), CHUNK):
-            s, h = symbol[a : a + CHUNK], self.hidden(context[a : a + CHUNK])
-            c, m = s // MEMBERS, s % MEMBERS
-            z = h @ self.wc + self.bc
-            z -= z.max(1, keepdims=True)
-            got = z[np.arange(len(s)), c] - np.log(np.exp(z).sum(1))
-            order = np.argsort(c, kind="stable")
-            cuts = np.searchsorted(c[order], np.arange(CLASSES + 1))
-            for k in np.flatnonzero(np.diff(cuts)):
-                i = order[cuts[k] : cuts[k + 1]]
-                z = h[i] @ self.wm[k] + self.bm[k]
-                z -= z.max(1, keepdims=True)
-                got[i] += z[np.arange(len(i)), m[i]] - np.log(np.exp(z).sum(1))
-            out[a : a + CHUNK] = got
+            s = symbol[a : a + CHUNK]
+            order = np.sort(s * len(s) + np.arange(len(s))) % len(s)
+            s, h, at = s[order], self.hidden(context[a : a + CHUNK][order]), np.arange(len(s))
+            cuts = np.searchsorted(s, np.arange(CLASSES + 1) * MEMBERS).tolist()
+            z = h @ self.wc
+            z += self.bc
+            got = z[at, s // MEMBERS].astype(np.float64)
+            got -= np.log(np.exp(z, out=z).sum(1))
+            z = self.members(h, cuts)
+            got += z[at, s % MEMBERS]
+            got -= np.log(np.exp(z, out=z).sum(1))
+            out[a + order] = got
         return out
 
     def step(self, symbol: np.ndarray, context: np.ndarray, rate: float) -> None:
-        order = np.sort(symbol * len(symbol) + np.arange(len(symbol))) % len(symbol)
-        symbol, context = symbol[order], context[order]
         n, at = len(symbol), np.arange(len(symbol))
-        h, c, m = self.hidden(context), symbol // MEMBERS, symbol % MEMBERS
-        z = h @ self.wc + self.bc
-        g = np.exp(z - z.max(1, keepdims=True))
+        order = np.sort(symbol * n + at) % n
+        symbol, context = symbol[order], context[order]
+        cuts = np.searchsorted(symbol, np.arange(CLASSES + 1) * MEMBERS).tolist()
+        h = self.hidden(context)
+        g = h @ self.wc
+        g += self.bc
+        np.exp(g, out=g)
         g /= g.sum(1, keepdims=True)
-        g[at, c] -= 1
+        g[at, symbol // MEMBERS] -= 1
         gh = g @ self.wc.T
         dwc, dbc = h.T @ g / n, g.mean(0)
-        first = np.flatnonzero(np.concatenate([[True], c[1:] != c[:-1]]))
-        seen, size = c[first], np.diff(np.append(first, n))
-        runs = list(zip(seen.tolist(), first.tolist(), (first + size).tolist(), strict=True))
-        z = self.bm[c]
-        for k, i, j in runs:
-            z[i:j] += h[i:j] @ self.wm[k]
-        g = np.exp(z - z.max(1, keepdims=True))
+        g = self.members(h, cuts)
+        np.exp(g, out=g)
         g /= g.sum(1, keepdims=True)
-        g[at, m] -= 1
-        mean = g * (rate / np.repeat(size, size)).astype(np.float32)[:, None]
-        for k, i, j in runs:
-            gh[i:j] += g[i:j] @ self.wm[k].T
-            self.wm[k] -= h[i:j].T @ mean[i:j]
-        self.bm[seen] -= np.add.reduceat(mean, first)
+        g[at, symbol % MEMBERS] -= 1
+        inside, dwm = np.empty_like(gh), np.zeros_like(self.wm)
+        sizes = np.diff(cuts)
+        seen, turned = np.flatnonzero(sizes), h.T
+        for k in seen.tolist():
+            i, j = cuts[k], cuts[k + 1]
+            np.matmul(g[i:j], self.wm[k].T, out=inside[i:j])
+            np.matmul(turned[:, i:j], g[i:j], out=dwm[k])
+        gh += inside
+        part = (rate / np.maximum(sizes, 1)).astype(np.float32)
+        self.wm -= dwm * part[:, None, None]
+        self.bm[seen] -= np.add.reduceat(g, np.array(cuts)[seen], axis=0) * part[seen, None]
         self.wc -= rate * 4 * dwc
         self.bc -= rate * dbc
-        gz = gh * (1 - h * h)
-        self.shift -= rate * gz.mean(0)
+        gh *= np.float32(-rate) * (1 - h * h)
+        self.shift += gh.mean(0)
         # each cell of the tables is changed once a batch, by the sum over its words
         cells = (context + np.arange(len(PLACES)) * (SYMBOLS + 1)).T.ravel()
-        cells = np.sort(cells * n + np.tile(np.arange(n), len(PLACES)))
-        change = (-rate * gz).astype(np.float32)[cells % n]
+        cells = np.sort(cells * n + np.tile(at, len(PLACES)))
+        change = gh[cells % n]
         cells //= n
         first = np.flatnonzero(np.concatenate([[True], cells[1:] != cells[:-1]]))
         self.table.reshape(-1, DIM)[cells[first]] += np.add.reduceat(change, first, axis=0)
@@ -267,21 +304,24 @@ def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", model:
             folded = ~np.isnan(share)
             logs = net.log_probability(symbol, windows(symbol, doc)) + np.where(folded, share, 0)
             w, d = h[folded], doc[folded]
+            gain, is_known = known.gains(w)
+            sure = np.bincount(d, gain, n).astype(np.int64)  # whole numbers under 2 ** 53: exact in any order
+            w, d = w[~is_known], d[~is_known]
             order = np.lexsort((w, d))
             w, d = w[order], d[order]
             first = np.flatnonzero(np.concatenate([[True], (w[1:] != w[:-1]) | (d[1:] != d[:-1])])) if len(w) else np.empty(0, np.int64)
             ends = np.searchsorted(d[first], np.arange(n + 1)).astype(np.int32)
             lists = [pa.ListArray.from_arrays(ends, pa.array(x)) for x in (w[first], np.diff(np.append(first, len(w))))]
-            return [np.bincount(doc, minlength=n).astype(np.int64), np.bincount(doc, logs, n), *lists]
+            return [np.bincount(doc, minlength=n).astype(np.int64), np.bincount(doc, logs, n), *lists, sure]
 
         return kernel
 
-    fields = {"n_words": "bigint", "pseudo_log_likelihood": "double", "mean_log_probability": "array<bigint>", "__times": "array<bigint>"}
+    fields = {"n_words": "bigint", "pseudo_log_likelihood": "double", "mean_log_probability": "array<bigint>", "__times": "array<bigint>", "__sure": "bigint"}
     rows = map_text(df, text_col, fields, make, [id_col]).withColumnRenamed("mean_log_probability", "__words")
     rows = staged(rows.withColumn("__row", F.monotonically_increasing_id()), "scored")
     each = rows.select("__row", F.explode(F.arrays_zip("__words", "__times")).alias("w")).select("__row", F.col("w.__words").alias("word"), F.col("w.__times").alias("times"))
     gained = each.join(gains, "word").groupBy("__row").agg((F.sum(F.col("times") * F.col("gain")) / NANO).alias("__gain"))
-    total = F.col("pseudo_log_likelihood") + F.coalesce("__gain", F.lit(0.0))
+    total = F.col("pseudo_log_likelihood") + F.col("__sure") / NANO + F.coalesce("__gain", F.lit(0.0))
     mean = F.when(F.col("n_words") > 0, F.round(total / F.col("n_words"), 6))
     kept = [c for c in rows.columns if not c.startswith("__") and c not in ("n_words", "pseudo_log_likelihood")]
     return rows.join(gained, "__row", "left").select(*kept, "n_words", F.round(total, 4).alias("pseudo_log_likelihood"), mean.alias("mean_log_probability"))
