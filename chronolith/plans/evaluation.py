@@ -286,9 +286,10 @@ def isotonic(spark: S, sf: str) -> DataFrame:
     return out_of_sample(spark, sf, "isotonic")
 
 
-@query()
+@query(recursive.INDICATOR_SET)
 def indicator_set(spark: S, sf: str) -> DataFrame:
-    return indicators(hourly(spark, sf).select("key", "h", "close", "volume"))
+    i = indicators(hourly(spark, sf).select("key", "h", "close", "volume"))
+    return i.select("key", "h", "hours", *[r(F.col(c)).alias(c) for c in recursive.INDICATOR_NAMES])
 
 
 def account_days(spark: S, sf: str) -> DataFrame:

@@ -11,6 +11,7 @@ from ..operators import grid as G
 from ..operators import stats, views
 from ..operators.indicators import indicators
 from ..sources import tables
+from . import recursive
 from .base import CANDLES, DAILY, FORECAST, GRID, SIGNALS, daily, forecast, grid, hourly, query, r, signals
 from .evaluation import MODEL
 from .series import LOGS, log_returns
@@ -92,7 +93,7 @@ def exchange_fills(spark: S, sf: str) -> DataFrame:
     return f.groupBy("key").agg(F.count("*").alias("orders"), F.count(F.when(F.col("refused"), 1)).alias("refused"), r(total(F.col("amount")), 4).alias("filled"), r(total(F.col("fee"))).alias("fees"), r(total(F.col("units"))).alias("position"))
 
 
-@query()
+@query(recursive.CATEGORY_SCORES)
 def category_scores(spark: S, sf: str) -> DataFrame:
     """Trend, momentum and place in the bands from the indicators themselves, and their weighted decision."""
     close = hourly(spark, sf).select("key", "h", "close")

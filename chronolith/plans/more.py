@@ -13,6 +13,7 @@ from ..operators import joins as J
 from ..operators import models, stats
 from ..operators import windows as W
 from ..sources import payloads, tables
+from . import recursive
 from .base import CANDLES, DAILY, FORECAST, GRID, RETURNS, SIGNALS, daily, forecast, forward, grid, hourly, query, r, signals
 
 S = SparkSession
@@ -110,14 +111,17 @@ def correlation_matrix(spark: S, sf: str) -> DataFrame:
     return c.select("key", cells.alias("x")).select("key", "x.*")
 
 
-@query()
+INFLATED = ("open", "close", "volume", "trades")
+
+
+@query(recursive.inflation(INFLATED))
 def inflation_factors(spark: S, sf: str) -> DataFrame:
     """Variance inflation of each column: the diagonal of the inverse of the correlation matrix, one aggregate pass."""
-    columns = ["open", "close", "volume", "trades"]
+    columns = INFLATED
     c = hourly(spark, sf)
     got = c.agg(*[F.corr(F.col(a).cast("double"), F.col(b).cast("double")).alias(f"{i}_{j}") for i, a in enumerate(columns) for j, b in enumerate(columns)]).first()
     m = np.array([[got[f"{i}_{j}"] if got[f"{i}_{j}"] is not None else float(i == j) for j in range(4)] for i in range(4)])
-    return spark.createDataFrame([(c, float(v)) for c, v in zip(columns, np.diag(np.linalg.pinv(m)), strict=True)], "feature string, vif double")
+    return spark.createDataFrame([(c, round(float(v), 6)) for c, v in zip(columns, np.diag(np.linalg.pinv(m)), strict=True)], "feature string, vif double")
 
 
 @query(f"WITH {SIGNALS}, d AS (SELECT key, h // 24 AS d, avg(score) AS score, count(*) AS n FROM sig GROUP BY 1, 2) SELECT key, d, round(score, 6) AS score, CASE WHEN score >= 0.15 THEN 'BUY' WHEN score <= -0.15 THEN 'SELL' ELSE 'HOLD' END AS vote FROM d WHERE n >= 6")

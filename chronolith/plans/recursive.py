@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .base import DAILY, FORECAST, SIGNALS
+from .base import CANDLES, DAILY, FORECAST, SIGNALS
 
 #: Days with the price and whether it is above its mean of ten days.
 DAYS = DAILY + """,
@@ -101,3 +101,35 @@ BOOK_WALK = """WITH l AS (SELECT event_type, user_id, 100 + value / 100 AS price
 a AS (SELECT *, price * size AS worth, sum(price * size) OVER (PARTITION BY event_type, user_id ORDER BY price, size ROWS UNBOUNDED PRECEDING) AS upto FROM l),
 b AS (SELECT event_type, user_id, max(upto) AS whole, sum(greatest(least(worth, 5000.0 - (upto - worth)), 0.0) / price) AS size FROM a GROUP BY 1, 2)
 SELECT event_type, user_id, round(CASE WHEN whole >= 5000.0 - 1e-9 THEN 5000.0 / size END, 6) AS fill FROM b"""
+
+#: Indicators of each candle's window, a reduction of the list of its closes: last close, two exponential means, signal, gain, loss.
+INDICATORS = f"""WITH {CANDLES}, i0 AS (SELECT key, h, close, h - row_number() OVER (PARTITION BY key ORDER BY h) AS seg FROM candles),
+i1 AS (SELECT key, h, close, list(close) OVER (PARTITION BY key, seg ORDER BY h ROWS 249 PRECEDING) AS c FROM i0),
+i2 AS (SELECT key, h, close, c, list_reduce(list_transform(c, lambda v: {{'v': v, 'f': v, 's': v, 'g': NULL::DOUBLE, 'up': NULL::DOUBLE, 'dn': NULL::DOUBLE, 'k': 0}}), lambda a, x: {{'v': x.v, 'f': x.v * 2 / 13 + a.f * 11 / 13, 's': x.v * 2 / 27 + a.s * 25 / 27,
+  'g': CASE WHEN a.k >= 24 THEN CASE WHEN a.k = 24 THEN 1 ELSE 0.2::DOUBLE END * ((x.v * 2 / 13 + a.f * 11 / 13) - (x.v * 2 / 27 + a.s * 25 / 27)) + CASE WHEN a.k = 24 THEN 0 ELSE 0.8::DOUBLE * a.g END END,
+  'up': greatest(x.v - a.v, 0) / CASE WHEN a.k = 0 THEN 1 ELSE 14 END + CASE WHEN a.k = 0 THEN 0 ELSE a.up * 13 / 14 END, 'dn': greatest(a.v - x.v, 0) / CASE WHEN a.k = 0 THEN 1 ELSE 14 END + CASE WHEN a.k = 0 THEN 0 ELSE a.dn * 13 / 14 END, 'k': a.k + 1}}) AS z FROM i1),
+ind AS (SELECT key, h, close, len(c)::INT AS hours, CASE WHEN len(c) >= 50 THEN list_avg(c[-50:]) END AS sma_short, CASE WHEN len(c) >= 200 THEN list_avg(c[-200:]) END AS sma_long, CASE WHEN len(c) >= 15 THEN CASE WHEN z.dn = 0 THEN 100.0 ELSE 100 - 100 / (1 + z.up / z.dn) END END AS rsi,
+  CASE WHEN len(c) >= 35 THEN z.f - z.s END AS macd, CASE WHEN len(c) >= 35 THEN z.g END AS macd_signal, CASE WHEN len(c) >= 35 THEN z.f - z.s - z.g END AS macd_histogram,
+  CASE WHEN len(c) >= 20 THEN list_avg(c[-20:]) - 2 * list_aggregate(c[-20:], 'stddev_pop') END AS bb_lower, CASE WHEN len(c) >= 20 THEN list_avg(c[-20:]) + 2 * list_aggregate(c[-20:], 'stddev_pop') END AS bb_upper FROM i2)"""
+INDICATOR_NAMES = ("sma_short", "sma_long", "rsi", "macd", "macd_signal", "macd_histogram", "bb_lower", "bb_upper")
+INDICATOR_SET = INDICATORS + " SELECT key, h, hours, " + ", ".join(f"round({n}, 6) AS {n}" for n in INDICATOR_NAMES) + " FROM ind"
+CATEGORY_SCORES = INDICATORS + """,
+t AS (SELECT *, CASE WHEN sma_short IS NOT NULL THEN greatest(least((close - sma_short) / sma_short / 0.10, 1.0), -1.0) END AS trend, CASE WHEN rsi IS NOT NULL THEN greatest(least((rsi - 50) / 50, 1.0), -1.0) END AS a, CASE WHEN macd_histogram IS NOT NULL THEN greatest(least(macd_histogram / close / 0.005, 1.0), -1.0) END AS b, (close - bb_lower) / (bb_upper - bb_lower) AS place FROM ind),
+m AS (SELECT *, CASE WHEN a IS NULL AND b IS NULL THEN NULL ELSE (coalesce(a, 0) + coalesce(b, 0)) / ((a IS NOT NULL)::INT + (b IS NOT NULL)::INT) END AS momentum FROM t),
+n AS (SELECT *, CASE WHEN trend IS NULL THEN 0 ELSE 0.3::DOUBLE END + CASE WHEN momentum IS NULL THEN 0 ELSE 0.25::DOUBLE END AS held FROM m), o AS (SELECT *, CASE WHEN held > 0 THEN (coalesce(trend, 0) * 0.3 + coalesce(momentum, 0) * 0.25) / held END AS score FROM n)
+SELECT key, h, round(trend, 6) AS trend, round(momentum, 6) AS momentum, CASE WHEN place <= 0.15 THEN 'lower' WHEN place >= 0.85 THEN 'upper' WHEN place IS NOT NULL THEN 'middle' END AS band, round(score, 6) AS score, round(held / 0.55, 6) AS completeness, CASE WHEN score >= 0.15 THEN 'BUY' WHEN score <= -0.15 THEN 'SELL' ELSE 'HOLD' END AS signal FROM o"""
+
+
+def inflation(columns: tuple[str, str, str, str]) -> str:
+    """The diagonal of the inverse of a 4 x 4 correlation matrix, by minors."""
+    cells = ", ".join(f"coalesce(corr({a}, {b}), {float(i == j)}) AS m{i}{j}" for i, a in enumerate(columns) for j, b in enumerate(columns))
+
+    def minor(rows: list[int], cols: list[int]) -> str:
+        if len(rows) == 1:
+            return f"m{rows[0]}{cols[0]}"
+        parts = [f"{'+' if k % 2 == 0 else '-'} m{rows[0]}{c} * ({minor(rows[1:], [x for x in cols if x != c])})" for k, c in enumerate(cols)]
+        return " ".join(parts).lstrip("+ ")
+
+    every = [0, 1, 2, 3]
+    rows = " UNION ALL ".join(f"SELECT '{c}' AS feature, round(({minor([x for x in every if x != i], [x for x in every if x != i])}) / ({minor(every, every)}), 6) AS vif FROM m" for i, c in enumerate(columns))
+    return f"WITH {CANDLES}, m AS (SELECT {cells} FROM candles) {rows}"
