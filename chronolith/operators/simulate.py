@@ -64,25 +64,26 @@ class Rule:
         return next((reason for reason, is_hit in hit.items() if is_hit), None)
 
 
-def full_step(a: Account, price: float, desired: float | None, rule: Rule, fee: float) -> str:
-    """All in or all out; returns what happened. A protective stop against the signal blocks entries until it wants out."""
+def full_step(a: Account, price: float, desired: float | None, rule: Rule, fee: float, spread: float = 0.0) -> str:
+    """All in or all out; returns what happened. A protective stop against the signal blocks entries until it wants out. spread: how
+    far bids and asks are from the price, as a share of it."""
     action = "keep"
     if a.units > 0:
         a.held, a.peak = a.held + 1, max(a.peak, price)
         reason = rule.exit_reason(a, price, desired)
         if reason:
-            a.sell(a.units, price, fee)
+            a.sell(a.units, price * (1 - spread), fee)
             a.entry, a.peak, a.held, a.blocked = 0.0, 0.0, 0, reason in PROTECTIVE
             action = reason
     elif desired == 1 and not a.blocked:
-        a.buy(a.cash, price, fee)
+        a.buy(a.cash, price * (1 + spread), fee)
         a.entry, a.peak, a.held = price, price, 0
         action = "enter"
     a.blocked = a.blocked and desired != 0
     return action
 
 
-def sized_step(a: Account, price: float, desired: float | None, size: float, fee: float) -> str:
+def sized_step(a: Account, price: float, desired: float | None, size: float, fee: float, spread: float = 0.0) -> str:
     """Holds a share ``size`` while in; trades on entering, leaving, or when the share is off by the band."""
     if desired in (0, 1):
         a.inside = desired == 1
@@ -93,33 +94,45 @@ def sized_step(a: Account, price: float, desired: float | None, size: float, fee
         return "keep"
     change = target * total - worth
     if change > 0 and a.cash > 0:
-        a.buy(min(change, a.cash), price, fee)
+        a.buy(min(change, a.cash), price * (1 + spread), fee)
     elif change < 0:
-        a.sell(a.units if kind == "leave" else min(a.units, -change / price), price, fee)
+        bid = price * (1 - spread)
+        a.sell(a.units if kind == "leave" else min(a.units, -change / bid), bid, fee)
     else:
         return "keep"
     return kind
 
 
+LEDGER = ["action", "cash", "units", "value", "trades"]
+
+
+def strategy_accounts(asked: DataFrame, rules: dict[str, Rule], books: dict[str, tuple[float, float]], by: str = "key", time: str = "d") -> DataFrame:
+    """A ledger row a (series, rule, book, day): action, cash, units, value and trades. asked: by, rule, time, price, desired and size;
+    books: fee and spread by name. Days without a price are not seen; an unknown size counts as a quarter."""
+    kind = asked.schema[by].dataType.simpleString()
+    schema = f"{by} {kind}, rule string, book string, {time} bigint, action string, cash double, units double, value double, trades int"
+
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        rule, (fee, spread), a, out = rules[key[1]], books[key[2]], Account(), []
+        pdf = pdf[pdf["price"] > 0].sort_values(time)
+        for t, price, desired, size in zip(*(pdf[c].tolist() for c in (time, "price", "desired", "size")), strict=True):
+            desired = None if desired is None or desired != desired else desired
+            if rule.sized:
+                action = sized_step(a, price, desired, 0.25 if size is None or size != size else size, fee, spread)
+            else:
+                action = full_step(a, price, desired, rule, fee, spread)
+            out.append((*key, t, action, a.cash, a.units, a.value(price), a.trades))
+        return pd.DataFrame(out, columns=[by, "rule", "book", time, *LEDGER])
+
+    numbers = [F.col(c).cast("double").alias(c) for c in ("price", "desired", "size")]
+    each = asked.select(by, "rule", time, *numbers, F.explode(F.array(*[F.lit(b) for b in books])).alias("book"))
+    return each.groupBy(by, "rule", "book").applyInPandas(run, schema)
+
+
 def paper_accounts(days: DataFrame, rules: dict[str, Rule], by: str = "key", time: str = "d", fee: float = 0.001) -> DataFrame:
-    """A ledger row a (series, rule, day): action, cash, units and value. days: by, time, price, desired, size."""
-    kind = days.schema[by].dataType.simpleString()
-    names = F.array(*[F.lit(n) for n in rules])
-    schema = f"{by} {kind}, rule string, {time} bigint, action string, cash double, units double, value double, trades int"
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        rule, account, out = rules[pdf["rule"].iloc[0]], Account(), []
-        for r in pdf.sort_values(time).itertuples(index=False):
-            price, desired = r.price, None if pd.isna(r.desired) else float(r.desired)
-            if pd.isna(price) or price <= 0:
-                continue
-            size = 0.25 if pd.isna(r.size) else float(r.size)
-            action = sized_step(account, price, desired, size, fee) if rule.sized else full_step(account, price, desired, rule, fee)
-            out.append((getattr(r, by), r.rule, getattr(r, time), action, account.cash, account.units, account.value(price), account.trades))
-        return pd.DataFrame(out, columns=[by, "rule", time, "action", "cash", "units", "value", "trades"])
-
-    asked = days.select(by, time, F.col("price").cast("double").alias("price"), F.col("desired").cast("double").alias("desired"), F.col("size").cast("double").alias("size"), F.explode(names).alias("rule"))
-    return asked.groupBy(by, "rule").applyInPandas(run, schema)
+    """The ledger of rules that all want the same of a day, in one book without a spread. days: by, time, price, desired, size."""
+    asked = days.select(by, time, "price", "desired", "size", F.explode(F.array(*[F.lit(n) for n in rules])).alias("rule"))
+    return strategy_accounts(asked, rules, {"model": (fee, 0.0)}, by, time).drop("book")
 
 
 @dataclass(frozen=True)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import scalar, scoring
 from ..functions.features import features
 from ..operators import grid as G
-from ..operators import stats, views
+from ..operators import simulate, stats, strategies, views
 from ..operators.indicators import indicators
 from ..sources import tables
 from . import recursive
@@ -101,3 +101,20 @@ def category_scores(spark: S, sf: str) -> DataFrame:
     parts = {"trend": scoring.trend_score(F.col("close"), F.col("sma_short")), "momentum": scoring.momentum_score(F.col("rsi"), F.col("macd_histogram"), F.col("close"))}
     score, held = scoring.combine(parts)
     return i.select("key", "h", *[r(c).alias(n) for n, c in parts.items()], scoring.band_position(F.col("close"), F.col("bb_lower"), F.col("bb_upper")).alias("band"), r(score).alias("score"), r(held).alias("completeness"), scoring.decide(score).alias("signal"))
+
+
+#: Fee and spread of the two books: the model's own, and a venue's.
+BOOKS = {"model": (0.001, 0.0), "venue": (0.0125, 0.002)}
+
+
+@query(recursive.strategy_books(BOOKS))
+def strategy_books(spark: S, sf: str) -> DataFrame:
+    """The 118 daily strategies in both books, over the mean of ten days' order totals."""
+    w = Window.orderBy("d")  # a row a day
+    mean = daily(spark, sf).select(F.lit("orders").alias("key"), "d", F.avg("total").over(w.rowsBetween(-9, 0)).alias("price"))
+    grid_ = G.densify(mean, "d", ("key",)).withColumn("r", F.col("price") / F.lag("price").over(w) - 1)
+    sig = F.when(F.col("r") > 0.01, 1).when(F.col("r") < -0.01, -1).when(F.col("r").isNotNull(), 0)
+    days = grid_.select("key", "d", "price", sig.alias("sig23"), scalar.clamp(F.col("r") * 5).alias("vote"), F.when(F.col("d") % 5 != 0, F.col("d") % 7 / 10).alias("pbar"))
+    rules = {n: x.rule for n, x in strategies.strategies().items()}
+    ledger = simulate.strategy_accounts(strategies.wishes(strategies.inputs(days)), rules, BOOKS)
+    return ledger.groupBy("rule", "book").agg(F.count("*").alias("days"), r(F.max_by("value", "d")).alias("final"), F.max("trades").alias("trades"))

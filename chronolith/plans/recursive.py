@@ -133,3 +133,45 @@ def inflation(columns: tuple[str, str, str, str]) -> str:
     every = [0, 1, 2, 3]
     rows = " UNION ALL ".join(f"SELECT '{c}' AS feature, round(({minor([x for x in every if x != i], [x for x in every if x != i])}) / ({minor(every, every)}), 6) AS vif FROM m" for i, c in enumerate(columns))
     return f"WITH {CANDLES}, m AS (SELECT {cells} FROM candles) {rows}"
+
+
+def strategy_books(books: dict[str, tuple[float, float]]) -> str:
+    """Days, last value and trades of each of the 118 strategies in each book, over daily order totals."""
+    back, means = (1, 7, 14, 28, 56, 84, 182), (20, 50, 100, 200)
+    windows = ", ".join(f"w{n} AS (PARTITION BY key ORDER BY d ROWS {n - 1} PRECEDING)" for n in means) + ", " + ", ".join(f"p{n} AS (PARTITION BY key ORDER BY d ROWS BETWEEN {n} PRECEDING AND 1 PRECEDING)" for n in (10, 20, 55)) + ", o AS (PARTITION BY key ORDER BY d)"
+    wants = {"A_sig23": "CASE sig23 WHEN 1 THEN 1 WHEN -1 THEN 0 END", "A_vote": "CASE WHEN vote >= 0.15 THEN 1 WHEN vote <= -0.15 THEN 0 END", "A_confirm2": "CASE WHEN sig23 = 1 AND sb = 1 THEN 1 WHEN sig23 = -1 AND sb = -1 THEN 0 END"}
+    base = {f"B_{n}": f"({n} > 0)::INT" for n in (*[f"R{k}" for k in back[1:]], *[f"MA{n}" for n in means], "X20_100", "X50_200")}
+    base |= {f"B_TREND{n}": f"(TREND >= {x})::INT" for n, x in (("02", 0.2), ("06", 0.6), ("10", 0.999))}
+    base |= {f"C_MA{n}_b{b}": f"CASE WHEN MA{n} > {b / 100} THEN 1 WHEN MA{n} < -{b / 100} THEN 0 END" for n in (50, 100, 200) for b in (1, 3, 5)}
+    base |= {f"G_up{n}_down{m}": f"CASE WHEN price > HI{n} THEN 1 WHEN price < LO{m} THEN 0 END" for n in (20, 55) for m in (10, 20)}
+    plain = wants | base
+    plain |= {f"D_{n}_{g}": f"CASE WHEN NOT coalesce({ok}, false) THEN 0 ELSE {wants['A_' + n]} END" for n in ("sig23", "vote") for g, ok in (("ma200", "MA200 > 0"), ("trend", "TREND >= 0.6"))}
+    plain |= {"E_calm_ma200": "CASE WHEN calm IS NOT NULL THEN (calm AND coalesce(MA200 > 0, false))::INT END", "E_calm": "calm::INT", "BASE_buy_and_hold": "1", "BASE_cash": "0"}
+    rows = [(k, v, "NULL", "NULL", "NULL", "NULL") for k, v in plain.items()]
+    rows += [(f"F_dip{x}_hold{h}", f"CASE WHEN R1 <= -{x / 100} THEN 1 END", "NULL", "NULL", str(h), "NULL") for x in (3, 5, 8) for h in (3, 7, 14)]
+    for k, v in {**base, "BH": "1"}.items():
+        rows += [(f"H_{k}_sl10", v, "0.10", "NULL", "NULL", "NULL"), (f"H_{k}_tr15", v, "NULL", "0.15", "NULL", "NULL")]
+    shares = {"msmore": "(pbar - 0.20::DOUBLE) / 0.40::DOUBLE", "msless": "(0.60::DOUBLE - pbar) / 0.40::DOUBLE", "vol": "CASE WHEN sigma > 0 THEN 0.0294::DOUBLE / sigma END"}
+    rows += [(f"MS_{k}_{m}", plain.get(k, "1"), "NULL", "NULL", "NULL", f"CASE WHEN {x} IS NULL THEN 0.25 ELSE greatest(0.25, least(1.0, {x})) END") for k in ("G_up55_down20", "C_MA100_b5", "A_sig23", "BH") for m, x in shares.items()]
+    each = ", ".join(f"{{'rule': '{n}', 'desired': ({v})::INT, 'sl': {sl}::DOUBLE, 'tr': {tr}::DOUBLE, 'ts': {ts}::INT, 'sized': {'true' if z != 'NULL' else 'false'}, 'size': ({z})::DOUBLE}}" for n, v, sl, tr, ts, z in rows)
+    venue = ", ".join(f"('{k}', {fee}::DOUBLE, {spread}::DOUBLE)" for k, (fee, spread) in books.items())
+    return f"""WITH RECURSIVE {DAILY}, s0 AS (SELECT unnest(range((SELECT min(d) FROM daily), (SELECT max(d) + 1 FROM daily))) AS d), dm AS (SELECT d, avg(total) OVER (ORDER BY d ROWS 9 PRECEDING) AS price FROM daily), s1 AS (SELECT 'orders' AS key, s0.d, price FROM s0 LEFT JOIN dm USING (d)),
+s2 AS (SELECT *, ln(price) - ln(lag(price) OVER o) AS lr, {", ".join(f"price / lag(price, {k}) OVER o - 1 AS R{k}" for k in back)} FROM s1 WINDOW o AS (PARTITION BY key ORDER BY d)),
+s3 AS (SELECT *, CASE WHEN count(lr) OVER m >= 20 THEN stddev_samp(lr) OVER m END AS sigma FROM s2 WINDOW m AS (PARTITION BY key ORDER BY d ROWS 29 PRECEDING)),
+s4 AS (SELECT *, CASE WHEN R1 > 0.01 THEN 1 WHEN R1 < -0.01 THEN -1 WHEN R1 IS NOT NULL THEN 0 END AS sig23, CASE WHEN R1 IS NOT NULL THEN greatest(-1.0, least(1.0, R1 * 5)) END AS vote, CASE WHEN d % 5 <> 0 THEN (d % 7) / 10 END AS pbar FROM s3 WHERE price IS NOT NULL),
+s5 AS (SELECT *, {", ".join(f"CASE WHEN count(price) OVER w{n} = {n} THEN avg(price) OVER w{n} END AS SMA{n}" for n in means)}, {", ".join(f"CASE WHEN count(price) OVER p{n} = {n} THEN {f}(price) OVER p{n} END AS {c}{n}" for c, f, of in (("HI", "max", (20, 55)), ("LO", "min", (10, 20))) for n in of)},
+  lag(sig23) OVER o AS sb, row_number() OVER o AS i, quantile_cont(sigma, 0.5) OVER (PARTITION BY key ORDER BY d ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS median FROM s4 WINDOW {windows}),
+s6 AS (SELECT *, {", ".join(f"price / SMA{n} - 1 AS MA{n}" for n in means)}, SMA20 / SMA100 - 1 AS X20_100, SMA50 / SMA200 - 1 AS X50_200, (sign(R7) + sign(R14) + sign(R28) + sign(R84) + sign(R182)) / 5 AS TREND, sigma <= median AS calm FROM s5),
+a0 AS (SELECT key, i, price, unnest([{each}], recursive := true) FROM s6), b0(book, fee, spread) AS (VALUES {venue}),
+f AS (SELECT DISTINCT key, rule, sl, tr, ts, sized, book, fee, spread, 0::BIGINT AS i, 1000.0::DOUBLE AS cash, 0.0::DOUBLE AS units, 0.0::DOUBLE AS entry, 0.0::DOUBLE AS peak, 0 AS held, false AS blocked, false AS inside, 0.0::DOUBLE AS price, 0 AS trades FROM a0 CROSS JOIN b0
+UNION ALL
+SELECT key, rule, sl, tr, ts, sized, book, fee, spread, i, cash - amount + (sold * bid - sold * bid * fee), greatest(units + (amount - amount * fee) / ask - sold, 0.0), CASE WHEN sized THEN 0 WHEN action = 'enter' THEN price WHEN sold > 0 THEN 0 ELSE entry END, CASE WHEN sized THEN 0 WHEN action = 'enter' THEN price WHEN sold > 0 THEN 0 ELSE peak END,
+  CASE WHEN action = 'enter' OR sold > 0 THEN 0 ELSE held END, (desired IS NULL OR desired <> 0) AND (CASE WHEN sold > 0 AND NOT sized THEN action IN ('stop_loss', 'trailing_stop') ELSE blocked END), inside, price, trades + (amount > 0 OR sold > 0)::INT
+FROM (SELECT *, CASE WHEN NOT sized AND action = 'enter' THEN cash WHEN sized AND action IN ('enter', 'resize') AND off > 0 THEN least(off, cash) ELSE 0.0 END AS amount,
+    CASE WHEN action IN ('stop_loss', 'trailing_stop', 'time_stop', 'signal', 'leave') THEN units WHEN sized AND action = 'resize' AND off < 0 THEN least(units, -off / bid) ELSE 0.0 END AS sold
+  FROM (SELECT *, target * total - units * price AS off, CASE WHEN sized THEN CASE WHEN target > 0 AND units = 0 THEN 'enter' WHEN target = 0 AND units > 0 THEN 'leave' WHEN abs(target - units * price / total) < 0.2 THEN 'keep' ELSE 'resize' END
+      WHEN units > 0 THEN CASE WHEN price <= entry * (1 - sl) THEN 'stop_loss' WHEN price <= peak * (1 - tr) THEN 'trailing_stop' WHEN held >= ts THEN 'time_stop' WHEN desired = 0 THEN 'signal' ELSE 'keep' END
+      WHEN desired = 1 AND NOT blocked THEN 'enter' ELSE 'keep' END AS action
+    FROM (SELECT f.key, f.rule, f.sl, f.tr, f.ts, f.sized, book, fee, spread, a0.i, a0.price, a0.price * (1 + spread) AS ask, a0.price * (1 - spread) AS bid, a0.desired, cash, units, entry, CASE WHEN units > 0 THEN greatest(peak, a0.price) ELSE peak END AS peak, held + (units > 0)::INT AS held, blocked, trades,
+        cash + units * a0.price AS total, coalesce(a0.desired = 1, inside) AS inside, CASE WHEN coalesce(a0.desired = 1, inside) THEN a0.size ELSE 0.0 END AS target FROM f JOIN a0 ON a0.i = f.i + 1 AND a0.key = f.key AND a0.rule = f.rule))))
+SELECT rule, book, count(*) AS days, round(arg_max(cash + units * price, i), 6) AS final, max(trades) AS trades FROM f WHERE i > 0 GROUP BY 1, 2"""

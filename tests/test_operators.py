@@ -10,6 +10,7 @@ from difflib import SequenceMatcher
 from functools import reduce
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -18,7 +19,7 @@ from chronolith import cli
 from chronolith.functions import features as feature_columns
 from chronolith.functions import scalar, scoring
 from chronolith.operators import grid as G
-from chronolith.operators import indicators, joins, models, simulate, stats, views, windows
+from chronolith.operators import indicators, joins, models, simulate, stats, strategies, views, windows
 from chronolith.sources import context, paged, payloads, sinks, tables
 from chronolith.streaming import live
 
@@ -551,3 +552,30 @@ def test_boosted_trees(spark):
     df = frame(spark, rows, "h long, a double, b double, y double")
     got = models.boosted(df.where("h < 300"), df.where("h >= 300"), ["a", "b"], "y").toPandas()
     assert len(got) == 100 and ((got.p > 0.5) == (got.y > 0.5)).mean() > 0.95
+
+
+def test_strategy_set(spark):
+    """118 strategies; what each wants and how large, on a made-up series, against plain pandas for some."""
+    rng = np.random.default_rng(8)
+    price = 100 * np.exp(np.cumsum(rng.normal(scale=0.03, size=260)))
+    rows = [("a", d, float(p), int(rng.integers(-1, 2)), float(rng.uniform(-0.3, 0.3)), float(rng.uniform(0, 1))) for d, p in enumerate(price) if d != 100]
+    got = strategies.wishes(strategies.inputs(frame(spark, rows, "key string, d long, price double, sig23 int, vote double, pbar double"))).toPandas()
+    assert got["rule"].nunique() == len(strategies.strategies()) == 118 and len(got) == 118 * 259
+    wide, sizes = got.pivot(index="d", columns="rule", values="desired"), got.pivot(index="d", columns="rule", values="size")
+    have = pd.Series(price).drop(100)
+    week = pd.Series(price).where(pd.Series(range(260)) != 100)
+    back = (week / week.shift(7) - 1).drop(100)
+    pd.testing.assert_series_equal(wide["B_R7"], (back > 0).astype(float).where(back.notna()), check_names=False, check_index_type=False)
+    mean = have / have.rolling(50).mean() - 1
+    pd.testing.assert_series_equal(wide["C_MA50_b3"], pd.Series(np.where(mean > 0.03, 1.0, np.where(mean < -0.03, 0.0, np.nan)), have.index), check_names=False, check_index_type=False)
+    high, low = have.shift(1).rolling(20).max(), have.shift(1).rolling(10).min()
+    pd.testing.assert_series_equal(wide["G_up20_down10"], pd.Series(np.where(have > high, 1.0, np.where(have < low, 0.0, np.nan)), have.index), check_names=False, check_index_type=False)
+    assert (wide["BASE_cash"] == 0).all() and set(sizes["MS_BH_msmore"].dropna().between(0.25, 1)) == {True} and sizes["B_R7"].isna().all()
+
+
+def test_books_have_spreads():
+    a, b = simulate.Account(), simulate.Account()
+    assert simulate.full_step(a, 100, 1, simulate.Rule(), 0.0, 0.01) == "enter" and a.units == pytest.approx(1000 / 101)
+    assert simulate.full_step(a, 100, 0, simulate.Rule(), 0.0, 0.01) == "signal" and a.cash == pytest.approx(1000 * 99 / 101)
+    assert simulate.sized_step(b, 100, 1, 0.5, 0.0, 0.01) == "enter" and b.units == pytest.approx(500 / 101)
+    assert simulate.sized_step(b, 100, None, 0.5, 0.0, 0.01) == "keep" and b.inside
