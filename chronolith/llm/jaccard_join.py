@@ -3,9 +3,9 @@
 Texts become sets of hashed word shingles; equal sets are one class from the start, known by 128 bits of their tokens. The join
 then runs over classes:
 
-1. Similar classes are partitioned into groups: classes that share a band of minimum hashes meet the band's first and last class, links
-   that hold are kept, and connected classes are one cluster, dealt into groups of about GROUP classes. A cluster of thousands of near
-   copies thus takes a few pairs a copy.
+1. Similar classes are partitioned into groups: classes that share a band of minimum hashes meet two of the band, the one with the fewest
+   rare tokens, as the text that copies were made from has, and the last; links that hold are kept, and connected classes are one
+   cluster, dealt into groups of about GROUP classes. A cluster of thousands of near copies thus takes a few pairs a copy.
 2. Tokens get one order over the table: rare ones by hash, frequent ones after them by frequency, all counted over all classes. Sets
    of n and m tokens link when they share need(n, m) = ceil(t / (1 + t) * (n + m)) of them. The first token in that order that they
    share then stands so early that need(n, m) tokens are left in both from there on; so only the first n - ceil(t * n) + 1 tokens of a
@@ -47,6 +47,8 @@ FREQUENT, MOST_FREQUENT = 8, 1_000_000
 PACK, RANGE, PIECES = 500_000, 1_000_000, 1_000_000
 #: Ids broadcast at most (8 bytes each) to pick sets for comparison; more are joined by a shuffle.
 MOST_IDS = 1_000_000
+#: Files of narrow staged tables for each core.
+FILES = 2
 #: Rows of an Arrow batch; a row holds the tokens of a text or two, or packed tokens of a range.
 BATCH_ROWS, BLOBS = 200, 100
 
@@ -60,15 +62,24 @@ def needed(n: np.ndarray, m: np.ndarray, percent: int) -> np.ndarray:
     return (percent * (n + m) + 99 + percent) // (100 + percent)
 
 
+def planes(x: np.ndarray) -> bytes:
+    """Unsigned 32-bit integers byte by byte: the leading bytes of small ones are zeros that compress."""
+    return x.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def from_planes(raw, n: int) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8, 4 * n).reshape(4, n).T).view("<u4").ravel()
+
+
 def packed_set(tokens: np.ndarray) -> bytes:
-    """The leading 48 bits of sorted 64-bit hashes: two chances in a billion that some pair of unequal tokens of two texts of
-    500 words is taken for equal."""
-    return (tokens >> np.uint64(32)).astype("<u4").tobytes() + (tokens >> np.uint64(16)).astype("<u2").tobytes()
+    """The leading 48 bits of sorted 64-bit hashes, the first 32 of them as steps: two chances in a billion that some pair of unequal
+    tokens of two texts of 500 words is taken for equal."""
+    return planes(np.diff((tokens >> np.uint64(32)).astype(np.uint32), prepend=np.uint32(0))) + (tokens >> np.uint64(16)).astype("<u2").tobytes()
 
 
 def unpacked_set(raw) -> np.ndarray:
     n = len(raw) // 6
-    return (np.frombuffer(raw, "<u4", n).astype(np.uint64) << np.uint64(16)) | np.frombuffer(raw, "<u2", n, 4 * n).astype(np.uint64)
+    return (np.cumsum(from_planes(raw, n), dtype=np.uint64) << np.uint64(16)) | np.frombuffer(raw, "<u2", n, 4 * n).astype(np.uint64)
 
 
 def shingle_table(df: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
@@ -115,10 +126,10 @@ def shingle_table(df: DataFrame, id_col: str, text_col: str, width: int) -> Data
 def classes(base: DataFrame, path: str) -> DataFrame:
     """row, id, n, cid and bands: cid is the first row of equal sets (null without shingles), and that row alone has bands."""
     first_path = stage_path(base.sparkSession, "first")
-    first = staged(base.where("key IS NOT NULL").groupBy("key").agg(F.min("row").alias("first"), F.count("*").alias("rows")).where("rows > 1").select("key", "first"), "first", first_path)
+    first = staged(base.where("key IS NOT NULL").groupBy("key").agg(F.min("row").alias("first"), F.count("*").alias("rows")).where("rows > 1").select("key", "first"), "first", first_path, FILES)
     cid = F.when(F.col("key").isNotNull(), F.coalesce("first", "row"))
     rows = base.select("row", "id", "n", "key", "bands").join(first, "key", "left").select("row", "id", "n", cid.alias("cid"), F.when(cid == F.col("row"), F.col("bands")).alias("bands"))
-    rows = staged(rows, "rows", path)
+    rows = staged(rows, "rows", path, FILES)
     drop_path(base.sparkSession, first_path)
     return rows
 
@@ -127,10 +138,10 @@ def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b of classes) that link. sets: cid and tokens."""
     spark = pairs.sparkSession
     pairs_path = stage_path(spark, "pairs")
-    pairs = staged(pairs, "pairs", pairs_path)
+    pairs = staged(pairs, "pairs", pairs_path, FILES)
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct()
     ids_path = stage_path(spark, "ids")
-    wanted = staged(wanted, "ids", ids_path)
+    wanted = staged(wanted, "ids", ids_path, FILES)
     if wanted.count() <= MOST_IDS:
         wanted = F.broadcast(wanted)
     some_path = stage_path(spark, "sets")
@@ -149,7 +160,7 @@ def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], ["a", "b"])
 
     both = pairs.join(some.select(F.col("cid").alias("a"), F.col("tokens").alias("x")), "a").join(some.select(F.col("cid").alias("b"), F.col("tokens").alias("y")), "b")
-    links = staged(both.select("a", "b", "x", "y").mapInArrow(tidy(run), "a bigint, b bigint"), "links")
+    links = staged(both.select("a", "b", "x", "y").mapInArrow(tidy(run), "a bigint, b bigint"), "links", tasks=FILES)
     for path in (pairs_path, ids_path, some_path):
         drop_path(spark, path)
     return links
@@ -159,15 +170,15 @@ def components(links: DataFrame) -> DataFrame:
     """node and label: the smallest node reachable over links (a, b). Rounds of neighbours' least labels and label jumps."""
     spark = links.sparkSession
     edges_path, path = stage_path(spark, "edges"), stage_path(spark, "labels")
-    edges = staged(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges", edges_path)
-    labels = staged(edges.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("label")), "labels", path)
+    edges = staged(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges", edges_path, FILES)
+    labels = staged(edges.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("label")), "labels", path, FILES)
     while True:
         near = edges.join(labels, edges["b"] == labels["node"]).groupBy("a").agg(F.min("label").alias("m"))
         better = labels.join(near, labels["node"] == near["a"]).select("node", F.least("label", "m").alias("label"), F.col("label").alias("old"))
         jump = labels.select(F.col("node").alias("j"), F.col("label").alias("to"))
         better = better.join(jump, better["label"] == jump["j"], "left").select("node", F.least("label", "to").alias("label"), "old")
         new_path = stage_path(spark, "labels")
-        new = staged(better, "labels", new_path)
+        new = staged(better, "labels", new_path, FILES)
         changed = new.where("label < old").limit(1).count()
         drop_path(spark, path)
         labels, path = new.select("node", "label"), new_path
@@ -177,9 +188,11 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def star_links(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links between classes of equal bands and the first and last class of the band."""
-    band = rows.where("bands IS NOT NULL").select("cid", F.explode("bands").alias("band")).distinct()
-    hubs = band.groupBy("band").agg(F.min("cid").alias("a"), F.max("cid").alias("z")).where("a < z").select("band", F.explode(F.array("a", "z")).alias("hub"))
+    """Links between classes of equal bands and two of the band: the one with the fewest rare tokens, which near copies differ from least,
+    and the last. rows: cid, bands and rare."""
+    band = rows.where("bands IS NOT NULL").select("cid", "rare", F.explode("bands").alias("band")).distinct()
+    ends = band.groupBy("band").agg(F.min_by("cid", F.struct("rare", "cid")).alias("a"), F.min("cid").alias("first"), F.max("cid").alias("z"))
+    hubs = ends.where("first < z").select("band", F.explode(F.array_distinct(F.array("a", "z"))).alias("hub"))
     pairs = band.join(hubs, "band").where("cid <> hub").select(F.least("hub", "cid").alias("a"), F.greatest("hub", "cid").alias("b")).distinct()
     return verify(pairs, sets, percent)
 
@@ -234,10 +247,12 @@ def frequent_tokens(sets: DataFrame, ranges: int) -> tuple[np.ndarray, np.ndarra
         made = list(dealt([(tokens, n.astype(np.uint32))], ranges))
         for k in range(0, len(made), BLOBS):
             part = made[k : k + BLOBS]
-            yield pa.RecordBatch.from_arrays([pa.array([r for r, _ in part], pa.int32()), *[pa.array([c[j] for _, c in part], pa.binary()) for j in range(2)]], ["r", "blob", "n"])
+            steps = [planes(np.diff(np.frombuffer(c[0], np.uint32), prepend=np.uint32(0))) for _, c in part]
+            yield pa.RecordBatch.from_arrays([pa.array([r for r, _ in part], pa.int32()), pa.array(steps, pa.binary()), pa.array([c[1] for _, c in part], pa.binary())], ["r", "blob", "n"])
 
     def count(t: pa.Table) -> pa.Table:
-        tokens, n = (np.concatenate([np.frombuffer(x.as_buffer(), np.uint32) for x in t.column(c)]) for c in ("blob", "n"))
+        tokens = np.concatenate([np.cumsum(from_planes(x.as_buffer(), len(x.as_buffer()) // 4), dtype=np.uint32) for x in t.column("blob")])
+        n = np.concatenate([np.frombuffer(x.as_buffer(), np.uint32) for x in t.column("n")])
         order = np.argsort(tokens)
         tokens = tokens[order]
         first = starts(tokens)
@@ -247,7 +262,7 @@ def frequent_tokens(sets: DataFrame, ranges: int) -> tuple[np.ndarray, np.ndarra
         keys = (np.int64(t.column("r")[0].as_py()) << np.int64(32)) | tokens[first][often].astype(np.int64)
         return pa.table({"token": keys, "n": n[often].astype(np.int64)})
 
-    counts = staged(sets.where("tokens IS NOT NULL").select("tokens").mapInArrow(tidy(pack), "r int, blob binary, n binary").groupBy("r").applyInArrow(count, "token bigint, n bigint"), "frequent")
+    counts = staged(sets.where("tokens IS NOT NULL").select("tokens").mapInArrow(tidy(pack), "r int, blob binary, n binary").groupBy("r").applyInArrow(count, "token bigint, n bigint"), "frequent", tasks=FILES)
     level = FREQUENT
     while counts.where(F.col("n") >= level).count() > MOST_FREQUENT:
         level *= 2
@@ -256,27 +271,29 @@ def frequent_tokens(sets: DataFrame, ranges: int) -> tuple[np.ndarray, np.ndarra
 
 
 def probes(base: DataFrame, frequent: tuple[np.ndarray, np.ndarray], percent: int, ranges: int) -> DataFrame:
-    """cid, n and probe (keyed tokens in their order, as many as matter)."""
+    """cid, n, rare (how many of its tokens aren't frequent) and probe (keyed tokens in their order, as many as matter)."""
     shared = base.sparkSession.sparkContext.broadcast(frequent)
 
     def run(batches):
         hot, count = shared.value
         for batch in batches:
-            out = []
+            out, rare = [], []
             for x in batch.column(2):
                 tokens = np.sort(keyed(x.as_buffer(), ranges))
                 n = len(tokens)
+                rare.append(n)
                 most = n - int(ceil_part(n, percent)) + 1
                 if len(hot):
                     at = np.minimum(np.searchsorted(hot, tokens), len(hot) - 1)
                     rank = np.where(hot[at] == tokens, count[at], 0)
                     cold = np.flatnonzero(rank == 0)
+                    rare[-1] = len(cold)
                     pick = cold[:most] if len(cold) >= most else np.argsort(rank, kind="stable")[:most]
                     tokens = tokens[pick]
                 out.append(tokens[:most].tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.binary())], ["cid", "n", "probe"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(rare, pa.int64()), pa.array(out, pa.binary())], ["cid", "n", "rare", "probe"])
 
-    return base.where("tokens IS NOT NULL").select(F.col("row").alias("cid"), "n", "tokens").mapInArrow(tidy(run), "cid bigint, n bigint, probe binary")
+    return base.where("tokens IS NOT NULL").select(F.col("row").alias("cid"), "n", "tokens").mapInArrow(tidy(run), "cid bigint, n bigint, rare bigint, probe binary")
 
 
 def meetings(size: np.ndarray, first: np.ndarray):
@@ -383,25 +400,25 @@ def _components(df: DataFrame, id_col: str, text_col: str, width: int, percent:
     sets = base.where("tokens IS NOT NULL").select(F.col("row").alias("cid"), "tokens")
     total = base.where("tokens IS NOT NULL").agg(F.sum("n")).first()[0] or 0
     ranges = max(16, int(total // RANGE))
-    stars = star_links(rows, sets, percent)
-    cluster = components(stars).select(F.col("node").alias("cid"), F.col("label").alias("cluster"))
-    sizes = staged(cluster.groupBy("cluster").agg(F.count("*").alias("many")), "sizes")
-    cluster = cluster.join(sizes, "cluster")
-    cluster = staged(own.join(cluster, "cid", "left").select("cid", F.coalesce("cluster", "cid").alias("cluster"), F.coalesce("many", F.lit(1)).alias("many")), "clusters")
-    release(spark)
     frequent = frequent_tokens(base, ranges)
     release(spark)
-    probe = staged(probes(base, frequent, percent, ranges).join(cluster, "cid"), "probes", paths["probes"])
+    probe = staged(probes(base, frequent, percent, ranges), "probes", paths["probes"])
+    stars = star_links(rows.where("bands IS NOT NULL").join(probe.select("cid", "rare"), "cid"), sets, percent)
+    cluster = components(stars).select(F.col("node").alias("cid"), F.col("label").alias("cluster"))
+    sizes = staged(cluster.groupBy("cluster").agg(F.count("*").alias("many")), "sizes", tasks=FILES)
+    cluster = cluster.join(sizes, "cluster")
+    cluster = staged(own.join(cluster, "cid", "left").select("cid", F.coalesce("cluster", "cid").alias("cluster"), F.coalesce("many", F.lit(1)).alias("many")), "clusters", tasks=FILES)
     release(spark)
+    probe = probe.join(cluster, "cid")
     links = stars.unionByName(verify(matrix_candidates(probe, ranges, percent), sets, percent))
     drop_path(spark, paths["probes"])
     drop_path(spark, paths["shingles"])
     release(spark)
     whole = components(links).select(F.col("node").alias("cid"), "label")
-    marked = staged(rows.select("id", "n", "cid").join(whole, "cid", "left").select("id", "n", F.coalesce("label", "cid").alias("label")), "marked")
+    marked = staged(rows.select("id", "n", "cid").join(whole, "cid", "left").select("id", "n", F.coalesce("label", "cid").alias("label")), "marked", tasks=FILES)
     drop_path(spark, paths["rows"])
     least = marked.where("label IS NOT NULL").groupBy("label").agg(F.min("id").alias("least"))
-    out = marked.join(staged(least, "least"), "label", "left")
+    out = marked.join(staged(least, "least", tasks=FILES), "label", "left")
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("least", "id").alias("component_id"))
 
 
@@ -411,7 +428,7 @@ def keep_first(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
     rows = staged(df.withColumn("__key", F.monotonically_increasing_id()), "rows")
     first = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col("__key").alias("key"))
     marks = link_components(rows.select(first.alias("__first"), F.col(text_col).alias("text")), "__first", "text", width, percent)
-    gone = staged(marks.where(F.col("__first.key") != F.col("component_id.key")).select(F.col("__first.key").alias("__key")), "gone")
+    gone = staged(marks.where(F.col("__first.key") != F.col("component_id.key")).select(F.col("__first.key").alias("__key")), "gone", tasks=FILES)
     if gone.count() <= MOST_IDS:
         gone = F.broadcast(gone)
     return rows.join(gone, "__key", "left_anti").select(*df.columns)

@@ -29,11 +29,15 @@ def stage_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def staged(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
-    """The rows of df, written to the shared folder and read back: the lineage ends there and any executor can reread them."""
+def staged(df: DataFrame, name: str, path: str | None = None, tasks: int | None = None) -> DataFrame:
+    """The rows of df, written to the shared folder and read back: the lineage ends there and any executor can reread them.
+
+    tasks: at most so many files for each core of the cluster, for tables of narrow rows; else each partition writes its own.
+    """
     spark = df.sparkSession
     path = path or stage_path(spark, name)
-    df.write.mode("overwrite").parquet(path)
+    few = df if tasks is None else df.coalesce(tasks * spark.sparkContext.defaultParallelism)
+    few.write.mode("overwrite").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
