@@ -47,8 +47,8 @@ FREQUENT, MOST_FREQUENT = 8, 1_000_000
 PACK, RANGE, PIECES = 500_000, 1_000_000, 1_000_000
 #: Ids broadcast at most (8 bytes each) to pick sets for comparison; more are joined by a shuffle.
 MOST_IDS = 1_000_000
-#: Files of narrow staged tables for each core.
-FILES = 2
+#: Files of narrow staged tables for each core, and of those that wide rows are worked into.
+FILES, WORKED = 2, 4
 #: Rows of an Arrow batch; a row holds the tokens of a text or two, or packed tokens of a range.
 BATCH_ROWS, BLOBS = 200, 100
 
@@ -138,7 +138,7 @@ def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b of classes) that link. sets: cid and tokens."""
     spark = pairs.sparkSession
     pairs_path = stage_path(spark, "pairs")
-    pairs = staged(pairs, "pairs", pairs_path, FILES)
+    pairs = staged(pairs, "pairs", pairs_path, WORKED)
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct()
     ids_path = stage_path(spark, "ids")
     wanted = staged(wanted, "ids", ids_path, FILES)
@@ -160,7 +160,7 @@ def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], ["a", "b"])
 
     both = pairs.join(some.select(F.col("cid").alias("a"), F.col("tokens").alias("x")), "a").join(some.select(F.col("cid").alias("b"), F.col("tokens").alias("y")), "b")
-    links = staged(both.select("a", "b", "x", "y").mapInArrow(tidy(run), "a bigint, b bigint"), "links", tasks=FILES)
+    links = staged(both.select("a", "b", "x", "y").mapInArrow(tidy(run), "a bigint, b bigint"), "links", tasks=WORKED)
     for path in (pairs_path, ids_path, some_path):
         drop_path(spark, path)
     return links
@@ -262,7 +262,7 @@ def frequent_tokens(sets: DataFrame, ranges: int) -> tuple[np.ndarray, np.ndarra
         keys = (np.int64(t.column("r")[0].as_py()) << np.int64(32)) | tokens[first][often].astype(np.int64)
         return pa.table({"token": keys, "n": n[often].astype(np.int64)})
 
-    counts = staged(sets.where("tokens IS NOT NULL").select("tokens").mapInArrow(tidy(pack), "r int, blob binary, n binary").groupBy("r").applyInArrow(count, "token bigint, n bigint"), "frequent", tasks=FILES)
+    counts = staged(sets.where("tokens IS NOT NULL").select("tokens").mapInArrow(tidy(pack), "r int, blob binary, n binary").groupBy("r").applyInArrow(count, "token bigint, n bigint"), "frequent", tasks=WORKED)
     level = FREQUENT
     while counts.where(F.col("n") >= level).count() > MOST_FREQUENT:
         level *= 2
