@@ -8,10 +8,10 @@ from pyspark.sql import functions as F
 from ..functions import scalar, scoring
 from ..operators import grid as G
 from ..operators import joins as J
-from ..operators import models, simulate, stats
+from ..operators import models, stats
 from ..operators import windows as W
 from ..sources import tables
-from .base import CANDLES, DAILY, FORECAST, GRID, RETURNS, SIGNALS, daily, forecast, forward, grid, hourly, labelled, query, r, signals
+from .base import CANDLES, DAILY, FORECAST, GRID, RETURNS, SIGNALS, daily, forecast, grid, hourly, labelled, query, r, signals
 
 S = SparkSession
 
