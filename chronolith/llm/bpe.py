@@ -45,6 +45,10 @@ def byte_letters() -> list[str]:
     return letters
 
 
+#: Words that a worker remembers, with their ids.
+WORDS = 1_000_000
+
+
 class Vocabulary:
     def __init__(self, text: str):
         self.spec, self.library = text, None
@@ -89,7 +93,7 @@ class Vocabulary:
         self.offsets = np.concatenate([[0], np.cumsum(self.lengths)])[:-1]
         self.spelled = np.frombuffer(b"".join(spelled), np.uint8)
         self.fits: dict[tuple[int, int], bool] = {}
-        self.table = WordTable(lambda words: joined([self.word(w) for w in words]))
+        self.table = WordTable(lambda words: joined([self.word(w) for w in words]), WORDS)
 
     def compatible(self, a: int, b: int) -> bool:
         """Whether merging leaves the border between tokens a and b: undo merges at the border, the latest first, and see

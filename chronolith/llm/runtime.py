@@ -78,6 +78,8 @@ def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) ->
 BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 #: Rows of an Arrow batch of texts, where the session has Spark's default of 10000, made for narrow rows.
 TEXT_ROWS = 500
+#: Batches between which a worker gives back what it has freed.
+TIDY = 8
 
 
 def text_batches(spark: SparkSession) -> None:
@@ -144,7 +146,9 @@ def map_text(df: DataFrame, text: str, fields: dict[str, str], make: Callable[[]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kernel = make()
-        for batch in batches:
+        for k, batch in enumerate(batches):
+            if k % TIDY == TIDY - 1:
+                give_back()
             for piece in pieces(batch, n, most):
                 columns = [x if isinstance(x, pa.Array) else pa.array(x, t) for x, t in zip(kernel(*raw_text(piece.column(n))), types, strict=True)]
                 if at is None:
