@@ -22,6 +22,16 @@ def ratio(a: Column, b: Column) -> Column:
     return F.when(b > 0, a / b)
 
 
+def float_ratio(a: Column, b: Column) -> Column:
+    """a / b as floating point has it, whatever the session's mode: over 0 an infinity, NaN for 0 / 0."""
+    return F.when(b == 0, a * F.pow(b, F.lit(-1.0))).otherwise(a / b)
+
+
+def float_log(x: Column) -> Column:
+    """The natural logarithm as floating point has it: minus infinity of 0, NaN below."""
+    return F.when(x < 0, F.lit(float("nan"))).when(x == 0, F.lit(float("-inf"))).otherwise(F.log(x))
+
+
 def sigmoid(x: Column) -> Column:
     return 1 / (1 + F.exp(-x))
 

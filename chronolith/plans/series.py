@@ -131,7 +131,9 @@ def bollinger_width(spark: S, sf: str) -> DataFrame:
 @query(f"""WITH {GRID}, a AS (SELECT key, h, count(high) OVER w AS n, avg(ln(high / low) * ln(high / low)) OVER w AS m FROM g WINDOW w AS (PARTITION BY key ORDER BY h ROWS BETWEEN 23 PRECEDING AND CURRENT ROW))
 SELECT key, h, round(sqrt(m / (4 * ln(2))), 6) AS parkinson FROM a WHERE n = 24""")
 def parkinson(spark: S, sf: str) -> DataFrame:
-    g = grid(spark, sf).withColumn("x", F.pow(F.log(F.col("high") / F.col("low")), 2))
+    """A low of 0 is a known hour: its range, and the mean of any window with it, is infinite, or NaN where the high is 0 too."""
+    x = scalar.float_log(scalar.float_ratio(F.col("high"), F.col("low")))
+    g = grid(spark, sf).withColumn("x", x * x)
     return g.withColumn("m", G.full(F.avg("x"), F.col("x"), 24, w_(24))).where("m IS NOT NULL").select("key", "h", r(F.sqrt(F.col("m") / (4 * F.log(F.lit(2.0))))).alias("parkinson"))
 
 

@@ -20,9 +20,12 @@ from chronolith.functions import features as feature_columns
 from chronolith.functions import scalar, scoring
 from chronolith.operators import grid as G
 from chronolith.operators import indicators, joins, models, simulate, stats, strategies, views, windows
+from chronolith.plans.catalogue import QUERIES, SQL
 from chronolith.sources import context, paged, payloads, sinks, tables
 from chronolith.streaming import live
 
+from .oracle import compare, connect
+
 
 def frame(spark, rows, schema):
     return spark.createDataFrame(rows, schema)
@@ -579,3 +582,19 @@ def test_books_have_spreads():
     assert simulate.full_step(a, 100, 0, simulate.Rule(), 0.0, 0.01) == "signal" and a.cash == pytest.approx(1000 * 99 / 101)
     assert simulate.sized_step(b, 100, 1, 0.5, 0.0, 0.01) == "enter" and b.units == pytest.approx(500 / 101)
     assert simulate.sized_step(b, 100, None, 0.5, 0.0, 0.01) == "keep" and b.inside
+
+
+def written_events(spark, path, rows):
+    """An events table of (hour, value) rows of one key, some hours with several, without rows if there are none."""
+    days = [(i, datetime(2024, 1, 1 + h // 24, h % 24, 0, i % 60), i % 7, "view", v, "{}") for i, (h, v) in enumerate(rows)]
+    frame(spark, days, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string").write.parquet(f"{path}/events.parquet")
+    return str(path)
+
+
+@pytest.mark.parametrize("odd", [[0.0], [0.0, 0.0], [5.0, 0.0], [-0.0, 3.0], [-2.0, 3.0], [-2.0, 0.0], [-2.0, -1.0], [float("inf"), 1.0], [float("nan"), 1.0], [float("nan"), 0.0], [0.0, float("inf")]])
+def test_parkinson_of_zero_negative_and_unbounded_prices(spark, tmp_path, odd):
+    """Windows with the odd hour have the results of SQL, and those after it are as if it hadn't been."""
+    rng = random.Random(5)
+    rows = [(h, rng.uniform(1, 9)) for h in range(70) for _ in range(2) if h != 30] + [(30, v) for v in odd]
+    sf = written_events(spark, tmp_path, rows)
+    assert compare(spark, connect(sf), sf, QUERIES["parkinson"], SQL["parkinson"]) == 70 - 23
