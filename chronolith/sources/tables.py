@@ -52,10 +52,12 @@ def daily_totals(orders: DataFrame) -> DataFrame:
     return orders.groupBy(day.alias("d")).agg(F.sum("o_totalprice").alias("total"))
 
 
-def first_usable(candidates: list[DataFrame], now_hour: int) -> DataFrame | None:
-    """The first series whose last candle is the hour that closed last, without invalid candles."""
+def first_usable(candidates: list[DataFrame], now_hour: int, error: Column | None = None) -> DataFrame | None:
+    """The first series whose last candle is the hour that closed last, without invalid candles: those where error isn't null, which
+    is candle_error unless given."""
+    error = candle_error() if error is None else error
     for series in candidates:
-        facts = series.agg(F.max("h").alias("last"), F.sum(candle_error().isNotNull().cast("int")).alias("bad")).first()
+        facts = series.agg(F.max("h").alias("last"), F.sum(error.isNotNull().cast("int")).alias("bad")).first()
         if facts["last"] == now_hour - 1 and not facts["bad"]:
             return series
     return None

@@ -598,3 +598,16 @@ def test_parkinson_of_zero_negative_and_unbounded_prices(spark, tmp_path, odd):
     rows = [(h, rng.uniform(1, 9)) for h in range(70) for _ in range(2) if h != 30] + [(30, v) for v in odd]
     sf = written_events(spark, tmp_path, rows)
     assert compare(spark, connect(sf), sf, QUERIES["parkinson"], SQL["parkinson"]) == 70 - 23
+
+
+@pytest.mark.parametrize("values", [[3.0, 4.0], [3.0, 0.0], [0.0, 4.0], [-1.0, 4.0], [float("nan"), 4.0], [4.0, float("inf")], []])
+def test_usable_source_whatever_the_prices(spark, tmp_path, values):
+    sf = written_events(spark, tmp_path, [(50 * k, v) for k, v in enumerate(values)])
+    assert compare(spark, connect(sf), sf, QUERIES["usable_source"], SQL["usable_source"]) == 1
+
+
+def test_first_usable_refuses_invalid_candles(spark):
+    candle = lambda h, low: (h, 2.0, 2.0, low, 2.0, 1.0)
+    late, zero, good = (frame(spark, rows, "h long, open double, high double, low double, close double, volume double") for rows in ([candle(3, 1.0)], [candle(4, 0.0)], [candle(4, 1.0)]))
+    assert tables.first_usable([late, zero, good], 5) is good and tables.first_usable([late, zero], 5) is None
+    assert tables.first_usable([late, zero, good], 5, error=F.lit(None)) is zero
