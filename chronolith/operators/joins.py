@@ -9,6 +9,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import shared_dir
+from . import titles
+
 
 def at_shift(df: DataFrame, shift: int, columns: dict[str, str], time: str = "h", by: tuple[str, ...] = ("key",)) -> DataFrame:
     """df with columns of its own row exactly ``shift`` steps later (earlier if negative); null where there is none."""
@@ -79,53 +82,74 @@ def near_duplicates(df: DataFrame, by: str, order: str, text: str, least: float
     return df.groupBy(by).applyInPandas(keep, df.schema)
 
 
-def near_duplicates_of_all(df: DataFrame, order: str, text: str, least: float = 0.75, block: int = 500) -> DataFrame:
-    """As near_duplicates, with the whole table as one group. Equal texts are one class; all pairs of classes are compared, in pairs of
-    blocks that run in parallel, with the same bounds; only linked pairs then decide, round by round.
+def near_duplicates_of_all(df: DataFrame, order: str, text: str, least: float = 0.75, block: int | None = None, at_once: int = 200_000) -> DataFrame:
+    """As near_duplicates, with the whole table as one group. Equal texts are one class; classes meet in pairs of blocks of about so many
+    classes (else some 16 blocks, of 250 to 4000), by length, that run in parallel. Bounds in ``titles`` leave few pairs, whose ratio is taken in full; linked pairs then decide,
+    round by round. While more than ``at_once`` pairs are left to compare, only those with an earlier class that surely stays are.
 
-    A ratio of 0.75 leaves no bound that spares most pairs, so the work is the square of the number of different texts.
+    Pairs whose lengths could match still meet in the bounds, so that work is the square of the number of different texts.
     """
     spark = df.sparkSession
+    shared_dir(spark)
     first = F.min(F.struct(F.col(order).alias("o"), F.col(text).alias("t"), F.struct(*[df[c] for c in df.columns]).alias("row")))
     classes = df.groupBy(F.coalesce(text, F.lit("")).alias("__text")).agg(first.alias("__first"))
-    classes = classes.withColumn("__key", F.struct("__first.o", "__text")).localCheckpoint()
-    blocks = max(1, -(-classes.count() // block))
-    mine = F.pmod(F.xxhash64("__text"), F.lit(blocks)).cast("int")
-    dealt = classes.select(F.col("__first.o").alias("o"), F.col("__text").alias("t"), mine.alias("mine"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumns({"i": F.least("mine", "other"), "j": F.greatest("mine", "other")})
-    kind = dealt.schema["o"].dataType.simpleString()
-
-    def linked(pdf: pd.DataFrame) -> pd.DataFrame:
+    classes = classes.withColumns({"__id": F.monotonically_increasing_id(), "__n": F.length("__text")}).checkpoint()
+    counts = {r["__n"]: r["count"] for r in classes.groupBy("__n").count().collect()}
+    block = block or min(4000, max(250, sum(counts.values()) // 16))
+    dealt, spans = titles.length_blocks(counts, least, block, 2000 * block)
+    if not dealt:
+        return classes.select("__first.row.*")
+    tasks = min(sum(last - k + 1 for k, _, last in spans), max(8 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    places, spans = spark.createDataFrame(dealt, "__n int, at int, parts int"), spark.createDataFrame(spans, "mine int, low int, high int")
+    placed = classes.join(F.broadcast(places), "__n").withColumn("mine", (F.col("at") + F.pmod(F.xxhash64("__text"), F.col("parts"))).cast("int"))
+    placed = placed.join(F.broadcast(spans), "mine").withColumn("other", F.explode(F.sequence("low", "high")))
+    met = placed.select("mine", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), F.col("__id").alias("id"), F.col("__first.o").alias("o"), F.col("__text").alias("t"))
+
+    def near(pdf: pd.DataFrame) -> pd.DataFrame:
         i, j = int(pdf["i"].iloc[0]), int(pdf["j"].iloc[0])
-        rows = sorted(zip(pdf["o"], pdf["t"], pdf["mine"], strict=True))
-        sizes, found = [len(t) for _, t, _ in rows], []
-        letters = np.zeros((len(rows), 256), np.int32)
-        for x, (_, t, _) in enumerate(rows):
-            np.add.at(letters[x], np.array([ord(c) % 256 for c in t], np.int64), 1)
-        sizes = np.array(sizes)
-        for a in range(len(rows)):
-            o, t, of = rows[a]
-            most = np.minimum(letters[a], letters[a + 1 :]).sum(1)  # no fewer than the letters in common
-            m = SequenceMatcher(None, "", t, autojunk=True)
-            for b in a + 1 + np.flatnonzero(2 * most >= least * (sizes[a] + sizes[a + 1 :])):
-                if i != j and rows[b][2] == of:
-                    continue
-                m.set_seq1(rows[b][1])
-                if m.real_quick_ratio() >= least and m.quick_ratio() >= least and m.ratio() >= least:
-                    found.append((rows[b][0], rows[b][1], o, t))
-        return pd.DataFrame(found, columns=["o", "t", "eo", "et"])
-
-    pairs = dealt.groupBy("i", "j").applyInPandas(linked, f"o {kind}, t string, eo {kind}, et string")
-    left = pairs.select(F.struct("o", F.col("t").alias("__text")).alias("late"), F.struct(F.col("eo").alias("o"), F.col("et").alias("__text")).alias("early")).localCheckpoint()
-    gone = spark.createDataFrame([], left.select("late").schema)
+        pdf = pdf.iloc[np.argsort(pdf["t"].str.len().to_numpy(), kind="stable")]
+        texts, mine = pdf["t"].tolist(), pdf["mine"].to_numpy()
+        left = np.flatnonzero(mine == i)
+        sizes, rank = np.array([len(t) for t in texts], np.int64), pdf["o"].rank(method="dense").to_numpy()
+        a, b = titles.candidates(texts, sizes, rank, left, left if i == j else np.flatnonzero(mine == j), least)
+        ids = pdf["id"].to_numpy()
+        return pd.DataFrame({"a": ids[a], "b": ids[b]})
+
+    key = F.struct(F.col("__first.o").alias("o"), "__text", F.col("__id").alias("id"))
+    keyed = lambda name: classes.select(F.col("__id").alias(name), key.alias(f"__{name}"))
+    pairs = met.repartition(tasks, "i", "j").groupBy("i", "j").applyInPandas(near, "a long, b long").join(keyed("a"), "a").join(keyed("b"), "b")
+    left = pairs.select(F.greatest("__a", "__b")["id"].alias("late"), F.least("__a", "__b")["id"].alias("early")).checkpoint()
+
+    def linked(batches):
+        m, seen = SequenceMatcher(None, "", "", autojunk=True), None
+        for pdf in batches:
+            keep = np.zeros(len(pdf), bool)
+            for k, (early, e, t) in enumerate(zip(pdf["early"], pdf["e"], pdf["t"], strict=True)):
+                if early != seen:  # what the matcher knows of its second text serves all pairs with it
+                    m.set_seq2(e)
+                    seen = early
+                m.set_seq1(t)
+                keep[k] = m.ratio() >= least
+            yield pdf.loc[keep, ["late", "early"]]
+
+    def compared(ids: DataFrame) -> DataFrame:
+        of = lambda name, t: classes.select(F.col("__id").alias(name), F.col("__text").alias(t))
+        rows = ids.join(of("early", "e"), "early").join(of("late", "t"), "late").select("late", "early", "e", "t")
+        return rows.repartition("early", F.pmod("late", F.lit(16))).sortWithinPartitions("early").mapInPandas(linked, "late long, early long").checkpoint()
+
+    gone = spark.createDataFrame([], "late long")
+    exact = False
     while not left.isEmpty():
-        late = left.select("late").distinct()
-        kept = left.select("early").distinct().join(late, F.col("early") == F.col("late"), "left_anti")
-        now = left.join(kept, "early", "left_semi").select("late").distinct().localCheckpoint()
-        gone = gone.unionByName(now).localCheckpoint()
-        left = left.join(now, "late", "left_anti")
-        left = left.join(now.select(F.col("late").alias("early")), "early", "left_anti").select("late", "early").localCheckpoint()
-    return classes.join(gone, F.col("__key") == F.col("late"), "left_anti").select("__first.row.*")
+        if not exact and left.count() <= at_once:
+            left, exact = compared(left), True
+            continue
+        late = left.select(F.col("late").alias("early")).distinct()
+        stays = left.join(late, "early", "left_anti")
+        now = (stays if exact else compared(stays)).select("late").distinct().checkpoint()
+        gone = gone.unionByName(now).checkpoint()
+        left = left.join(late, "early", "left_semi").join(now, "late", "left_anti")
+        left = left.join(now.select(F.col("late").alias("early")), "early", "left_anti").select("late", "early").checkpoint()
+    return classes.join(gone, F.col("__id") == F.col("late"), "left_anti").select("__first.row.*")
 
 
 def in_folds(df: DataFrame, folds: DataFrame, time: str = "h") -> DataFrame:

@@ -19,7 +19,7 @@ from chronolith import cli
 from chronolith.functions import features as feature_columns
 from chronolith.functions import scalar, scoring
 from chronolith.operators import grid as G
-from chronolith.operators import indicators, joins, models, simulate, stats, strategies, views, windows
+from chronolith.operators import indicators, joins, models, simulate, stats, strategies, titles, views, windows
 from chronolith.plans.catalogue import QUERIES, SQL
 from chronolith.sources import context, paged, payloads, sinks, tables
 from chronolith.streaming import live
@@ -110,6 +110,64 @@ def test_near_duplicates_of_the_whole_table(spark):
     assert got.columns == ["i", "t"] and sorted(r.i for r in got.collect()) == want and len(want) < 100
 
 
+def headlines(seed, lengths, copies, edits):
+    """Texts of syllables, in shuffled order, with near copies of a few to many edits each."""
+    rng = random.Random(seed)
+    syllables = "the and er on in ea re th at en ed nd ha st ou ing qu x. z, é".split()
+    out = []
+    for n in lengths:
+        base = "".join(rng.choice(syllables) + " " * (rng.random() < 0.4) for _ in range(n))[:n]
+        for _ in range(copies):
+            t = base
+            for _ in range(rng.randrange(1 + n // edits)):
+                k, j = rng.randrange(len(t) + 1), rng.randrange(len(t) + 1)
+                t = rng.choice([t[:k] + "x" + t[k:], t[:k] + t[k + 1 :], t[:k] + t[j : j + 9] + t[k:]])
+            out.append(t)
+    rng.shuffle(out)
+    return out
+
+
+@pytest.mark.parametrize("least", [0.6, 0.75, 0.9])
+def test_title_bounds_lose_no_pair(least):
+    """Against SequenceMatcher on all pairs: lengths about the words of the bits and where popular characters begin, ties of the order."""
+    texts = sorted({*headlines(7, [3, 12, 40, 63, 65, 120, 128, 150, 190, 199, 201, 230, 260, 330, 500], 7, 5), "", "b" * 9, "a" * 300, "a" * 250, "that " * 60, "that " * 70}, key=len)
+    sizes, rng = np.array([len(t) for t in texts]), np.random.default_rng(7)
+    rank = rng.permutation(len(texts)).astype(float)
+    rank[::7], rank[3::20] = rank[0], np.nan
+    near = set()
+    for x, y in ((x, y) for x in range(len(texts)) for y in range(x + 1, len(texts))):
+        seconds = [x] if rank[x] < rank[y] else [y] if rank[y] < rank[x] else [x, y]
+        if any(SequenceMatcher(None, texts[x + y - b], texts[b]).ratio() >= least for b in seconds):
+            near.add((x, y))
+    part = rng.integers(0, 2, len(texts))
+    left, right = np.flatnonzero(part == 0), np.flatnonzero(part == 1)
+    got = [tuple(sorted(p)) for a, b in ((left, left), (right, right), (left, right)) for p in zip(*(x.tolist() for x in titles.candidates(texts, sizes, rank, a, b, least)), strict=True)]
+    assert len(got) == len(set(got)) and near <= set(got) and len(got) < 0.15 * len(texts) ** 2 / 2 and len(near) > 20
+
+
+@pytest.mark.parametrize("options", [{}, {"block": 15}, {"block": 15, "at_once": 0}, {"block": 4, "least": 0.9}])
+def test_near_duplicates_of_long_and_short_titles(spark, options):
+    texts = headlines(3, [6, 20, 60, 130, 180, 195, 205, 240, 300, 420], 8, 4)
+    rows = [(i // 2 if i < 20 else i, t) for i, t in enumerate(texts)] + [(500, texts[3]), (501, None), (502, "")]
+    df = frame(spark, rows, "i int, t string")
+    want = joins.near_duplicates(df.withColumn("g", F.lit(0)), "g", "i", "t", options.get("least", 0.75)).select("i", "t").collect()
+    got = joins.near_duplicates_of_all(df, "i", "t", **options).collect()
+    assert sorted((r.i, r.t or "") for r in got) == sorted((r.i, r.t or "") for r in want) and 10 < len(want) < 80
+
+
+def test_headlines_of_many_documents_end_in_time(spark, tmp_path):
+    """3000 different headlines of two lengths and a few near copies: 4.5 million pairs."""
+    rng = random.Random(1)
+    word = lambda: "".join(rng.choice(["the", "and", "er", "on", "ing", "ea", "st", "qu"]) for _ in range(3))
+    heads = [" ".join(word() for _ in range(rng.choice([12, 60]))) for _ in range(3000)]
+    rows = [(i, h + "\nrest") for i, h in enumerate(heads)] + [(3000 + i, h[: len(h) // 2] + "x" + h[len(h) // 2 :]) for i, h in enumerate(heads[:50])] + [(4000, heads[7]), (4001, None), (4002, "")]
+    frame(spark, rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    start = time.monotonic()
+    got = sorted(r.doc_id for r in QUERIES["headline_dedup"](spark, str(tmp_path)).collect())
+    far = [3000 + i for i in range(50) if SequenceMatcher(None, rows[3000 + i][1], heads[i]).ratio() < 0.75]
+    assert time.monotonic() - start < 60 and got == [*range(3000), *far, 4001] and 0 < len(far) < 50
+
+
 def test_order_book_walk_reads_all_events(spark):
     from chronolith.plans.series import order_book_walk
 
